@@ -101,7 +101,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             for name, text in zip(pdf["file"], pdf["value"], strict=True):
                 yield pd.DataFrame(list(_parse(name.rsplit("/", 1)[-1], text)), columns=[c.split()[0] for c in CAPTURES.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     return files.mapInPandas(rows, CAPTURES)
 
 
