@@ -37,7 +37,8 @@ def break_pattern(spark: SparkSession, bars: int = 2, bpm: float = 136.7, sr: in
     hit = t.join(F.broadcast(onsets.withColumn("length", length)), (F.col("t") >= F.col("onset")) & (F.col("t") < F.col("onset") + F.col("length")), "left")
     dt = F.col("t") - F.col("onset")
     tone = F.sin(2 * math.pi * 60 * dt) * F.exp(-20 * dt)
-    noise = (2 * F.rand(seed) - 1) * F.exp(-30 * dt) * F.when(F.col("kind") == "snare", 0.8).otherwise(0.4)
+    # hashed, so that every run makes the same noise
+    noise = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) / (1 << 19) - 1) * F.exp(-30 * dt) * F.when(F.col("kind") == "snare", 0.8).otherwise(0.4)
     x = hit.groupBy("id").agg(F.sum(F.coalesce(F.when(F.col("kind") == "kick", tone).otherwise(noise), F.lit(0.0))).alias("x"))
     top = x.agg(F.max(F.abs("x")).alias("top"))  # one row
     return x.crossJoin(F.broadcast(top)).select(F.col("id").alias("i"), (F.col("x") / F.col("top")).alias("x"))
