@@ -174,6 +174,60 @@ def mean_pair_cosine(frames: DataFrame, key: str, vec: str = "embedding") -> Dat
     return a.join(b, "i").where("a < b").groupBy("a", "b").agg(F.sum(F.col("ma") * F.col("mb")).alias("similarity"))
 
 
+def mean_pair_correlation(frames: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
+    """Mean correlation of all frame pairs of two tracks: the mean cosine of the centred frames."""
+    mean = F.aggregate(vec, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(vec)
+    return mean_pair_cosine(frames.withColumn(vec, F.transform(vec, lambda x: x.cast("double") - mean)), key, vec)
+
+
+def mean_pair_distance(pairs: DataFrame, frames: DataFrame, key: str, vec: str = "embedding", block: int = 512) -> DataFrame:
+    """(a, b, similarity) of candidate pairs of tracks: 1 minus the mean distance of all their frame pairs.
+
+    ``a``'s frames are dealt into blocks, each of which meets all of ``b``'s frames in one task; one track is bounded.
+    """
+    import numpy as np
+    import pandas as pd
+
+    dealt = frames.select(F.col(key).alias("a"), F.col(vec).alias("v"), F.monotonically_increasing_id().alias("_i"))
+    left = pairs.join(dealt, "a").select("a", "b", F.pmod(F.xxhash64("_i"), F.lit(8)).alias("part"), "v")
+    right = frames.select(F.col(key).alias("b"), F.col(vec).alias("v"))
+    spread = left.select(*[F.col(c).alias(c) for c in ("a", "b", "part")]).distinct().join(right, "b").select(*[F.col(c).alias(c) for c in ("a", "b", "part", "v")])
+
+    def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({"a": [], "b": [], "s": [], "n": []})
+        u, v, total = np.array(x["v"].tolist(), float), np.array(y["v"].tolist(), float), 0.0
+        for i in range(0, len(u), block):
+            d = u[i : i + block, None] - v[None]
+            total += float(np.sqrt((d * d).sum(-1)).sum())
+        return pd.DataFrame({"a": [x["a"].iloc[0]], "b": [x["b"].iloc[0]], "s": [total], "n": [len(u) * len(v)]})
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    parts = left.groupBy("a", "b", "part").cogroup(spread.groupBy("a", "b", "part")).applyInPandas(product, f"a {kind}, b {kind}, s double, n long")
+    return parts.groupBy("a", "b").agg((1 - F.sum("s") / F.sum("n")).alias("similarity"))
+
+
+def onset_correlation(envs: DataFrame, pairs: DataFrame, key: str = "track_id", env: str = "env") -> DataFrame:
+    """(a, b, similarity) of candidate pairs: the greatest cross-correlation of their max-normalised onset envelopes (arrays)."""
+    import numpy as np
+    import pandas as pd
+
+    e = envs.select(F.col(key).alias("_k"), F.col(env).alias("_e"))
+    both = pairs.join(e.toDF("a", "ea"), "a").join(e.toDF("b", "eb"), "b").select("a", "b", "ea", "eb")
+
+    def rows(batches):
+        for pdf in batches:
+            out = []
+            for x, y in zip(pdf["ea"], pdf["eb"], strict=True):
+                x, y = np.asarray(x, float), np.asarray(y, float)
+                top = np.abs(x).max(initial=0) * np.abs(y).max(initial=0)
+                out.append(float(np.correlate(x, y, "full").max() / top) if top > 0 else 0.0)
+            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "similarity": out})
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return both.mapInPandas(rows, f"a {kind}, b {kind}, similarity double")
+
+
 def ratio_similarity(a: Column, b: Column) -> Column:
     """Smaller over greater; 0 where neither is positive."""
     return F.when(F.greatest(a, b) > 0, F.least(a, b) / F.greatest(a, b)).otherwise(0.0)

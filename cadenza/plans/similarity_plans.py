@@ -111,6 +111,32 @@ def c13b(spark, d):
     return rounded(p.select("a", "b", op.ratio_similarity(F.col("ta"), F.col("tb")).alias("similarity")))
 
 
+_UN = "un AS (SELECT label, vec_id, unnest(range(0,64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"
+
+
+@add("c13_mean_pair_correlation", f"WITH {_UN}, p AS (SELECT a.label AS a, b.label AS b, corr(a.x, b.x) AS r FROM un a JOIN un b ON a.i = b.i AND a.label < b.label GROUP BY a.label, b.label, a.vec_id, b.vec_id) SELECT a, b, round(avg(r),6) AS similarity FROM p GROUP BY 1, 2")
+def c13c(spark, d):
+    return rounded(op.mean_pair_correlation(table(spark, d, "embeddings"), "label"))
+
+
+def _label_pairs(e):
+    near = e.select("label").distinct()
+    return near.select(F.col("label").alias("a")).join(near.select(F.col("label").alias("b")), F.col("b") == F.col("a") + 1)
+
+
+@add("c13_mean_pair_distance", f"WITH {_UN}, p AS (SELECT a.label AS a, b.label AS b, sqrt(sum(pow(a.x-b.x,2))) AS d FROM un a JOIN un b ON a.i = b.i AND b.label = a.label + 1 GROUP BY a.label, b.label, a.vec_id, b.vec_id) SELECT a, b, round(1-avg(d),6) AS similarity FROM p GROUP BY 1, 2")
+def c13d(spark, d):
+    e = table(spark, d, "embeddings")
+    return rounded(op.mean_pair_distance(_label_pairs(e), e, "label"))
+
+
+@add("c13_onset_correlation")
+def c13e(spark, d):
+    e = table(spark, d, "embeddings")
+    near = e.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b")).join(e.select(F.col("vec_id").alias("b")), "b", "left_semi")
+    return rounded(op.onset_correlation(e.select(F.col("vec_id").alias("track_id"), F.col("embedding").alias("env")), near.select("a", "b")))
+
+
 @add("c14_transform_flags", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, array_to_string(list_filter([CASE WHEN l_discount*3>0.15 THEN 'time_stretch' END, CASE WHEN l_quantity/10>2.0 THEN 'pitch_shift' END, CASE WHEN l_tax*5>0.2 THEN 'filter' END], lambda x: x IS NOT NULL), ',') AS flags FROM lineitem")
 def c14(spark, d):
     flags = op.transform_flags(F.col("l_discount") * 3, F.col("l_quantity") / 10, F.col("l_tax") * 5)
