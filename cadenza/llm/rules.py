@@ -95,14 +95,14 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
     grams = F.zip_with(pairs, F.slice("h", 3, F.greatest(F.size("h"), F.lit(1))), lambda a, b: F.xxhash64(a, b))
     df = df.withColumn("n_grams", n_grams).withColumn("grams", F.slice(grams, 1, F.col("n_grams")))
     df = df.withColumn("n_repeat_words", _repeat_words(F.col("grams"), F.col("n_grams")))
+    # one row out of each row: a filter on the measurements cannot move below and measure again
+    measured = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaim"]
+    df = df.select("doc_id", *kept, F.inline(F.array(F.struct(*measured))))
     bits = [F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)) for k, rule in enumerate(RULES.values())]
     failed = bits[0]
     for b in bits[1:]:
         failed = failed.bitwiseOR(b)
-    return df.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "n_lines", "n_upper", "n_exclaim", failed.cast("int").alias("failed_bits"), *[F.col(f"_in.{c}").alias(c) for c in carry if c != "doc_id"],
-    )
+    return df.select("doc_id", *measured, failed.cast("int").alias("failed_bits"), *[F.col(f"_in.{c}").alias(c) for c in carry if c != "doc_id"])
 
 
 def apply_policy(led: DataFrame, version: str = "v2") -> DataFrame:
