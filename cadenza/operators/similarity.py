@@ -37,19 +37,28 @@ def similarity_stats(pairs: DataFrame, sizes: DataFrame, group: str) -> DataFram
     return p.join(sizes, group).select(group, (2 * F.col("_s") / (F.col("n") * F.col("n"))).alias("mean"), "max", "min_nonzero")
 
 
-def min_label_components(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(id, label) of the edges' (a, b) ends, the smallest id of each component: labels pass along edges and shorten by pointer jumping; checkpoints cut the lineage."""
+def min_label_components(edges: DataFrame) -> DataFrame:
+    """(id, label) of the edges' (a, b) ends, the smallest id of each component.
+
+    Alternating large-star and small-star rounds until no edge changes, about the logarithm
+    of the longest chain in number, in whatever order its ids lie; checkpoints cut the lineage.
+    """
     ensure_checkpoint_dir(edges.sparkSession)
-    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("id", "nb").distinct().checkpoint()
-    labels = both.groupBy("id").agg(F.least(F.min("nb"), F.first("id")).alias("label")).checkpoint()
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("id").alias("nb"), F.col("label").alias("l2")), "nb").groupBy("id").agg(F.min("l2").alias("l2"))
-        step = labels.join(near, "id").select("id", F.least("label", "l2").alias("label"))
-        jump = step.join(step.select(F.col("id").alias("label"), F.col("label").alias("l3")), "label").select("id", F.least("label", "l3").alias("label")).checkpoint()
-        if jump.join(labels.withColumnRenamed("label", "was"), "id").where("label <> was").isEmpty():
-            return jump
-        labels = jump
-    return labels
+    ends = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    while True:
+        # large-star: every larger neighbour of a node moves to the node's smallest neighbour
+        both = now.union(now.select("v", "u"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # small-star: a node and its smaller neighbours move to the smallest of them
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        step = small.union(least).distinct().checkpoint()
+        if step.count() == now.count() and step.join(now, ["u", "v"], "left_anti").isEmpty():
+            break
+        now = step
+    return ends.join(now.toDF("id", "label"), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
 def similar_groups(vectors: DataFrame, group: str, id_col: str, eps: float, min_samples: int, vec: str = "embedding") -> DataFrame:

@@ -89,6 +89,24 @@ def test_components_of_a_chain(spark):
     assert all(got[i] == 0 for i in range(41)) and got[101] == 100
 
 
+def test_components_of_a_path_that_walks_down_to_its_least_id(spark):
+    path = [0, *range(100, 0, -1)]
+    edges = spark.createDataFrame([*zip(path, path[1:], strict=False), (200, 200)], "a long, b long")
+    got = {r.id: r.label for r in similarity.min_label_components(edges).collect()}
+    assert got == {i: 0 for i in path} | {200: 200}
+
+
+def test_components_equal_union_find_on_random_edges(spark):
+    rnd = np.random.default_rng(7)
+    pairs = [(int(x), int(y)) for x, y in rnd.integers(0, 300, (220, 2))]
+    root = {i: i for p in pairs for i in p}
+    for _ in root:
+        for x, y in pairs:
+            root[x] = root[y] = min(root[x], root[y])
+    got = {r.id: r.label for r in similarity.min_label_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == root
+
+
 def test_similar_pairs_equal_brute_force(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     got = {(r.a, r.b): r.similarity for r in joins.similar_pairs(e, "label", "vec_id", block=7).collect()}
