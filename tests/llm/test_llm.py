@@ -222,6 +222,22 @@ def test_secrets_are_added_and_prose_is_left_alone(spark):
     assert clean[0] == 'set token = "<secret>" now' and clean[11] is None and clean[12] == "mail <email>"
 
 
+def test_long_secrets_and_quoted_ones_are_found_and_clean_prose_is_left_alone(spark):
+    rnd = random.Random(5)
+    long = ["".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n)) for n in (256, 257, 300, 5000)]
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    clean = ["a well-known-and-much-loved-tradition of otorhinolaryngologists", "see src/main/resources/strings and the password policy", f"commit {key} fixes it", "x" * 300, "she said 'antidisestablishmentarianism' twice"]
+    texts = [f'set token = "{v}" now' for v in long] + [f'set token = "{key}" now'] * 4 + clean * 3
+    got = [r.spans for r in pii.detect(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert [s for s in got[:4]] == [f"secret:13:{13 + len(v)}" for v in long]
+    assert got[4:8] == ["secret:13:53"] * 4 and got[8:] == [""] * 15
+    # the votes of a corpus in which secrets have all votes and other proposals none: shape and quotes suffice
+    weights = pii.train([(0, 30.0, 30.0, 7.5), (15, 13.0, 8.1, 8.1)])
+    assert pii.find_spans(f'it reads "{key}" here', weights)["secret"] == [(10, 50)]
+    assert pii.find_spans(f"commit {key} fixes it", weights)["secret"] == []
+    assert pii.redact(texts[2], got[2]) == 'set token = "<secret>" now'
+
+
 def test_url_rules_and_list(spark):
     host, path = url_filter.parse(F.col("url"))
     urls = [None, "", "nourl", "HTTP://Example.COM/en/x?q#f", "http://www.example.com/en/", "http://a.net/es/", "http://a.net", "x://h?q", "http://notexample.com/en/"]
