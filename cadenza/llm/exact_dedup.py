@@ -14,17 +14,26 @@ text columns are read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, materialise
 
 
+def normalised(text_col: str) -> Column:
+    """The text that is compared: A-Z lower-cased, null as empty."""
+    return F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER)
+
+
+def text_digest(text_col: str) -> Column:
+    """SHA-256 of the compared text, as in ``text_sha256``."""
+    return F.sha2(F.encode(normalised(text_col), "UTF-8"), 256)
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     pick = F.max if keep == "max" else F.min
-    norm = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER)
-    sha = F.sha2(F.encode(norm, "UTF-8"), 256)
+    norm, sha = normalised(text_col), text_digest(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), norm.alias("t"))
     keyed = rows.select("doc_id", "t", F.sha2(F.encode("t", "UTF-8"), 256).alias("text_sha256"))
     # 128 bits: the first 32 hexadecimal digits, as bytes

@@ -24,16 +24,31 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: of equal texts the largest doc_id stays."""
-    stays = exact_dedup.exact_groups(docs, keep="max").where("kept").select("doc_id")
-    return docs.join(stays, "doc_id", "left_semi").select(*COLUMNS)
+    """Operator 6: of equal texts the largest doc_id stays; where none of them has an id, one of them (the least row) stays."""
+    stays = exact_dedup.exact_groups(docs, keep="max").where("kept").select("doc_id", "text_sha256")
+    keyed = docs.withColumn("text_sha256", exact_dedup.text_digest("text"))
+    known = keyed.where("doc_id IS NOT NULL").join(stays, ["doc_id", "text_sha256"], "left_semi")
+    nameless = keyed.where("doc_id IS NULL").join(stays.where("doc_id IS NULL"), "text_sha256", "left_semi")
+    one = nameless.groupBy("text_sha256").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return known.select(*COLUMNS).unionByName(one)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: five-word shingles, similarity 0.8; the smallest doc_id of each group stays."""
+    """Operator 7: five-word shingles, similarity 0.8; the smallest doc_id of each group stays.
+
+    Rows without an id are compared under ids of their own above all others, so that one of
+    them stays only where its group has no row with an id; they leave without an id.
+    """
+    nameless = docs.where("doc_id IS NULL")
+    above = None
+    if not nameless.isEmpty():
+        above = max(-1, docs.agg(F.max("doc_id")).first()[0] or 0) + 1
+        named = materialise(nameless.withColumn("doc_id", F.lit(above) + F.monotonically_increasing_id()), "nameless")
+        docs = docs.where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long")).unionByName(named)
     groups = jaccard_join.linked_groups(docs, k=5, num=80, den=100)
     stays = groups.where("doc_id = component_id").select("doc_id")
-    return docs.join(stays, "doc_id", "left_semi").select(*COLUMNS)
+    kept = docs.join(stays, "doc_id", "left_semi").select(*COLUMNS)
+    return kept if above is None else kept.withColumn("doc_id", F.when(F.col("doc_id") < above, F.col("doc_id")))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -306,3 +306,21 @@ def test_pipeline_stages_keep_their_promises(spark):
         elif name == "pii":
             assert set(a) == set(b) and not any(s for t in b.values() for v in pii.base_spans(t).values() for s in v)
     assert {r.doc_id for r in cp.run(spark, sf).collect()} == set(b)
+
+
+def test_pipeline_stages_keep_one_of_each_text_without_an_id(spark):
+    import corpus_pipeline as cp
+
+    long = [" ".join(f"{w}{i}" for i in range(60)) for w in "abcd"]
+    near = long[2] + " more"
+    rows = [(None, long[0]), (None, long[1]), (None, long[1].upper()), (4, long[2]), (None, long[2]), (None, near), (5, long[3]), (5, long[2]), (9, long[2]), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    exact = materialise(cp.exact_duplicates(spark, docs, ""), "exact")
+    got = sorted(((r.doc_id, (r.text or "").lower()) for r in exact.collect()), key=repr)
+    assert got == sorted([(None, long[0]), (None, long[1]), (None, near), (5, long[3]), (9, long[2]), (None, "")], key=repr)
+    kept = cp.near_duplicates(spark, exact, "")
+    assert kept.columns == list(cp.COLUMNS)
+    got = sorted(((r.doc_id, (r.text or "").lower()) for r in kept.collect()), key=repr)
+    assert got == sorted([(None, long[0]), (None, long[1]), (5, long[3]), (9, long[2]), (None, "")], key=repr)
+    alone = materialise(docs.where("doc_id IS NULL"), "nameless-docs")
+    assert cp.near_duplicates(spark, alone, "").count() == 4
