@@ -113,18 +113,26 @@ def kmeans(df: DataFrame, columns: list[str], k: int, seed: int = 42) -> DataFra
     return KMeans(k=k, seed=seed, featuresCol="_x", predictionCol="cluster").fit(x).transform(x).drop("_x")
 
 
-def cluster_segments(vectors: DataFrame, id_col: str, vec: str = "embedding", eps: float = 0.5, min_samples: int = 2) -> DataFrame:
-    """DBSCAN over all segments of one track; bisecting k-means with max(2, n/3) clusters where it finds one group or noise."""
-    one = vectors.withColumn("_g", F.lit(0))
-    found = similar_groups(one, "_g", id_col, eps, min_samples, vec).select("id", "cluster").checkpoint()
-    shape = found.agg(F.countDistinct("cluster").alias("k"), F.min("cluster").alias("lo"), F.count(F.lit(1)).alias("n")).first()
-    if shape.k >= 2 and shape.lo >= 0:
+def cluster_segments(vectors: DataFrame, group: str, id_col: str, vec: str = "embedding", eps: float = 0.5, min_samples: int = 2) -> DataFrame:
+    """(id, group, cluster): DBSCAN over all segments of each track; bisecting k-means with max(2, n/3) clusters for the tracks where it finds one group or noise.
+
+    Cluster numbers hold within a track. Tracks that fall back are fitted one after the other, each by all executors.
+    """
+    found = similar_groups(vectors, group, id_col, eps, min_samples, vec).select("id", group, "cluster").checkpoint()
+    shape = found.groupBy(group).agg(F.countDistinct("cluster").alias("k"), F.min("cluster").alias("lo"), F.count(F.lit(1)).alias("n"))
+    again = shape.where("k < 2 OR lo < 0").select(group, "n").orderBy(group).collect()
+    if not again:
         return found
     from pyspark.ml.clustering import BisectingKMeans
     from pyspark.ml.functions import array_to_vector
 
-    x = vectors.select(F.col(id_col).alias("id"), array_to_vector(F.col(vec).cast("array<double>")).alias("_x"))
-    return BisectingKMeans(k=max(2, shape.n // 3), seed=42, featuresCol="_x", predictionCol="cluster").fit(x).transform(x).select("id", "cluster")
+    out = found.join(shape.where("k >= 2 AND lo >= 0").select(group), group, "left_semi").select("id", group, F.col("cluster").cast("long").alias("cluster"))
+    for g, n in again:
+        x = vectors.where(F.col(group) == F.lit(g)).select(F.col(id_col).alias("id"), group, array_to_vector(F.col(vec).cast("array<double>")).alias("_x")).cache()
+        fit = BisectingKMeans(k=max(2, n // 3), seed=42, featuresCol="_x", predictionCol="cluster").fit(x)
+        out = out.union(fit.transform(x).select("id", group, F.col("cluster").cast("long")).checkpoint())
+        x.unpersist()
+    return out
 
 
 def cluster_confidence(vectors: DataFrame, cluster: str, id_col: str, vec: str = "embedding") -> DataFrame:

@@ -59,7 +59,7 @@ def c6(spark, d):
 
 @add("c7_cluster_segments")
 def c7(spark, d):
-    return op.cluster_segments(table(spark, d, "embeddings").where("label = 3"), "vec_id")
+    return op.cluster_segments(table(spark, d, "embeddings"), "label", "vec_id")
 
 
 @add("c8_cluster_confidence", """WITH x AS (SELECT vec_id, label, unnest(range(0,64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), c AS (SELECT label, i, avg(x) AS m FROM x GROUP BY 1, 2), d AS (SELECT vec_id, label, sqrt(sum(pow(x-m,2))) AS distance FROM x JOIN c USING (label, i) GROUP BY 1, 2)

@@ -83,6 +83,23 @@ def test_dbscan_finds_two_groups_and_noise(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3, 6: -1}
 
 
+def test_segments_of_every_label_are_clustered(spark, tmp_path):
+    from cadenza.plans import registry
+
+    near = {0: (1, 0), 1: (1, 0.01), 2: (0, 1), 3: (0.01, 1)}  # two groups: DBSCAN decides
+    lone = {4: (1, 0), 5: (1, 0.02), 6: (0, 1), 7: (-1, 0), 8: (-1, -0.02), 9: (0.02, 1), 10: (0.03, -1)}  # noise: bisecting
+    data = [(i, 1, [float(c) for c in v]) for i, v in near.items()] + [(i, g, [float(c) for c in v]) for g in (2, 3) for i, v in ((k + 100 * (g - 2), v) for k, v in lone.items())]
+    spark.createDataFrame(data, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = registry.QUERIES["c7_cluster_segments"](spark, str(tmp_path)).collect()
+    assert sorted(r.id for r in out) == sorted(i for i, _, _ in data)
+    got = {r.id: (r.label, r.cluster) for r in out}
+    assert [got[i] for i in range(4)] == [(1, 0), (1, 0), (1, 2), (1, 2)]
+    for g in (2, 3):
+        own = {k: c for k, (label, c) in got.items() if label == g}
+        assert len(own) == 7 and len(set(own.values())) == 2
+        assert own[4 + 100 * (g - 2)] == own[5 + 100 * (g - 2)] and own[7 + 100 * (g - 2)] == own[8 + 100 * (g - 2)]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.id: r.label for r in similarity.min_label_components(edges).collect()}
