@@ -49,7 +49,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.linked_groups(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+    return jaccard_join.linked_groups(table(spark, sf_dir, "documents"), k=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

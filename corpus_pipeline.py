@@ -34,21 +34,17 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: five-word shingles, similarity 0.8; the smallest doc_id of each group stays.
+    """Operator 7: five-word shingles, similarity 0.8; one document of each group stays, that with the smallest doc_id.
 
-    Rows without an id are compared under ids of their own above all others, so that one of
-    them stays only where its group has no row with an id; they leave without an id.
+    Rows without an id come after all others of their group, rows of one id (or without
+    one) are taken by the hash of id and text, and of rows equal in both one stays. Rows
+    without words stay, but for repeated ones. Nothing is broadcast or kept but one key a group.
     """
-    nameless = docs.where("doc_id IS NULL")
-    above = None
-    if not nameless.isEmpty():
-        above = max(-1, docs.agg(F.max("doc_id")).first()[0] or 0) + 1
-        named = materialise(nameless.withColumn("doc_id", F.lit(above) + F.monotonically_increasing_id()), "nameless")
-        docs = docs.where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long")).unionByName(named)
     groups = jaccard_join.linked_groups(docs, k=5, num=80, den=100)
-    stays = groups.where("doc_id = component_id").select("doc_id")
-    kept = docs.join(stays, "doc_id", "left_semi").select(*COLUMNS)
-    return kept if above is None else kept.withColumn("doc_id", F.when(F.col("doc_id") < above, F.col("doc_id")))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first")
+    stays = materialise(groups.groupBy("group").agg(first).select("first.row_key").join(groups, "row_key").groupBy("row_key").agg(F.count(F.lit(1)).alias("rows")), "near-kept")
+    kept = docs.withColumn("row_key", jaccard_join.row_key()).join(stays, "row_key")
+    return kept.where("rows = 1").select(*COLUMNS).unionByName(kept.where("rows > 1").dropDuplicates(["row_key"]).select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

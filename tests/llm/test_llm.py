@@ -72,15 +72,45 @@ def test_linked_groups_equal_all_pairs(spark, prose, k, num, den):
     assert got == brute.components(list(enumerate(prose)), k, num, den)
 
 
-def test_linked_groups_with_many_heavy_tokens(spark, prose, monkeypatch):
-    """Combinations, hubs and the exact rest: every repeated token counts as heavy, no group is small."""
-    monkeypatch.setattr(jaccard_join, "heavy_tokens", lambda found: np.sort(np.array([r.s1 for r in found.where("n = -1").select("s1").distinct().collect()], np.int64).view(np.uint64)))
-    monkeypatch.setattr(jaccard_join, "SMALL", 1)
-    monkeypatch.setattr(jaccard_join, "ROUNDS", 1)
+def every_repeated_token(found):
+    return np.sort(np.array([r.node for r in found.where("n = -1").select("node").distinct().collect()], np.int64).view(np.uint64))
+
+
+@pytest.mark.parametrize(("small", "direct", "levels"), [(1, 1, 0), (1, 1, 1), (1, 1, 6), (2, 3, 6)])
+def test_linked_groups_with_frequent_tokens(spark, prose, monkeypatch, small, direct, levels):
+    """Combinations grown to any length, and the direct rest: every repeated token counts as frequent, few groups are small."""
+    monkeypatch.setattr(jaccard_join, "heavy_tokens", every_repeated_token)
+    for name, value in (("SMALL", small), ("DIRECT", direct), ("LEVELS", levels)):
+        monkeypatch.setattr(jaccard_join, name, value)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.linked_groups(frame(spark, prose), 4).collect()}
     assert got == brute.components(list(enumerate(prose)), 4, 85, 100)
 
 
+@pytest.mark.parametrize(("k", "num", "den"), [(1, 85, 100), (4, 85, 100), (1, 60, 100)])
+def test_linked_groups_of_one_boilerplate(spark, monkeypatch, k, num, den):
+    """A large group that shares most words, some members of which link and many of which do not."""
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(90)]
+    docs = []
+    for _ in range(220):
+        w = list(base[: rnd.choice([90, 90, 70])])
+        for _ in range(rnd.randint(0, 24)):
+            w[rnd.randrange(len(w))] = rnd.choice([f"v{rnd.randrange(6)}", f"u{rnd.randrange(4000)}", ""])
+        docs.append(" ".join(x for x in w if x))
+    monkeypatch.setattr(jaccard_join, "DIRECT", 12)
+    monkeypatch.setattr(jaccard_join, "heavy_tokens", every_repeated_token)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.linked_groups(frame(spark, docs), k, num, den).collect()}
+    want = brute.components(list(enumerate(docs)), k, num, den)
+    assert got == want and 1 < len({c for _, c in want.values()}) < 220
+
+
+def test_linked_groups_of_repeated_and_missing_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (5, b), (3, a + " x"), (None, b), (None, b + " y"), (None, "alone in the world"), (5, a), (None, None), (7, "")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.linked_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == sorted([(5, 57, 3), (5, 57, 5), (3, 58, 3), (None, 57, 5), (None, 58, 5), (None, 1, None), (5, 57, 3), (None, 0, None), (7, 0, 7)], key=repr)
+
+
 @pytest.mark.parametrize("shares", [(), (0.5,), (0.2, 0.4, 0.6, 0.8)])
 def test_repeats_equal_brute_force(spark, prose, shares):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(frame(spark, prose), shares).collect()}
