@@ -6,7 +6,8 @@ array: hashes of their substrings probe the sorted keys of the pieces. For unigr
 models a vectorised Viterbi keeps the best score and a backpointer per position;
 for BPE models, whose ids Viterbi over the piece scores cannot give, the best pair
 of every word merges at once, round by round. Both equal the public library's ids
-for the model kind. Words seen before are remembered (a bounded number).
+for the model kind. Words seen before are remembered (a bounded number, in two
+generations).
 
 Characters without a piece become byte pieces where the model has them, else the
 unknown id. A null or empty text has no ids; decoding gives back the text exactly
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 CACHED = 400_000
 LONGEST = 64  # words above this are handled one by one
+BATCH = 4_000_000  # characters that are encoded together
+RADIX = 18  # leading bits by which the sorted keys are found
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,16 +57,32 @@ class Model:
         self.unk_score = min((s for _, _, s in normal), default=0.0) - 10
         keys = np.array([_hash_one(p) for p, _, _ in normal], np.uint64)
         order = np.argsort(keys)
-        self.keys, self.ids = keys[order], np.array([i for _, i, _ in normal], np.int64)[order]
-        self.scores = np.array([s for _, _, s in normal], np.float64)[order]
+        self.keys = keys[order]
         if len(np.unique(keys)) != len(keys):
             raise ValueError("two pieces have the same 64-bit key")
-
-    def probe(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(id, score) for each key; id -1 where no piece has it."""
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        hit = self.keys[at] == h
-        return np.where(hit, self.ids[at], -1), np.where(hit, self.scores[at], -np.inf)
+        # the last entry is that of a miss
+        self.ids = np.append(np.array([i for _, i, _ in normal], np.int64)[order], -1)
+        self.scores = np.append(np.array([s for _, _, s in normal], np.float64)[order], -np.inf)
+        self.first = np.searchsorted(self.keys, np.arange(1 << RADIX, dtype=np.uint64) << np.uint64(64 - RADIX)).astype(np.int32)
+        self.crowd = np.diff(np.append(self.first, len(self.keys))).astype(np.int8)
+        self.by_piece = {p: (i, s) for p, i, s in normal}
+        cut = np.cumsum([0, *map(len, self.spelling)])
+        self.spelt, self.spelt_at, self.spelt_size = np.frombuffer(b"".join(self.spelling), np.uint8), cut[:-1], np.diff(cut)
+
+    def probe(self, h: np.ndarray) -> np.ndarray:
+        """Place of each key among the sorted keys; their number where no piece has it."""
+        top = (h >> np.uint64(64 - RADIX)).astype(np.int64)
+        crowd = self.crowd[top]
+        at = np.full(len(h), len(self.keys), np.int32)
+        some = np.flatnonzero(crowd)
+        step = 0
+        while len(some):  # keys with the same leading bits lie side by side
+            place = self.first[top[some]] + step
+            hit = self.keys[place] == h[some]
+            at[some[hit]] = place[hit]
+            step += 1
+            some = some[~hit & (crowd[some] > step)]
+        return at
 
     def spell(self, char: str) -> list[int]:
         """Ids of a character that has no piece."""
@@ -73,15 +92,10 @@ class Model:
 
 
 def _hash_one(piece: str) -> np.uint64:
-    return _hash_rows(np.array([[ord(c) for c in piece]], np.uint64))[0]
-
-
-def _hash_rows(codes: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = np.full(len(codes), codes.shape[1], np.uint64)
-        for j in range(codes.shape[1]):
-            h = _step(h, codes[:, j])
-        return h
+    h = np.full(1, _B)
+    for c in piece:
+        h = _step(h, np.array([ord(c)], np.uint64))
+    return h[0]
 
 
 def _step(h: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -89,21 +103,13 @@ def _step(h: np.ndarray, code: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _windows(codes: np.ndarray, length: int) -> np.ndarray:
-    """Hash of each substring of ``length`` of every row: (rows, positions)."""
-    n = codes.shape[1] - length + 1
-    h = np.full((len(codes), n), length, np.uint64)
-    for j in range(length):
-        h = _step(h, codes[:, j : j + n])
-    return h
-
-
-def _tables(model: Model, codes: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """(ids, scores) of every substring by length: (rows, positions) each."""
-    out = {}
-    for k in range(1, min(codes.shape[1], model.longest) + 1):
-        ids, scores = model.probe(_windows(codes, k).ravel())
-        out[k] = ids.reshape(len(codes), -1), scores.reshape(len(codes), -1)
+def _tables(model: Model, codes: np.ndarray) -> dict[int, np.ndarray]:
+    """Places (``Model.probe``) of every substring by length: (rows, positions) each. Hashes grow by one character a length."""
+    out, rows, n = {}, *codes.shape
+    h = np.full(codes.shape, _B)
+    for k in range(1, min(n, model.longest) + 1):
+        h = _step(h[:, : n - k + 1], codes[:, k - 1 :])
+        out[k] = model.probe(h.ravel()).reshape(rows, -1)
     return out
 
 
@@ -120,13 +126,13 @@ def viterbi(model: Model, codes: np.ndarray, table: dict) -> tuple[np.ndarray, n
     for end in range(1, n + 1):
         longest = min(end, model.longest)
         lengths = np.arange(longest, 0, -1)
-        ids = np.stack([table[k][0][:, end - k] for k in lengths], axis=1)
-        total = np.stack([table[k][1][:, end - k] for k in lengths], axis=1)
-        total[:, -1] = np.where(ids[:, -1] < 0, model.unk_score, total[:, -1])
+        places = np.stack([table[k][:, end - k] for k in lengths], axis=1)
+        ids, total = model.ids, model.scores[places]
+        total[:, -1] = np.where(places[:, -1] == len(model.keys), model.unk_score, total[:, -1])
         total = total + best[:, end - longest : end]
         top = total.argmax(1)
         every = np.arange(rows)
-        best[:, end], piece[:, end], back[:, end] = total[every, top], ids[every, top], end - lengths[top]
+        best[:, end], piece[:, end], back[:, end] = total[every, top], ids[places[every, top]], end - lengths[top]
     ends, at = np.zeros((rows, n + 1), bool), np.full(rows, n)
     every = np.arange(rows)
     while len(every):
@@ -139,30 +145,35 @@ def viterbi(model: Model, codes: np.ndarray, table: dict) -> tuple[np.ndarray, n
 def merges(model: Model, codes: np.ndarray, table: dict) -> tuple[np.ndarray, np.ndarray]:
     """BPE of words of one length, in the form of ``viterbi``: every round each row merges its best pair, leftmost first."""
     rows, n = codes.shape
-    score = np.full((rows, n + 1, n + 1), -np.inf, np.float32)  # of [a, b)
-    ident = np.full((rows, n + 1, n + 1), -1, np.int32)
-    for k, (ids, s) in table.items():
+    miss = len(model.keys)
+    place = np.full((rows, n + 1, n + 1), miss, np.int32)  # of [a, b)
+    for k, t in table.items():
         at = np.arange(n - k + 1)
-        ident[:, at, at + k] = ids
-        if k > 1:
-            score[:, at, at + k] = s
-    start = np.tile(np.arange(n + 1), (rows, 1))  # symbol bounds; the tail repeats n
-    live = np.arange(rows)
-    while len(live) and n > 1:
-        s = start[live]
-        pair = score[live[:, None], s[:, :-2], s[:, 2:]]  # an empty symbol in the tail has no score: [x, n) twice
-        pair[s[:, 1:-1] >= n] = -np.inf
+        place[:, at, at + k] = t
+    done = np.tile(np.arange(n + 1), (rows, 1))  # symbol bounds; the tail repeats n
+    live, start = np.arange(rows), done.copy()
+    pair = np.full((rows, n), -np.inf)  # score of merging a symbol with the next
+    if n > 1:
+        pair[:, : n - 1] = model.scores[table[2]]
+    column = np.arange(n + 1)[None, :]
+    while len(live):
         at = pair.argmax(1)
         go = pair[np.arange(len(live)), at] > -np.inf
-        live, at, s = live[go], at[go], s[go]
-        moved = np.concatenate([s[:, 1:], np.full((len(s), 1), n)], axis=1)
-        start[live] = np.where(np.arange(n + 1)[None, :] > at[:, None], moved, s)
+        done[live[~go]] = start[~go]
+        live, at, start, pair = live[go], at[go], start[go], pair[go]
+        moved = np.minimum(column + (column > at[:, None]), n)
+        start = np.take_along_axis(start, moved, 1)
+        here = np.arange(len(live))
+        pair = np.take_along_axis(pair, np.minimum(moved[:, :n], n - 1), 1)
+        after = start[here, np.minimum(at + 1, n)]
+        joined = model.scores[place[live, start[here, at], start[here, np.minimum(at + 2, n)]]]
+        pair[here, at] = np.where(after < n, joined, -np.inf)
+        left = np.flatnonzero(at > 0)
+        pair[left, at[left] - 1] = model.scores[place[live[left], start[left, at[left] - 1], after[left]]]
     ends, piece = np.zeros((rows, n + 1), bool), np.full((rows, n + 1), -1, np.int64)
-    every = np.arange(rows)[:, None]
-    ends[every, start[:, 1:]] = True
-    piece[every, start[:, 1:]] = np.where(start[:, 1:] > start[:, :-1], ident[every, start[:, :-1], start[:, 1:]], piece[every, start[:, 1:]])
-    last = (start < n).sum(1) - 1  # the final symbol of each row
-    piece[:, n] = ident[np.arange(rows), start[np.arange(rows), last], n]
+    r, c = np.nonzero(done[:, :-1] < n)
+    a, b = done[r, c], done[r, c + 1]
+    ends[r, b], piece[r, b] = True, model.ids[place[r, a, b]]
     return ends, piece
 
 
@@ -170,16 +181,15 @@ def _merge_long(model: Model, word: str) -> list[int]:
     """The same merges for one long word, by a heap: n log n."""
     import heapq
 
-    known = {p: k for k, p in enumerate(model.pieces)}
-    by_id = dict(zip(model.ids.tolist(), model.scores.tolist(), strict=True))
+    known = model.by_piece
     sym, nxt, prv = list(word), list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
     heap: list = []
 
     def offer(a: int, b: int) -> None:
         if a >= 0 and b < len(sym):
-            i = known.get(sym[a] + sym[b])
-            if i is not None and i in by_id:
-                heapq.heappush(heap, (-by_id[i], a, b, sym[a], sym[b]))
+            found = known.get(sym[a] + sym[b])
+            if found is not None:
+                heapq.heappush(heap, (-found[1], a, b, sym[a], sym[b]))
 
     for a in range(len(sym) - 1):
         offer(a, a + 1)
@@ -192,16 +202,47 @@ def _merge_long(model: Model, word: str) -> list[int]:
             prv[nxt[b]] = a
         offer(prv[a], a)
         offer(a, nxt[a])
-    return [known[s] if s in known and known[s] in by_id else -1 - ord(s) for s in sym if s]
+    return [known[s][0] if s in known else -1 - ord(s) for s in sym if s]
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices of the spans [start, start + size) one after another."""
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(int(size.sum()))
+
+
+class _Words:
+    """Segmented words: number of each word, and per kind the ids of all words with where they begin."""
+
+    def __init__(self, kinds: int) -> None:
+        self.number: dict[str, int] = {}
+        self.ids = [np.zeros(0, np.uint32) for _ in range(kinds)]
+        self.cut = [np.zeros(1, np.int64) for _ in range(kinds)]
+
+    def add(self, words: list[str], ids: list[np.ndarray], sizes: list[np.ndarray]) -> None:
+        n = len(self.number)
+        self.number.update(zip(words, range(n, n + len(words)), strict=True))
+        for k, (x, size) in enumerate(zip(ids, sizes, strict=True)):
+            self.cut[k] = np.concatenate([self.cut[k], self.cut[k][-1] + np.cumsum(size)])
+            self.ids[k] = np.concatenate([self.ids[k], x.astype(np.uint32)])
+
+    def take(self, k: int, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of words by number."""
+        size = self.cut[k][numbers + 1] - self.cut[k][numbers]
+        return self.ids[k][_spans(self.cut[k][numbers], size)], size
 
 
 class Encoder:
-    """Encodes batches of texts with one model, by its own and other kinds of segmentation."""
+    """Encodes batches of texts with one model, by its own and other kinds of segmentation.
+
+    Words are remembered in two generations of about ``CACHED`` words; the older one goes
+    when the younger is full, and what is met again moves into the younger.
+    """
 
     def __init__(self, path: str, kinds: tuple[str, ...] = ("",)) -> None:
         self.model = Model(path)
         self.kinds = tuple(k or self.model.kind for k in kinds)
-        self.known: dict[str, tuple[bytes, ...]] = {}
+        self.young, self.old = _Words(len(kinds)), _Words(len(kinds))
 
     def _words(self, text: str) -> list[str]:
         if not text:
@@ -219,56 +260,83 @@ class Encoder:
             out.append(MARK * marks)
         return out
 
-    def _spelled(self, path: list[int]) -> bytes:
+    def _spelled(self, path: list[int]) -> np.ndarray:
         ids: list[int] = []
         for i in path:
             ids += [i] if i >= 0 else self.model.spell(chr(-1 - i))
-        return np.array(ids, "<u4").tobytes()
+        return np.array(ids, np.int64)
 
-    def _segment(self, kind: str, codes: np.ndarray, table: dict) -> list[bytes]:
+    def _segment(self, kind: str, codes: np.ndarray, table: dict) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, how many each row has)."""
         ends, piece = (merges if kind == "bpe" else viterbi)(self.model, codes, table)
-        ids, counts = piece[ends], ends.sum(1)
-        data, cut = ids.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(counts)]).tolist()
-        out = [data[4 * a : 4 * b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        for r in np.flatnonzero(((piece < 0) & ends).any(1)).tolist():
-            at = np.flatnonzero(ends[r])
-            out[r] = self._spelled([int(piece[r, e]) if piece[r, e] >= 0 else -1 - int(codes[r, e - 1]) for e in at])
-        return out
+        row, end = np.nonzero(ends)
+        ids, unknown = piece[row, end], np.flatnonzero(piece[row, end] < 0)
+        if not len(unknown):
+            return ids, ends.sum(1)
+        chars = codes[row[unknown], end[unknown] - 1]  # a character without a piece: its own ids in its place
+        found, of = np.unique(chars, return_inverse=True)
+        own = [self.model.spell(chr(int(c))) for c in found]
+        size = np.ones(len(ids), np.int64)
+        size[unknown] = np.array([len(x) for x in own])[of]
+        out = np.repeat(ids, size)
+        at = np.cumsum(size) - size
+        out[_spans(at[unknown], size[unknown])] = np.concatenate([own[j] for j in of])
+        return out, np.bincount(row, size, minlength=len(codes)).astype(np.int64)
 
     def learn(self, words: set[str]) -> None:
         """Segment words that are not known yet, those of one length together."""
-        if len(self.known) > CACHED:
-            self.known.clear()
+        if len(self.young.number) > CACHED:
+            self.old, self.young = self.young, _Words(len(self.kinds))
+        new = words - self.young.number.keys()
+        again = [w for w in new if w in self.old.number]
+        if again:
+            numbers = np.array([self.old.number[w] for w in again])
+            self.young.add(again, *zip(*[self.old.take(k, numbers) for k in range(len(self.kinds))], strict=True))
         by_length: dict[int, list[str]] = {}
-        for w in words - self.known.keys():
+        for w in new.difference(again):
             by_length.setdefault(len(w), []).append(w)
         for n, group in by_length.items():
             step = max(1, 3_000_000 // ((n + 1) * (n + 1 if n <= LONGEST else 2 * self.model.longest)))
             for a in range(0, len(group), step):
                 part = group[a : a + step]
                 codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n).astype(np.uint64)
-                table = _tables(self.model, codes)
-                found = [
-                    [self._spelled(_merge_long(self.model, w)) for w in part] if kind == "bpe" and n > LONGEST else self._segment(kind, codes, table)
-                    for kind in self.kinds
-                ]
-                self.known.update(zip(part, zip(*found, strict=True), strict=True))
+                table = _tables(self.model, codes) if n <= LONGEST or "unigram" in self.kinds else {}
+                found = []
+                for kind in self.kinds:
+                    if kind == "bpe" and n > LONGEST:
+                        long = [self._spelled(_merge_long(self.model, w)) for w in part]
+                        found.append((np.concatenate(long), np.array([len(x) for x in long])))
+                    else:
+                        found.append(self._segment(kind, codes, table))
+                self.young.add(part, *zip(*found, strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, ...]]:
         """Little-endian 32-bit ids of each text, once for each kind."""
-        for a in range(0, len(texts), 500):
-            split = [self._words(t) for t in texts[a : a + 500]]
+        a = 0
+        while a < len(texts):
+            b, size = a, 0
+            while b < len(texts) and (b == a or size + len(texts[b]) <= BATCH):
+                size += len(texts[b])
+                b += 1
+            split = [self._words(t) for t in texts[a:b]]
             self.learn(set().union(*split))
-            known = self.known
-            for ws in split:
-                found = [known[w] for w in ws]
-                yield tuple(b"".join([f[k] for f in found]) for k in range(len(self.kinds)))
+            number = self.young.number
+            numbers = np.array([number[w] for ws in split for w in ws], np.int64)
+            bounds = np.cumsum([0, *map(len, split)])
+            found = []
+            for k in range(len(self.kinds)):
+                ids, sizes = self.young.take(k, numbers)
+                cut = np.concatenate([[0], np.cumsum(sizes)])[bounds].tolist()
+                data = ids.astype("<u4").tobytes()
+                found.append([data[4 * x : 4 * y] for x, y in zip(cut[:-1], cut[1:], strict=True)])
+            yield from zip(*found, strict=True)
+            a = b
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: byte pieces join, the leading space mark goes."""
         m = self.model
-        out = b"".join([m.spelling[i] for i in ids.tolist()])
-        text = out.decode("utf-8", "replace").replace(MARK, " ")
+        at = _spans(m.spelt_at[ids], m.spelt_size[ids])
+        text = m.spelt[at].tobytes().decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if m.dummy and text.startswith(" ") else text
 
 
