@@ -261,13 +261,49 @@ def test_long_secrets_and_quoted_ones_are_found_and_clean_prose_is_left_alone(sp
     got = [r.spans for r in pii.detect(frame(spark, texts)).orderBy("doc_id").collect()]
     assert [s for s in got[:4]] == [f"secret:13:{13 + len(v)}" for v in long]
     assert got[4:8] == ["secret:13:53"] * 4 and got[8:] == [""] * 15
-    # the votes of a corpus in which secrets have all votes and other proposals none: shape and quotes suffice
-    weights = pii.train([(0, 30.0, 30.0, 7.5), (15, 13.0, 8.1, 8.1)])
+    # shape and quotes suffice without a naming word
+    weights = pii.classifier(frame(spark, texts))
     assert pii.find_spans(f'it reads "{key}" here', weights)["secret"] == [(10, 50)]
     assert pii.find_spans(f"commit {key} fixes it", weights)["secret"] == []
     assert pii.redact(texts[2], got[2]) == 'set token = "<secret>" now'
 
 
+def test_reliabilities_are_recovered_from_votes_alone():
+    rnd = np.random.default_rng(8)
+    truth = np.array([0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.9, 0.6])
+    speaks = np.array([0.9, 0.8, 0.9, 0.5, 0.7, 0.3, 0.6, 0.9])
+    y = np.where(rnd.random(40_000) < 0.3, 1, -1)
+    votes = np.where(rnd.random((40_000, 8)) < truth, y[:, None], -y[:, None]) * (rnd.random((40_000, 8)) < speaks)
+    values, counts = np.unique([pii.pattern(v) for v in votes.tolist()], return_counts=True)
+    prior, right, post = pii.reliabilities(list(zip(values.tolist(), counts.astype(float).tolist(), strict=True)))
+    assert abs(prior - 0.3) < 0.03 and np.abs(right - truth).max() < 0.03
+    # two reliable votes outweigh three poor ones
+    assert post[pii.pattern((1, 1, 0, 0, 0, -1, 0, -1))] > 0.5
+
+
+def test_the_classifier_overrules_a_majority_of_votes(spark):
+    """Access keys in prose get more votes against than for them from labelers other than the shape, hashes the reverse."""
+    rnd = random.Random(2)
+    pick = lambda chars, n: "".join(rnd.choice(chars) for _ in range(n))
+    hexes, upper = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    texts = [f"password={pick(hexes, 18)} and" for _ in range(30)] + [f'token = "{pick(hexes, 40)}" x' for _ in range(30)] + [f"given AKIA{pick(upper, 16)} to us" for _ in range(30)]
+    texts += ["a word of antidisestablishmentarianism again"] * 40 + [f"order {pick('0123456789', 16)}1 came" for _ in range(60)] + [f"commit {pick(hexes, 40)} fixes" for _ in range(30)]
+    weights = pii.classifier(frame(spark, texts))
+    got = [bool(pii.find_spans(t, weights)["secret"]) for t in texts]
+    assert got == [True] * 90 + [False] * 130
+    value = 'use "' + pick(hexes, 64) + '" in revision "' + pick(hexes, 18) + '"'
+    against = [(sum(v), pii.scored(f, weights) >= 0.5) for t in [*texts, value, f"password={'a1' * 9}", f"password={'ab' * 10}"] for _, _, v, f in pii.proposals(t)]
+    assert any((total < 0) == secret for total, secret in against if total)
+
+
+def test_votes_change_no_base_span(spark):
+    texts = ["card 4111 1111 1111 1111 and password=4111111111111111 or a@b.org", "token = 10.20.30.40 id 12345678901234567890"]
+    for i, r in enumerate(pii.detect(frame(spark, texts)).orderBy("doc_id").collect()):
+        base = pii.base_spans(texts[i])
+        assert r.spans.split(",secret")[0] == ",".join(f"{k}:{a}:{b}" for k in pii.KINDS[:4] for a, b in base[k])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(len(base[k]) for k in pii.KINDS[:4])
+
+
 def test_url_rules_and_list(spark):
     host, path = url_filter.parse(F.col("url"))
     urls = [None, "", "nourl", "HTTP://Example.COM/en/x?q#f", "http://www.example.com/en/", "http://a.net/es/", "http://a.net", "x://h?q", "http://notexample.com/en/"]
