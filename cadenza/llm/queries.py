@@ -10,9 +10,6 @@ from .common import LOWER, UPPER, materialise, table
 
 HELD_OUT = "pmod(crc32(cast(doc_id AS string)), 3) = 1"
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: Names in a host's labels that put its pages on the list.
-LISTED_NAMES = "spam|casino|pills|xxx|warez"
-
 
 def tokenizer(name: str) -> str:
     """Path of a public tokenizer's file."""
@@ -61,12 +58,17 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents")).drop("text")
 
 
+def reported_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of canonical URLs: those of the pages that ``labels`` reports as toxic under the page's number."""
+    reports = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("page_id")).distinct()
+    return table(spark, sf_dir, "pages").join(reports, "page_id", "left_semi").select(url_filter.canonical(F.col("url").cast("string")).alias("url"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    host, path = url_filter.parse(F.col("url").cast("string"))
-    pages = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
-    pages = pages.withColumn("key", url_filter.canonical(F.col("host"), F.col("path")))
-    bad = pages.where(F.col("host").rlike(rf"(^|\.|-)({LISTED_NAMES})")).select(F.col("key").alias("url")).distinct()
-    judged = url_filter.listed(pages, bad, "key").withColumn("r", url_filter.longest_rule(F.col("host"), F.col("path"), URL_RULES))
+    url = F.col("url").cast("string")
+    host, path = url_filter.parse(url)
+    pages = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"), url_filter.canonical(url).alias("key"))
+    judged = url_filter.listed(pages, reported_urls(spark, sf_dir), "key").withColumn("r", url_filter.longest_rule(F.col("host"), F.col("path"), URL_RULES))
     verdict = F.coalesce("r.verdict", F.when(F.col("is_listed"), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "is_listed")
 
@@ -124,9 +126,10 @@ l AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) A
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to FROM l""",
     "op10_url_filter": rf"""WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-h AS (SELECT page_id, {_HOST} AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
-k AS (SELECT *, CASE WHEN host <> '' THEN host || regexp_replace(regexp_replace(path, '/+$', ''), '\.html$', '') END AS key FROM h),
-bad AS (SELECT DISTINCT key FROM k WHERE regexp_matches(host, '(^|\.|-)({LISTED_NAMES})') AND key IS NOT NULL),
+h AS (SELECT page_id, {_HOST} AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
+      regexp_replace(regexp_replace(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '(^|&)utm_[^&]*', '', 'g'), '^&+', '') AS query FROM u),
+k AS (SELECT *, CASE WHEN host <> '' THEN host || regexp_replace(path, '/+$', '') || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS key FROM h),
+bad AS (SELECT DISTINCT key FROM k WHERE key IS NOT NULL AND page_id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
 r(verdict, rhost, rpath) AS (VALUES ('allow','com','/'),('block','example.com','/en/'),('allow','www.example.com','/en/'),('block','net','/es/'),('block','net','/fr/')),
 f AS (SELECT k.page_id, r.rhost || r.rpath AS rule, r.verdict, row_number() OVER (PARTITION BY k.page_id ORDER BY length(r.rhost || r.rpath) DESC) AS rn
       FROM k JOIN r ON (k.host = r.rhost OR k.host LIKE '%.' || r.rhost) AND starts_with(k.path, r.rpath))

@@ -1,14 +1,17 @@
 """Operator 10: URL rules, and a list of canonical URLs behind a blocked Bloom filter.
 
-``parse`` splits a URL into host and path. ``longest_rule`` finds, of a small
-table of (host, path, verdict) rules, the longest that fits. ``listed`` decides
-whether a canonical URL is in a list of any size: the list is hashed into a
-blocked Bloom filter (256-bit blocks, built by a distributed bitwise-or
-aggregation; at most ``MAX_BLOCKS`` blocks, so at most 6 MB), which passes
-possible hits to an exact hash join that removes the false positives.
+``parse`` splits a URL into host and path. ``longest_rule`` finds, of a small table of
+(host, path, verdict) rules, the longest that fits. ``listed`` decides whether a
+canonical URL is in a list of any size: the list is hashed into a blocked Bloom filter
+(256-bit blocks, built by a distributed bitwise-or aggregation and sized by the list's
+count), which passes possible hits to an exact hash join that removes the false
+positives. A list of more than ``MAX_LISTED`` URLs, whose filter would be too large to
+broadcast, is joined without one.
 
 A null URL, or one without ``://``, has an empty host and path, fits no rule and is
-not listed. Repeated rows are judged alike; an empty table gives an empty result.
+not listed. Repeated rows are judged alike; an empty table gives an empty result, an
+empty list lists nothing. The input's columns may have any names; one of the name of
+the verdict column is replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ from .common import LOWER, UPPER
 
 WORDS = 4  # of 64 bits in a block
 PROBES = 6
-MAX_BLOCKS = 1 << 17
+URLS_A_BLOCK = 16  # 16 bits a URL
+MAX_LISTED = 1 << 21  # the filter is at most 131,072 blocks of 32 bytes
 
 
 def parse(url: Column) -> tuple[Column, Column]:
@@ -32,9 +36,15 @@ def parse(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
-def canonical(host: Column, path: Column) -> Column:
-    """Host and path without trailing slashes or an ``.html`` ending; empty host: null."""
-    return F.when(host != "", F.concat(host, F.regexp_replace(F.regexp_replace(path, r"/+$", ""), r"\.html$", "")))
+def canonical(url: Column) -> Column:
+    """The form in which URLs are listed: host, path without trailing slashes, and the query without ``utm_`` parameters.
+
+    Scheme and fragment go, the rest of the query stays in its order. Null where there is no host.
+    """
+    host, path = parse(url)
+    query = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
+    query = F.regexp_replace(F.regexp_replace(query, r"(^|&)utm_[^&]*", ""), r"^&+", "")
+    return F.when(host != "", F.concat(host, F.regexp_replace(path, r"/+$", ""), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))))
 
 
 def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -70,23 +80,35 @@ def build_filter(urls: DataFrame, n_blocks: int) -> DataFrame:
     return keyed.groupBy("block").agg(*[F.bit_or(f"w{k}").alias(f"w{k}") for k in range(WORDS)])
 
 
-def listed(pages: DataFrame, urls: DataFrame, key: str, n_blocks: int = MAX_BLOCKS) -> DataFrame:
-    """``pages`` with boolean ``is_listed``: column ``key`` is in ``urls.url``."""
-    if n_blocks > MAX_BLOCKS:
-        raise ValueError(f"at most {MAX_BLOCKS} blocks can be broadcast")
-    block, words = _probe(F.col(key), n_blocks)
-    tested = pages.withColumn("_block", block).join(
-        F.broadcast(build_filter(urls, n_blocks).select(F.col("block").alias("_block"), *[F.col(f"w{k}").alias(f"_w{k}") for k in range(WORDS)])),
-        "_block",
-        "left",
-    )
-    hit = F.col(key).isNotNull()
+def n_blocks_for(n_listed: int) -> int:
+    """Blocks of the filter of so many URLs: a power of two with ``URLS_A_BLOCK`` in each at most."""
+    return 1 << max(0, -(-n_listed // URLS_A_BLOCK) - 1).bit_length()
+
+
+def possible(pages: DataFrame, urls: DataFrame, key: str, n_blocks: int) -> DataFrame:
+    """(row, key, maybe) of each page: all its columns in a struct, its key, and whether the filter of ``urls.url`` holds it."""
+    block, words = _probe(F.col("key"), n_blocks)
+    parts = build_filter(urls, n_blocks).select("block", F.struct(*[F.col(f"w{k}") for k in range(WORDS)]).alias("bits"))
+    whole = pages.select(F.struct("*").alias("row"), F.col(key).alias("key")).withColumn("block", block)
+    tested = whole.join(F.broadcast(parts), "block", "left")
+    hit = F.col("key").isNotNull() & F.col("bits").isNotNull()
     for k, w in enumerate(words):
-        hit = hit & (F.coalesce(F.col(f"_w{k}"), F.lit(0)).bitwiseAND(w) == w)
-    tested = tested.withColumn("_maybe", F.when(hit, F.col(key)))
-    # only possible hits have a key; the others match nothing and stay where they are
-    exact = urls.where(F.col("url").isNotNull()).select(F.col("url").alias("_maybe"), F.lit(True).alias("_in")).distinct()
-    yes = tested.where(F.col("_maybe").isNotNull()).join(exact, "_maybe", "left")
-    no = tested.where(F.col("_maybe").isNull()).withColumn("_in", F.lit(False))
-    both = yes.unionByName(no)
-    return both.select(*[c for c in pages.columns], F.coalesce("_in", F.lit(False)).alias("is_listed"))
+        hit = hit & (F.col(f"bits.w{k}").bitwiseAND(w) == w)
+    return tested.select("row", "key", F.coalesce(hit, F.lit(False)).alias("maybe"))
+
+
+def listed(pages: DataFrame, urls: DataFrame, key: str, name: str = "is_listed", max_listed: int = MAX_LISTED) -> DataFrame:
+    """``pages`` with boolean ``name``: column ``key`` is in ``urls.url``. Rows stay one to one.
+
+    The possible hits alone are joined, so that all other pages stay where they are; for
+    that the pages' key is tested twice, which costs less than to shuffle them.
+    """
+    exact = urls.where(F.col("url").isNotNull()).select("url").distinct()
+    n = exact.count()
+    if n <= max_listed:
+        tested = possible(pages, exact, key, n_blocks_for(n))
+    else:
+        tested = pages.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(key).isNotNull().alias("maybe"))
+    hits = tested.where("maybe").join(exact.select(F.col("url").alias("key"), F.lit(True).alias("in_list")), "key", "left")
+    both = hits.select("row", F.coalesce("in_list", F.lit(False)).alias("in_list")).unionByName(tested.where("NOT maybe").select("row", F.lit(False).alias("in_list")))
+    return both.select(*[F.col("row")[c].alias(c) for c in pages.columns if c.lower() != name.lower()], F.col("in_list").alias(name))

@@ -313,10 +313,42 @@ def test_url_rules_and_list(spark):
     assert got[0] == got[1] == got[2] == ("", "", None, None)
     assert got[3] == ("example.com", "/en/x", "example.com/en/", "block") and got[4][2] == "www.example.com/en/" and got[5][2:] == ("net/es/", "block")
     assert got[6] == ("a.net", "", None, None) and got[7] == ("h", "", None, None) and got[8][2] == "com/"
-    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("h/"), "id").alias("key"))
-    listed = spark.range(0, 6000, 7).select(F.concat(F.lit("h/"), "id").alias("url"))
-    out = {r.page_id: r.is_listed for r in url_filter.listed(pages, listed, "key", 16).collect()}
-    assert out == {i: i % 7 == 0 for i in range(3000)}
+
+
+def test_canonical_urls(spark):
+    urls = {
+        "HTTP://A.net/x/?utm_source=f#top": "a.net/x", "https://a.net/x?page=2&utm_a=1&ref=y": "a.net/x?page=2&ref=y", "x://h?utm_q=1&b": "h?b",
+        "http://a.net/x.html": "a.net/x.html", "http://a.net#q?z": "a.net", "no host": None, None: None, "http:///x": None,
+    }
+    df = spark.createDataFrame([(u,) for u in urls], "url string").select("url", url_filter.canonical(F.col("url")).alias("key"))
+    assert {r.url: r.key for r in df.collect()} == urls
+
+
+@pytest.mark.parametrize("largest", [url_filter.MAX_LISTED, 10])
+def test_listed_is_exact_and_keeps_any_column(spark, largest):
+    names = ("block", "bits", "maybe", "key", "row", "in_list", "url", "w0", "IS_LISTED")
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 10 > 0, F.concat(F.lit("h/"), "id")).alias("k"), *(F.lit(n).alias(n) for n in names))
+    pages = pages.unionByName(pages.where("page_id < 20"))
+    urls = spark.range(0, 6000, 7).select(F.concat(F.lit("h/"), "id").alias("url"), F.lit(1).alias("key"))
+    out = url_filter.listed(pages, urls, "k", max_listed=largest)
+    assert out.columns == ["page_id", "k", *names[:-1], "is_listed"] and out.count() == 3020
+    got = {r.page_id: (r.is_listed, [r[n] for n in names[:-1]]) for r in out.collect()}
+    assert got == {i: (i % 7 == 0 and i % 10 > 0, list(names[:-1])) for i in range(3000)}
+    none = urls.limit(0)
+    assert url_filter.listed(pages, none, "k").where("is_listed").count() == 0 and url_filter.listed(pages.limit(0), urls, "k").count() == 0
+
+
+def test_the_filter_passes_every_hit_and_few_others(spark):
+    pages = spark.range(20_000).select(F.col("id").alias("page_id"), F.concat(F.lit("h/"), "id").alias("k"))
+    urls = spark.range(0, 40_000, 7).select(F.concat(F.lit("h/"), "id").alias("url"))
+    passed = {r.page_id for r in url_filter.possible(pages, urls, "k", url_filter.n_blocks_for(urls.count())).where("maybe").select("row.page_id").collect()}
+    hits = set(range(0, 20_000, 7))
+    assert hits <= passed and 0 < len(passed - hits) < 400
+
+
+def test_the_list_decides_pages_without_a_rule(spark):
+    got = q.op10_url_filter(spark, "/root/testdata/sf0.01").where("rule IS NULL").groupBy("verdict").count().collect()
+    assert {r.verdict for r in got} == {"allow", "block"}
 
 
 def test_quality_on_held_out_documents(spark):
