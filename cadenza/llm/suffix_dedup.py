@@ -5,19 +5,21 @@ A text's suffixes are sampled where every window of ``WINDOW`` bytes has its lea
 suffix stands for the run of windows that chose it. A suffix array is the table of
 sampled suffixes in the order of (seed hash, hash of the run's bytes): suffixes with
 long common parts are neighbours. The index is a family of such arrays: a batch of
-newer documents gets its own array, is merge-scanned with the existing levels (one
-sorted pass over batch and levels), and levels of equal rank merge into one of the
-next rank when another batch arrives.
+newer documents gets its own array and is merge-scanned with the existing levels (one
+sorted pass over batch and levels); a level as large as the batch becomes one level
+with it, of the next rank, in that same pass, and so on up.
 
 The scan settles whole runs: an equal run that starts earlier makes all its windows
 repeats. Runs that share only their seed are compared window by window, which is
 exact at the ends of matches. What repeats inside one task is settled there, so a
-passage of any number of copies sends one suffix per task.
+passage of any number of copies sends one suffix per task; a seed with more than
+``HOT`` different surroundings is dealt out by its windows.
 
 Matches lie within documents; a null or empty text has no bytes. Earlier means a
-smaller id, or the same document and an earlier start. Rows with a null id, and
-further rows of one id, are compared as that id's text at the same places (a null id
-takes no part: nothing of it is removed). Only id and text are read.
+smaller id, or the same document and an earlier start. Rows of one id with different
+texts are documents of their own, in the order of their texts' hashes; rows without an
+id come after all others; rows equal in id and text are one document, kept or cut
+alike. Only id and text are read.
 """
 
 from __future__ import annotations
@@ -36,6 +38,10 @@ from .textkernel import chunks, packed, prefix_sums, span_hash, unpack
 WINDOW = 100
 SEED = 36  # long enough that prose seldom repeats one by chance
 HELD = 600_000  # suffixes held by a task before it settles repeats among them
+HOT = 1000  # runs of one seed that one task compares at most
+#: Shares of the documents after which a new batch begins, and the ranks of the batches: each is as large as all before it.
+BATCHES = (0.125, 0.25, 0.5)
+RANKS = (0, 0, 1, 2)
 
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -150,20 +156,51 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _CONTEXTS = "kmer long, doc_id long, lo long, n int, context binary"
 
 
+def _hot_windows(kmer: list[int], doc: list[int], lo: list[int], part: list[bytes]) -> tuple[list, list, list, list, list]:
+    """Columns of ``_CONTEXTS`` for runs of hot seeds: each window under a key of its own. Of windows that are equal within
+    the batch only the earliest goes on, the others are spans (n is less than 0: their length)."""
+    n = np.array([len(x) - WINDOW + 1 for x in part])
+    data = np.frombuffer(b"".join(part), np.uint8)
+    row = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    at = np.repeat(np.cumsum([0, *map(len, part)])[:-1], n) + step
+    h = span_hash(prefix_sums(data), at, at + WINDOW) ^ np.array(kmer, np.int64).view(np.uint64)[row]
+    d, j = np.array(doc, np.int64)[row], np.array(lo, np.int64)[row] + step
+    order = np.lexsort((j, d, h))
+    new = np.ones(len(h), bool)
+    new[1:] = h[order][1:] != h[order][:-1]
+    head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    later = order[(d[order] != d[head]) | (j[order] != j[head])]
+    first = order[new]
+    sd, sa, sb = _merged(d[later], j[later], j[later] + WINDOW)
+    windows = [data[x : x + WINDOW].tobytes() for x in at[first].tolist()]
+    keys = np.concatenate([h[first], span_key(sd, sa)]).view(np.int64).tolist()
+    return keys, [*d[first].tolist(), *sd.tolist()], [*j[first].tolist(), *sa.tolist()], [1] * len(first) + (sa - sb).tolist(), windows + [b""] * len(sd)
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, z, size, runs) to the bytes that each run's windows cover."""
     for batch in batches:
         kmer, doc, lo, n, context = [], [], [], [], []
+        hot: tuple[list, list, list, list] = ([], [], [], [])
         texts = unpack(batch.column(1), batch.column(2)).to_pylist()
         for d, raw, runs in zip(batch.column(0).to_pylist(), texts, batch.column(3).to_pylist(), strict=True):
             for r in runs:
                 part = raw[r["lo"] : r["lo"] + r["n"] - 1 + WINDOW]
-                if len(part) >= WINDOW:
+                if len(part) < WINDOW:
+                    continue
+                if r["hot"]:
+                    for values, v in zip(hot, (r["kmer"], d, r["lo"], part), strict=True):
+                        values.append(v)
+                else:
                     kmer.append(r["kmer"])
                     doc.append(d)
                     lo.append(r["lo"])
                     n.append(len(part) - WINDOW + 1)
                     context.append(part)
+        if hot[0]:
+            for values, more in zip((kmer, doc, lo, n, context), _hot_windows(*hot), strict=True):
+                values += more
         yield pa.RecordBatch.from_arrays([pa.array(kmer, pa.int64()), pa.array(doc, pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int32()), pa.array(context, pa.binary())], names=["kmer", "doc_id", "lo", "n", "context"])
 
 
@@ -180,6 +217,8 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         col = batch.column(4).cast(pa.large_binary())
         offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
         data = np.frombuffer(col.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        settled, ns = np.flatnonzero(ns < 0), np.maximum(ns, 0)
+        ready = (docs[settled], los[settled], los[settled] - batch.column(3).to_numpy()[settled])
         row = np.repeat(np.arange(len(ns)), ns)
         step = np.arange(len(row)) - np.repeat(np.cumsum(ns) - ns, ns)
         at = (offsets[:-1] - offsets[0])[row] + step
@@ -194,36 +233,36 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if last is not None:
             later |= (k == last) & np.isin(h, seen)
         doc, a, b = _merged(d[later], j[later], j[later] + WINDOW)
-        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(a), pa.array(b)], names=["doc_id", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip((doc, a, b), ready, strict=True)], names=["doc_id", "a", "b"])
         now = np.unique(h[k == kmers[-1]])
         seen = np.union1d(seen, now) if last == kmers[-1] else now
         last = kmers[-1]
 
 
 class SuffixIndex:
-    """The family of levels; each level is a table (kmer, run, doc_id, lo, n) of the earliest suffix of each kind."""
+    """The family of levels; each level is a table (kmer, run, doc_id, lo, n) of the earliest suffix of each kind.
+
+    Keys of different levels are disjoint: what an older level holds is a repeat in a newer one.
+    """
 
     def __init__(self) -> None:
         self.levels: list[tuple[int, DataFrame]] = []  # (rank, table)
 
-    def _carry(self) -> None:
-        """Two levels of equal rank merge into one of the next; their keys are disjoint."""
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (rank, b), (_, a) = self.levels.pop(), self.levels.pop()
-            self.levels.append((rank + 1, materialise(a.unionByName(b).repartition("kmer").sortWithinPartitions("kmer", "run"), "suffix-level")))
-
-    def add(self, docs: DataFrame, keep: bool = True) -> tuple[DataFrame, DataFrame]:
-        """Add documents whose ids exceed those added before.
+    def add(self, docs: DataFrame, keep: bool = True, rank: int = 0) -> tuple[DataFrame, DataFrame]:
+        """Add documents whose ids exceed those added before; ``rank`` says how large the batch is (2^rank of the unit).
 
         Returns the spans (doc_id, a, b) of whole runs that repeat what is earlier, and
         the runs (doc_id, kmer, lo, n), new and old, that share a seed but not a run:
         ``edges`` compares these. With ``keep=False`` the batch is only scanned.
         """
-        self._carry()
+        merging = []
+        while keep and self.levels and self.levels[-1][0] == rank:
+            merging.append(self.levels.pop()[1])
+            rank += 1
         texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        scan = texts.mapInArrow(_suffixes, _ROWS).withColumn("new", F.lit(True))
-        for _, level in self.levels:
-            scan = scan.unionByName(level.withColumn("new", F.lit(False)))
+        scan = texts.mapInArrow(_suffixes, _ROWS).withColumns({"new": F.lit(True), "stays": F.lit(keep)})
+        for level, stays in [(x, True) for x in merging] + [(x, False) for _, x in self.levels]:
+            scan = scan.unionByName(level.withColumns({"new": F.lit(False), "stays": F.lit(stays)}))
         ordered = scan.repartition("kmer").sortWithinPartitions("kmer", "run", "doc_id", "lo")
         same_seed = Window.partitionBy("kmer")
         same_run = Window.partitionBy("kmer", "run").orderBy("doc_id", "lo")
@@ -232,9 +271,9 @@ class SuffixIndex:
             ((F.min("run").over(same_seed) < F.max("run").over(same_seed)) & F.max("new").over(same_seed)).alias("mixed"),
             F.first(F.struct("doc_id", "lo")).over(same_run).alias("head"),
         ).withColumn("later", (F.col("n") > 0) & (F.col("head") < F.struct("doc_id", "lo"))).drop("head")
-        found = materialise(flagged if keep else flagged.where("n < 0 OR later OR mixed"), "suffix-array")
+        found = materialise(flagged.where("(new AND n < 0) OR later OR mixed OR stays"), "suffix-array")
         if keep:
-            self.levels.append((0, found.where("new AND n > 0 AND NOT later").select("kmer", "run", "doc_id", "lo", "n")))
+            self.levels.append((rank, found.where("stays AND n > 0 AND NOT later").select("kmer", "run", "doc_id", "lo", "n")))
         whole = found.where("new AND n < 0").select("doc_id", F.col("lo").alias("a"), F.col("run").alias("b")).unionByName(
             found.where("new AND later").select("doc_id", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + WINDOW).alias("b"))
         )
@@ -243,7 +282,9 @@ class SuffixIndex:
 
 def edges(texts: DataFrame, runs: DataFrame) -> DataFrame:
     """Spans (doc_id, a, b) of the windows of ``runs`` that start earlier elsewhere; ``texts`` is ``packed`` and holds their documents."""
-    by_doc = runs.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("kmer", "lo", "n")).alias("runs"))
+    runs = materialise(runs.distinct(), "suffix-runs")
+    hot = runs.groupBy("kmer").agg(F.count(F.lit(1)).alias("runs")).where(F.col("runs") > HOT).select("kmer", F.lit(True).alias("hot"))
+    by_doc = runs.join(hot, "kmer", "left").groupBy("doc_id").agg(F.collect_list(F.struct("kmer", "lo", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
     context = texts.join(by_doc, "doc_id").select("doc_id", "z", "size", "runs").mapInArrow(_contexts, _CONTEXTS)
     return context.repartition("kmer").sortWithinPartitions("kmer", "doc_id", "lo").mapInArrow(_edges, "doc_id long, a long, b long")
 
@@ -268,13 +309,29 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, shares: tuple[float, ...] = (0.25,)) -> DataFrame:
+def numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` (doc_id, text) under ids that differ for different rows and keep the order, and those ids' own doc_id.
+
+    Ids that are unique stay as they are (None). Else (id, hash of the text) pairs are
+    sorted by range and numbered, whatever part of the rows one id has.
+    """
+    facts = rows.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
+    if facts["rows"] == facts["ids"]:
+        return rows, None
+    keyed = rows.withColumn("hash", F.xxhash64("text"))
+    order = keyed.select("doc_id", "hash").distinct().orderBy(F.col("doc_id").asc_nulls_last(), "hash")
+    order = materialise(order.withColumn("number", F.monotonically_increasing_id()), "suffix-rows")
+    met = keyed.join(order.withColumnsRenamed({"doc_id": "own", "hash": "own_hash"}), F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("hash") == F.col("own_hash")))
+    return met.select(F.col("number").alias("doc_id"), "text"), order.select("number", F.col("doc_id").alias("own"))
+
+
+def remove_repeats(docs: DataFrame, shares: tuple[float, ...] = BATCHES, ranks: tuple[int, ...] = RANKS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document.
 
     The documents are added to the index in batches by id, parted at the given
     shares of the ids; the last batch is only scanned, since none follows it.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows, own = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     bounds = sorted(set((rows.agg(F.percentile_approx("doc_id", list(shares)).alias("q")).first().q or []) if shares else []))
     family, spans, mixed = SuffixIndex(), None, None
     for k in range(len(bounds) + 1):
@@ -283,11 +340,15 @@ def remove_repeats(docs: DataFrame, shares: tuple[float, ...] = (0.25,)) -> Data
             part = part.where(F.col("doc_id") > bounds[k - 1])
         if k < len(bounds):
             part = part.where(F.col("doc_id") <= bounds[k])
-        whole, runs = family.add(part, keep=k < len(bounds))
+        whole, runs = family.add(part, keep=k < len(bounds), rank=ranks[k] if k < len(ranks) else 0)
         spans = whole if spans is None else spans.unionByName(whole)
         mixed = runs if mixed is None else mixed.unionByName(runs)
     texts = packed(rows)  # goes through one shuffle by id, for the edges and for the cut
     spans = spans.unionByName(edges(texts, mixed))
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return texts.join(by_doc, "doc_id", "left").select("doc_id", "z", "size", "spans").mapInArrow(_cut, schema)
+    cut = texts.join(by_doc, "doc_id", "left").select("doc_id", "z", "size", "spans").mapInArrow(_cut, schema)
+    if own is None:
+        return cut
+    named = cut.join(own, F.col("doc_id") == F.col("number"))
+    return named.select(F.col("own").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -111,8 +111,10 @@ def test_linked_groups_of_repeated_and_missing_ids(spark):
     assert got == sorted([(5, 57, 3), (5, 57, 5), (3, 58, 3), (None, 57, 5), (None, 58, 5), (None, 1, None), (5, 57, 3), (None, 0, None), (7, 0, 7)], key=repr)
 
 
-@pytest.mark.parametrize("shares", [(), (0.5,), (0.2, 0.4, 0.6, 0.8)])
-def test_repeats_equal_brute_force(spark, prose, shares):
+@pytest.mark.parametrize(("shares", "hot"), [((), 1000), ((0.5,), 0), ((0.2, 0.4, 0.6, 0.8), 1), (suffix_dedup.BATCHES, 1000)])
+def test_repeats_equal_brute_force(spark, prose, shares, hot, monkeypatch):
+    """With any batches, and with seeds of any number of surroundings counted as hot."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(frame(spark, prose), shares).collect()}
     assert got == brute.repeats(list(enumerate(prose)))
 
@@ -123,6 +125,20 @@ def test_levels_merge_geometrically(spark, prose):
     for k in range(5):
         family.add(docs.where(f"doc_id >= {k * 10} AND doc_id < {k * 10 + 10}"))
     assert [rank for rank, _ in family.levels] == [2, 0]
+    keys = [r.kmer_run for _, level in family.levels for r in level.select(F.struct("kmer", "run").alias("kmer_run")).collect()]
+    assert len(keys) == len(set(keys))
+    grown = suffix_dedup.SuffixIndex()
+    for k, rank in enumerate(suffix_dedup.RANKS):
+        grown.add(docs.where(f"doc_id >= {k * 10} AND doc_id < {k * 10 + 10}"), rank=rank)
+    assert [rank for rank, _ in grown.levels] == [3]
+
+
+def test_repeats_of_repeated_and_missing_ids(spark):
+    rnd = random.Random(4)
+    a, b, c = ("".join(rnd.choice("abcdefgh ") for _ in range(300)) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (None, c), (7, c[:150]), (2, b), (None, None), (9, b[50:250])]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == sorted([(1, 300, 0), (2, 300, 300), (2, 300, 0), (None, 300, 150), (7, 150, 0), (2, 300, 0), (None, 0, 0), (9, 200, 200)], key=repr)
 
 
 def test_components_of_chains(spark):
