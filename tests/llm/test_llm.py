@@ -225,23 +225,50 @@ def test_encode_and_decode_tables(spark, prose):
     assert back == {i: t or "" for i, t in enumerate(prose)}
 
 
-def test_archives_round_trip_and_lookup(spark, tmp_path):
+def test_archives_round_trip_and_lookup(spark):
+    import glob
+    import gzip
+
     big = "<p>" + "é" * 600 + "\r\n\r\nWARC/1.1\r\n" + "</p>"
-    rows = [(1, "http://b.example.org/x", big), (2, "https://a.example.com/y?z#f", big), (3, None, None), (4, "no host\n", "tiny"), (5, "http://a.example.com/y", "tiny"), (6, "http://b.example.org/x", big + "!")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rows = [
+        (1, "http://b.example.org/x", big), (2, "https://a.example.com/y?z%20#f", big), (3, None, None), (4, "no host\n", "tiny"), (5, "http://a.example.com/y", "tiny"),
+        (6, "http://b.example.org/x", big + "!"), (None, "http://c.org/", big), (7, "http://c.org/", big + "?"), (7, "http://c.org/", big + "?"), (8, "u://v", "\0" * 3),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("file", F.lit("own"))
     path = work_path(spark, "warc")
-    warc.write_archives(pages, path, records_per_file=2)
-    caps = warc.read_archives(spark, path)
-    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.url) for r in caps.collect()}
+    warc.write_archives(pages, path, file_bytes=400)
+    caps = warc.scan_archives(spark, path)
+    got = {(r.page_id, r.url): (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in caps.collect()}
     for i, url, html in rows:
         raw = (html or "").encode()
-        assert got[i][:2] == (len(raw), hashlib.sha1(raw).hexdigest()) and got[i][4] == (url or "")
-    assert got[1][2:4] == ("revisit", 2) and got[2][2] == got[3][2] == got[4][2] == got[5][2] == "response"
-    blocks, directory = warc.build_index(caps, work_path(spark, "cdx"), per_block=2)
-    entries = sorted((r["first"], r["last"]) for r in directory.collect())
-    found = warc.lookup(blocks, entries, ["org,example,b)/x"])
-    assert {r.page_id for r in found.collect()} == {1, 6}
-    assert warc.lookup(blocks, entries, ["zz)/"]).count() == 0
+        assert got[i, (url or "").replace("\n", "%0A")][:2] == (len(raw), hashlib.sha1(raw).hexdigest())
+    assert caps.count() == len(rows) and got[1, rows[0][1]][2:] == got[None, "http://c.org/"][2:] == ("revisit", 2)
+    assert all(got[i, (u or "").replace("\n", "%0A")][2:] == ("response", None) for i, u, _ in rows if i in (2, 3, 4, 5, 6, 7, 8))
+    # every file is a series of gzip members, and one record is read by file, offset and length alone
+    files = glob.glob(f"{path}/volume=*/part-*")
+    assert len(files) > 3
+    assert sum(gzip.open(f).read().count(b"WARC-Date: 2") for f in files) == len(rows)
+    one = next(r for r in caps.collect() if r.page_id == 6)
+    with open(f"{path}/{one.file}", "rb") as f:
+        f.seek(one.offset)
+        raw = gzip.decompress(f.read(one.length))
+    assert raw.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and raw.endswith((big + "!").encode() + b"\r\n\r\n")
+    blocks = warc.build_index(caps, work_path(spark, "cdx"), per_block=2)
+    entries = warc.directory(blocks)
+    assert len(entries[0]) >= 5
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "key string")
+    found = warc.lookup(blocks, entries, keys("org,example,b)/x", "zz)/", None))
+    assert sorted(r.page_id for r in found.collect()) == [1, 6]
+    assert sorted(r.payload_bytes for r in warc.read_records(found, path).collect()) == sorted(len(x.encode()) for x in (big, big + "!"))
+    assert warc.lookup(blocks, entries, keys("zz)/")).count() == 0
+    back = warc.round_trip(pages).collect()
+    assert sorted((r.page_id or 0, r.record_type) for r in back) == sorted((i or 0, v[2]) for (i, _), v in [*got.items(), ((7, ""), got[7, "http://c.org/"])])
+
+
+def test_records_of_any_size_are_members(spark):
+    """A record of 16 MB and more ends in a size whose last byte is not zero."""
+    pages = spark.createDataFrame([(1, "http://a.org/", "ab" * 9_000_000), (2, "http://a.org/b", "x")], "page_id long, url string, html string").coalesce(1)
+    assert {(r.page_id, r.payload_bytes) for r in warc.round_trip(pages).collect()} == {(1, 18_000_000), (2, 1)}
 
 
 def test_base_spans_by_plain_expressions():
