@@ -4,8 +4,10 @@
 longer than a sequence. ``pack`` deals the pieces by hash into groups of bounded
 size, packs each by best-fit decreasing and certifies its number of bins with
 dual-feasible-function lower bounds; groups above their bound release their loosest
-bins, whose pieces meet those of other groups and are packed again (the better of
-the old and the new bins stays).
+bins, whose pieces meet those of other groups, are packed again (the better of the old
+and the new bins stays) and certified again, for ``ROUNDS`` exchanges or until no gap is
+left. ``certified_gap`` says of each piece how many bins above its bound the packing is
+that its sequence comes from.
 
 A null text is empty: one piece with the end id alone. Repeated rows give repeated
 pieces. An empty table gives an empty result. Only id and text are read.
@@ -28,6 +30,7 @@ from .common import materialise
 
 SPECIAL = "<|endoftext|>"
 CACHED = 400_000
+ROUNDS = 3
 _RUN = re.compile(r" (?:\s|\Z)")
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
@@ -46,14 +49,16 @@ class ByteEncoder:
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.json_path, self.known = json_path, {}
+        self.json_path, self.known, self.whole = json_path, {}, None
         self.plain = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
         if SPECIAL in text:
-            from tokenizers import Tokenizer
+            if self.whole is None:
+                from tokenizers import Tokenizer
 
-            ids = Tokenizer.from_file(self.json_path).encode(text, add_special_tokens=False).ids
+                self.whole = Tokenizer.from_file(self.json_path)
+            ids = self.whole.encode(text, add_special_tokens=False).ids
             return np.array(ids, "<u4").tobytes()
         if not text:
             return b""
@@ -161,47 +166,50 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, used
 
 
-def _first(capacity: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lengths = pdf["length"].to_numpy()
-        order = np.argsort(pd.util.hash_pandas_object(pdf[["doc_id", "piece"]], index=False).to_numpy(), kind="stable")
-        pdf, lengths = pdf.iloc[order], lengths[order]
-        bins, offsets, used = best_fit(lengths, capacity)
-        gap = used - lower_bound(lengths, capacity)
-        fill = np.bincount(bins, lengths, minlength=used)
-        loose = np.zeros(used, bool)
-        if gap > 0:  # the loosest bins hold the gap's space several times over
-            loose[np.argsort(fill, kind="stable")[: min(used, 8 * gap + 8)]] = True
-        return pdf.assign(bin=bins, offset=offsets, released=loose[bins])
-
-    return run
+def _released(lengths: np.ndarray, bins: np.ndarray, used: int, capacity: int) -> tuple[int, np.ndarray]:
+    """The gap between the bins used and their lower bound, and of each item whether its bin is released: the loosest bins,
+    which hold the gap's space several times over."""
+    gap = used - lower_bound(lengths, capacity)
+    loose = np.zeros(used, bool)
+    if gap > 0:
+        loose[np.argsort(np.bincount(bins, lengths, minlength=used), kind="stable")[: min(used, 8 * gap + 8)]] = True
+    return gap, loose[bins]
 
 
-def _again(capacity: int):
+def _pack_group(capacity: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Best-fit decreasing of a group; where its pieces have bins already, the better of the two packings."""
+        order = np.argsort(pd.util.hash_pandas_object(pdf[["doc_id", "piece", "ids_crc32"]], index=False).to_numpy(), kind="stable")
+        pdf = pdf.iloc[order]
         lengths = pdf["length"].to_numpy()
-        old = pdf.groupby(["grp", "bin"], sort=False).ngroup().to_numpy()
         bins, offsets, used = best_fit(lengths, capacity)
-        if used >= old.max() + 1:
-            return pdf.assign(bin=old.astype("int64"))
-        return pdf.assign(bin=bins, offset=offsets)
+        if pdf["bin"].iloc[0] >= 0:
+            old = pdf.groupby(["grp", "bin"], sort=False).ngroup().to_numpy()
+            if used > old.max() + 1:
+                bins, offsets, used = old, pdf["offset"].to_numpy(), int(old.max()) + 1
+        gap, released = _released(lengths, bins, used, capacity)
+        return pdf.assign(grp=pdf["again"], bin=bins, offset=offsets, certified_gap=gap, released=released)
 
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, per_group: int = 50_000) -> DataFrame:
-    """``pieces`` with sequence_id and offset. Groups are dealt by hash, so none outgrows a task."""
+def pack(pieces: DataFrame, capacity: int = 2048, per_group: int = 50_000, rounds: int = ROUNDS) -> DataFrame:
+    """``pieces`` with sequence_id, offset and certified_gap. Groups are dealt by hash, so none outgrows a task."""
     kind = pieces.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, {PIECES}, grp int, bin long, offset long, certified_gap long, released boolean, again int"
     n_groups = max(1, -(-pieces.count() // per_group))
-    schema = f"doc_id {kind}, {PIECES}, grp int, bin long, offset long, released boolean"
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_groups)).cast("int"))
-    blank = dealt.withColumns({"bin": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "released": F.lit(False)})
-    first = materialise(blank.groupBy("grp").applyInPandas(_first(capacity), schema), "packed")
-    loose = first.where("released")
-    n_again = max(1, -(-loose.count() // per_group))
-    # whole bins are dealt, so each new group knows how many bins it replaces
-    loose = loose.withColumn("again", F.pmod(F.xxhash64("grp", "bin"), F.lit(n_again)).cast("int"))
-    second = loose.groupBy("again").applyInPandas(_again(capacity), schema + ", again int")
-    number = lambda who: F.shiftleft(F.col(who).cast("long") * 2 + F.lit(int(who == "again")), 32) + F.col("bin")
-    out = first.where("NOT released").withColumn("sequence_id", number("grp")).drop("grp", "bin", "released")
-    return out.unionByName(second.withColumn("sequence_id", number("again")).select(out.columns))
+    dealt = pieces.withColumn("again", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_groups)).cast("int"))
+    blank = dealt.withColumns({"grp": F.lit(-1), "bin": F.lit(-1).cast("long"), "offset": F.lit(0).cast("long"), "certified_gap": F.lit(0).cast("long"), "released": F.lit(False)})
+    out = None
+    for step in range(rounds + 1):
+        now = materialise(blank.groupBy("again").applyInPandas(_pack_group(capacity), schema), "packed")
+        loose = now.where("released")
+        n_loose = loose.count() if step < rounds else 0
+        number = F.shiftleft(F.col("grp").cast("long") * (rounds + 1) + F.lit(step), 32) + F.col("bin")
+        done = (now.where("NOT released") if n_loose else now).withColumn("sequence_id", number).select(*pieces.columns, "offset", "sequence_id", "certified_gap")
+        out = done if out is None else out.unionByName(done)
+        if not n_loose:
+            break
+        # whole bins are dealt, so each new group knows how many bins it replaces
+        blank = loose.withColumn("again", F.pmod(F.xxhash64("grp", "bin", F.lit(step)), F.lit(max(1, -(-n_loose // per_group)))).cast("int"))
+    return out

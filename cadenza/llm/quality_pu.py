@@ -2,13 +2,16 @@
 
 Trusted positives and unlabelled texts train a logistic score that minimises the
 non-negative unbiased risk ``pi R_p(+) + max(0, R_u(-) - pi R_p(-))`` (when the
-difference is negative, the step ascends it instead). The class prior ``pi`` is
-estimated from the rated rows of the training folds. Every gradient step sums over
-all training rows on the executors; only vectors of the number of features reach
-the driver.
+difference is negative, the step ascends it instead). The class prior ``pi`` comes from
+positives and unlabelled texts alone: a classifier that tells them apart orders the
+texts, and the prior is the least ratio of the unlabelled to the positive share above a
+threshold (best-bin estimation: where only positives score, unlabelled texts hold ``pi``
+times as many). Every gradient step sums over all training rows on the executors; only
+vectors of the number of features, or of bins, reach the driver.
 
 Features come from the text alone. A null or empty text has zero counts and is
-scored like any other. One row per input row; only id and text are read.
+scored like any other, however long a text is. One row per input row; only id and text
+are read, rows equal in text score alike, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from .common import materialise
 from .textkernel import chunks, lowered_words, shingle_hashes, words
 
 N_FEATURES = 20
+BINS = 1000  # of the score, for the prior
 
 
 def _per_doc(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -165,16 +169,42 @@ def score(table: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray]) ->
     return table.select("doc_id", "x").mapInArrow(rows, f"doc_id {kind}, score double")
 
 
+def best_bin(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
+    """The prior from counts by descending score: the least upper bound of unlabelled share / positive share over the bins."""
+    n_p, n_u = positive.sum(), unlabelled.sum()
+    if not n_p or not n_u:
+        return 0.5
+    q_p, q_u = np.cumsum(positive) / n_p, np.cumsum(unlabelled) / n_u
+    slack = np.sqrt(np.log(4 / delta) / (2 * n_u)) + np.sqrt(np.log(4 / delta) / (2 * n_p))
+    some = q_p > 0
+    at = np.flatnonzero(some)[np.argmin((q_u[some] + slack) / q_p[some])]
+    return float(np.clip(q_u[at] / q_p[at], 0.01, 0.99))
+
+
+def class_prior(train: DataFrame, steps: int = 15) -> float:
+    """The share of positives among the texts of ``train`` (x, positive), from positives and unlabelled texts alone."""
+    w, mean, dev = fit(train, 0.5, steps)
+
+    def counts(batch: pa.RecordBatch) -> np.ndarray:
+        x = np.clip((_matrix(batch) - mean) / dev, -6, 6)
+        p = 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
+        at = np.minimum(((1 - p) * BINS).astype(np.int64), BINS - 1)
+        pos = batch.column("positive").to_numpy(zero_copy_only=False).astype(bool)
+        return np.concatenate([np.bincount(at[pos], minlength=BINS), np.bincount(at, minlength=BINS)]).astype(float)
+
+    found = _sums(train, counts, 2 * BINS)
+    return best_bin(found[:BINS], found[BINS:])
+
+
 def classify(docs: DataFrame, labels: DataFrame, may_train: str, steps: int = 40) -> DataFrame:
     """doc_id and score of every document. ``may_train`` is an SQL condition on doc_id: rows whose labels may be learned from.
 
     ``labels`` has doc_id and quality; a document rated more than once counts by its
-    mean rating, a null rating not at all. Without any rating the prior is a half.
+    mean rating, a null rating not at all. Only good ratings are used: all other texts
+    are unlabelled. Without a positive the prior is a half.
     """
     table = feature_table(docs)
     rated = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(may_train).groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("positive"))
-    train = table.where(may_train).join(rated, "doc_id", "left").select("x", F.coalesce("positive", F.lit(False)).alias("positive"))
+    train = table.where(may_train).join(rated.where("positive"), "doc_id", "left").select("x", F.coalesce("positive", F.lit(False)).alias("positive"))
     train = materialise(train, "quality-train")
-    share = rated.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("positive").cast("int")).alias("p")).first()
-    prior = ((share.p or 0) + 1) / (share.n + 2)
-    return score(table, fit(train, prior, steps))
+    return score(table, fit(train, class_prior(train), steps))

@@ -28,13 +28,20 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")), "v2")
-    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits")
+    led = rules.stored(table(spark, sf_dir, "documents"))
+    old = rules.apply_policy(led, "v1").withColumnRenamed("kept", "kept_v1").drop("base_failed")
+    both = rules.apply_policy(old, "v2")
+    return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits", "kept_v1")
+
+
+def rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy rejects, and rejects alone, over all documents."""
+    return rules.ablation(rules.stored(table(spark, sf_dir, "documents")), "v2")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"))
-    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified_gap")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +91,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_pii": op9_pii,
     "op10_url_filter": op10_url_filter,
+    "rules_ablation": rules_ablation,
 }
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text,''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -117,7 +125,12 @@ _HOST = r"coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJK
 
 ORACLE = {
     "op3_quality_rules": f"""WITH {RULES_CTE}
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed_bits = 0 AS kept, CAST(failed_bits AS INTEGER) AS failed_bits FROM b""",
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed_bits = 0 AS kept, CAST(failed_bits AS INTEGER) AS failed_bits,
+       failed_bits & 15 = 0 AS kept_v1 FROM b""",
+    "rules_ablation": f"""WITH {RULES_CTE},
+r(rule, bit) AS (VALUES {', '.join(f"('{name}', {1 << k})" for k, name in enumerate(rules.RULES))})
+SELECT r.rule, CAST(sum(CASE WHEN b.failed_bits & r.bit <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS rejects,
+       CAST(sum(CASE WHEN b.failed_bits = r.bit THEN 1 ELSE 0 END) AS BIGINT) AS rejects_alone FROM b, r GROUP BY r.rule""",
     "op6_exact_dedup": f"""WITH d AS (SELECT doc_id, translate(coalesce(text,''), '{UPPER}', '{LOWER}') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM d""",

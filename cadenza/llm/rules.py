@@ -4,6 +4,7 @@
 failed rule; ``apply_policy`` applies a versioned policy (a mask of rules that
 count) without measuring again; ``ablation`` says, by bitwise aggregation over
 the ledger, how many documents each rule rejects and how many it rejects alone.
+``stored`` writes the ledger, so that any number of policies and ablations read it.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. A null or empty text has no words, no lines
 and fails ``few_words``. Rows are never dropped; repeated rows and ties give
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS
+from .common import SEPARATORS, materialise
 
 SYMBOLS = "#*$%&|<>"
 SPLIT = r"[\x20\x09-\x0D]+"
@@ -105,6 +106,11 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
     return df.select("doc_id", *measured, failed.cast("int").alias("failed_bits"), *[F.col(f"_in.{c}").alias(c) for c in carry if c != "doc_id"])
 
 
+def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """The ledger, written to the shared folder and read again: texts are measured once."""
+    return materialise(ledger(docs, id_col, text_col, carry), "rule-ledger")
+
+
 def apply_policy(led: DataFrame, version: str = "v2") -> DataFrame:
     """Add ``base_failed`` and ``kept`` under a policy; a base failure always rejects."""
     base, counted = mask(BASE), mask(POLICIES[version]) | mask(BASE)
