@@ -79,8 +79,16 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(0.0)
 
 
-def similar_pairs(vectors: DataFrame, group: str, id_col: str = "id", vec: str = "embedding", threshold: float = -1.0, block: int = 512) -> DataFrame:
-    """(group, a, b, similarity) for all a < b of a group with similarity >= threshold.
+def query_pairs(queries: DataFrame, rows: DataFrame, salts: int = 64) -> DataFrame:
+    """Every query with every row, for a stated query set of any size: queries are repeated for each of ``salts`` parts of
+    the rows and joined by part, so nothing is broadcast and no key is hot."""
+    parts = rows.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    return queries.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).join(parts, "_part").drop("_part")
+
+
+def similar_pairs(vectors: DataFrame, group: str, id_col: str = "id", vec: str = "embedding", threshold: float = -1.0, block: int = 512, euclid: bool = False) -> DataFrame:
+    """(group, a, b, similarity) for all a < b of a group with cosine similarity >= threshold; with ``euclid`` (group, a, b,
+    distance) of those with distance <= threshold.
 
     Vectors are dealt into blocks of about ``block`` by hash; each pair of blocks is
     one matrix product in one task, so memory is bounded whatever the group's size.
@@ -98,21 +106,26 @@ def similar_pairs(vectors: DataFrame, group: str, id_col: str = "id", vec: str =
         empty = pd.DataFrame({"g": pd.Series(dtype=pdf["g"].dtype), "a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
         if left.empty or right.empty:
             return empty
+        if euclid:
+            x, y = (np.array(part["v"].tolist(), dtype=np.float64) for part in (left, right))
+            sim = -np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T, 0))
         unit = []
-        for part in (left, right):
+        for part in () if euclid else (left, right):
             x = np.array(part["v"].tolist(), dtype=np.float64)
             n = np.linalg.norm(x, axis=1, keepdims=True)
             unit.append(np.divide(x, n, out=np.zeros_like(x), where=n > 0))
-        sim = unit[0] @ unit[1].T
+        if not euclid:
+            sim = unit[0] @ unit[1].T
         a, b = left["id"].to_numpy()[:, None], right["id"].to_numpy()[None, :]
-        keep = (sim >= threshold) & ((a < b) if i == j else (a != b))
+        keep = (sim >= (-threshold if euclid else threshold)) & ((a < b) if i == j else (a != b))
         r, c = np.nonzero(keep)
         x, y = left["id"].to_numpy()[r], right["id"].to_numpy()[c]
         return pd.DataFrame({"g": pdf["g"].iloc[0], "a": np.minimum(x, y), "b": np.maximum(x, y), "similarity": sim[r, c]})
 
     kind = vectors.schema[group].dataType.simpleString()
     out = cells.groupBy("g", "c").applyInPandas(product, f"g {kind}, a long, b long, similarity double")
-    return out.withColumnRenamed("g", group)
+    out = out.withColumnRenamed("g", group)
+    return out.select(group, "a", "b", (-F.col("similarity")).alias("distance")) if euclid else out
 
 
 def harmonic_pairs(modes: DataFrame, tol: float = 0.02, min_strength: float = 0.1, max_harmonic: int = 16, key: str = "track_id") -> DataFrame:
@@ -143,10 +156,38 @@ def with_metadata(tracks: DataFrame, metadata: DataFrame, on: str) -> DataFrame:
 
 
 def recommend(hits: DataFrame, library: DataFrame, top_n: int = 3, digits: int = 9) -> DataFrame:
-    """Per hit the ``top_n`` library samples of its type, by cosine of the feature vectors rounded to ``digits``; ties by sample id."""
-    pairs = hits.join(library, "type").withColumn("similarity", F.round(cosine("hit_features", "sample_features"), digits))
+    """Per hit the ``top_n`` library samples of its type, by cosine of the feature vectors rounded to ``digits``; ties by sample id.
+
+    Hits and library are dealt into blocks within their type, and two blocks meet in one
+    task as one matrix product that gives the best ``top_n`` of each hit, so neither a
+    type's pairs nor its rows meet in one task.
+    """
+    block = 1024
+
+    def dealt(df: DataFrame, key: str, vec: str, name: str) -> tuple[DataFrame, DataFrame]:
+        n = df.groupBy("type").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(f"n_{name}"))
+        return df.select("type", F.col(key).cast("long").alias("id"), F.col(vec).alias("v")), n
+
+    (h, nh), (s, ns) = dealt(hits, "hit_id", "hit_features", "h"), dealt(library, "sample_id", "sample_features", "s")
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = h.join(nh, "type").join(ns, "type").withColumn("i", place("n_h")).withColumn("j", every("n_s")).select("type", "i", "j", "id", "v")
+    right = s.join(ns, "type").join(nh, "type").withColumn("j", place("n_s")).withColumn("i", every("n_h")).select("type", "i", "j", "id", "v")
+
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = {"hit_id": [], "sample_id": [], "similarity": []}
+        if len(x) and len(y):
+            u, v = (np.array(z["v"].tolist(), dtype=np.float64) for z in (x, y.sort_values("id")))
+            ids = np.sort(y["id"].to_numpy())
+            lengths = np.linalg.norm(u, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
+            sim = np.round(np.divide(u @ v.T, lengths, out=np.zeros_like(lengths), where=lengths > 0), digits)
+            top = np.argsort(-sim, axis=1, kind="stable")[:, :top_n]
+            out = {"hit_id": np.repeat(x["id"].to_numpy(), top.shape[1]), "sample_id": ids[top.ravel()], "similarity": np.take_along_axis(sim, top, 1).ravel()}
+        return pd.DataFrame(out).astype({"hit_id": "int64", "sample_id": "int64", "similarity": "float64"})
+
+    found = left.groupBy("type", "i", "j").cogroup(right.groupBy("type", "i", "j")).applyInPandas(best, "hit_id long, sample_id long, similarity double")
     w = Window.partitionBy("hit_id").orderBy(F.desc("similarity"), "sample_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
 
 
 def consecutive_transitions(segments: DataFrame, key: str = "track_id") -> DataFrame:
@@ -157,8 +198,8 @@ def consecutive_transitions(segments: DataFrame, key: str = "track_id") -> DataF
 
 
 def rank_queries(audio: DataFrame, texts: DataFrame) -> DataFrame:
-    """(audio_id, text_id, similarity, rank): candidate texts of each audio vector. The texts are a query set, broadcast."""
-    pairs = audio.crossJoin(F.broadcast(texts)).withColumn("similarity", cosine("audio", "text"))
+    """(audio_id, text_id, similarity, rank): candidate texts of each audio vector. The texts are a stated query set."""
+    pairs = query_pairs(texts, audio).withColumn("similarity", cosine("audio", "text"))
     w = Window.partitionBy("audio_id").orderBy(F.desc("similarity"), "text_id")
     return pairs.select("audio_id", "text_id", "similarity", F.row_number().over(w).alias("rank"))
 

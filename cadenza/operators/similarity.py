@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .joins import similar_pairs
+from .aggregates import quartiles
+from .joins import query_pairs, similar_pairs
 
 
 def phase_profile(states: DataFrame, keys: tuple[str, ...] = ("track_id", "mode_index")) -> DataFrame:
@@ -16,19 +17,33 @@ def phase_profile(states: DataFrame, keys: tuple[str, ...] = ("track_id", "mode_
     return states.groupBy(*keys).agg(F.sum("phase").alias("phase"), F.count(F.lit(1)).alias("n"))
 
 
-def interference_visibility(profiles: DataFrame) -> DataFrame:
-    """(a, b, visibility) of every pair of tracks with a common class: |mean e^{i(A-B)}| over the classes both have."""
-    a = profiles.select(F.col("track_id").alias("a"), "mode_index", F.col("phase").alias("pa"))
-    b = profiles.select(F.col("track_id").alias("b"), "mode_index", F.col("phase").alias("pb"))
-    d = F.col("pa") - F.col("pb")
-    return a.join(b, "mode_index").where("a < b").groupBy("a", "b").agg(F.sqrt(F.pow(F.avg(F.cos(d)), 2) + F.pow(F.avg(F.sin(d)), 2)).alias("visibility"))
-
-
-def track_spectrum(df: DataFrame, least: int = 10) -> DataFrame:
-    """Per track with more than ``least`` observations: mean and std of its entropies and phase sum."""
-    return df.groupBy("track_id").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("s_k").alias("mean_s_k"), F.stddev_pop("s_k").alias("std_s_k"), F.avg("s_t").alias("mean_s_t"), F.avg("s_e").alias("mean_s_e"), F.sum("phase").alias("phase_sum")
-    ).where(F.col("n") > least)
+def interference_visibility(profiles: DataFrame, queries: str = "true") -> DataFrame:
+    """(a, b, visibility) of each track ``a`` of the stated query set (an SQL condition on track_id) with every other track
+    that has a class in common: |mean e^{i(A-B)}| over the classes both have. A track is one row of its few classes."""
+    tracks = profiles.groupBy("track_id").agg(F.map_from_entries(F.collect_list(F.struct("mode_index", "phase"))).alias("p"))
+    a = tracks.where(queries).select(F.col("track_id").alias("a"), F.col("p").alias("pa"))
+    pairs = query_pairs(a, tracks.select(F.col("track_id").alias("b"), F.col("p").alias("pb"))).where("a <> b")
+    common = F.filter(F.map_keys("pa"), lambda m: F.map_contains_key("pb", m))
+    d = pairs.withColumn("d", F.transform(common, lambda m: F.col("pa")[m] - F.col("pb")[m])).where(F.size("d") > 0)
+    mean = lambda f: F.aggregate("d", F.lit(0.0), lambda s, x: s + f(x)) / F.size("d")
+    return d.select("a", "b", F.sqrt(F.pow(mean(F.cos), 2) + F.pow(mean(F.sin), 2)).alias("visibility"))
+
+
+def track_spectrum(df: DataFrame, least: int = 10, classes: str = "mode_index", depth: str | None = None) -> DataFrame:
+    """Per track with more than ``least`` observations: mean and std of its entropies, summed phase and number of
+    observations of each oscillator class (maps), and how often each depth occurs (a map), if a depth column is named."""
+    facts = [
+        F.count(F.lit(1)).alias("n"), F.avg("s_k").alias("mean_s_k"), F.stddev_pop("s_k").alias("std_s_k"), F.avg("s_t").alias("mean_s_t"), F.stddev_pop("s_t").alias("std_s_t"),
+        F.avg("s_e").alias("mean_s_e"), F.stddev_pop("s_e").alias("std_s_e"), F.sum("phase").alias("phase_sum"),
+    ]
+    out = df.groupBy("track_id").agg(*facts).where(F.col("n") > least)
+    by = df.groupBy("track_id", classes).agg(F.sum("phase").alias("phase"), F.count(F.lit(1)).alias("n"))
+    entries = lambda key, value: F.map_from_entries(F.collect_list(F.struct(key, value)))
+    out = out.join(by.groupBy("track_id").agg(entries(classes, "phase").alias("class_phase"), entries(classes, "n").alias("class_n")), "track_id")
+    if depth is not None:
+        deep = df.groupBy("track_id", depth).agg(F.count(F.lit(1)).alias("n")).groupBy("track_id").agg(entries(depth, "n").alias("depth_n"))
+        out = out.join(deep, "track_id")
+    return out
 
 
 def similarity_stats(pairs: DataFrame, sizes: DataFrame, group: str) -> DataFrame:
@@ -61,14 +76,14 @@ def min_label_components(edges: DataFrame) -> DataFrame:
     return ends.join(now.toDF("id", "label"), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
-def similar_groups(vectors: DataFrame, group: str, id_col: str, eps: float, min_samples: int, vec: str = "embedding") -> DataFrame:
-    """DBSCAN on 1 - cosine within each group: (id, cluster, core); noise has cluster -1.
+def similar_groups(vectors: DataFrame, group: str, id_col: str, eps: float, min_samples: int, vec: str = "embedding", euclid: bool = False) -> DataFrame:
+    """DBSCAN on 1 - cosine, or on Euclidean distance, within each group: (id, cluster, core); noise has cluster -1.
 
     Neighbours come from blocked products with a threshold; core points are connected
     by shared edges; a border point joins the lowest-numbered core group near it.
     """
     ensure_checkpoint_dir(vectors.sparkSession)
-    pairs = similar_pairs(vectors, group, id_col, vec, threshold=1 - eps).select("a", "b").checkpoint()
+    pairs = similar_pairs(vectors, group, id_col, vec, threshold=eps if euclid else 1 - eps, euclid=euclid).select("a", "b").checkpoint()
     both = pairs.union(pairs.select("b", "a")).toDF("a", "b")
     core = both.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") + 1 >= min_samples).select(F.col("a").alias("id")).checkpoint()
     inner = pairs.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi")
@@ -80,18 +95,17 @@ def similar_groups(vectors: DataFrame, group: str, id_col: str, eps: float, min_
 
 
 def standardise(long: DataFrame, keys: tuple[str, ...] = ("metric",)) -> DataFrame:
-    """Value minus mean over population std of its metric; a constant metric gives 0. Moments are aggregated, then broadcast: one row per metric."""
+    """Value minus mean over population std of its metric; a constant metric gives 0. Moments are aggregated and joined."""
     m = long.groupBy(*keys).agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
     s = F.when(F.col("_s") == 0, 1.0).otherwise(F.col("_s"))
-    return long.join(F.broadcast(m), list(keys)).withColumn("scaled", (F.col("value") - F.col("_m")) / s).drop("_m", "_s")
+    return long.join(m, list(keys)).withColumn("scaled", (F.col("value") - F.col("_m")) / s).drop("_m", "_s")
 
 
-def robust_scale(long: DataFrame, keys: tuple[str, ...] = ("metric",)) -> DataFrame:
+def robust_scale(long: DataFrame, keys: tuple[str, ...] = ("metric",), accuracy: int | None = None) -> DataFrame:
     """Value minus median over the quartile range of its metric (a range of 0 counts as 1)."""
-    q = lambda p: F.percentile("value", F.lit(p))
-    m = long.groupBy(*keys).agg(q(0.5).alias("_m"), (q(0.75) - q(0.25)).alias("_s"))
+    m = long.groupBy(*keys).agg(quartiles("value", accuracy).alias("_q")).select(*keys, F.col("_q")[1].alias("_m"), (F.col("_q")[2] - F.col("_q")[0]).alias("_s"))
     s = F.when(F.col("_s") == 0, 1.0).otherwise(F.col("_s"))
-    return long.join(F.broadcast(m), list(keys)).withColumn("scaled", (F.col("value") - F.col("_m")) / s).drop("_m", "_s")
+    return long.join(m, list(keys)).withColumn("scaled", (F.col("value") - F.col("_m")) / s).drop("_m", "_s")
 
 
 def _features(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -113,24 +127,70 @@ def kmeans(df: DataFrame, columns: list[str], k: int, seed: int = 42) -> DataFra
     return KMeans(k=k, seed=seed, featuresCol="_x", predictionCol="cluster").fit(x).transform(x).drop("_x")
 
 
+def ward(x, k: int):
+    """Ward clustering of the rows of a matrix into ``k`` groups: the first row of each row's group. The two groups whose
+    union adds least to the squared distances from the centres merge, the first pair on ties."""
+    import numpy as np
+
+    n = len(x)
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    d[np.tril_indices(n)] = np.inf
+    size, label = np.ones(n), np.arange(n)
+    for _ in range(n - min(k, n)):
+        i, j = divmod(int(d.argmin()), n)
+        di, dj = np.minimum(d[i], d[:, i]), np.minimum(d[j], d[:, j])  # one of the two is infinite
+        with np.errstate(invalid="ignore"):
+            new = ((size[i] + size) * di + (size[j] + size) * dj - size * d[i, j]) / (size[i] + size[j] + size)
+        new[~(np.isfinite(di) & np.isfinite(dj))] = np.inf
+        d[j], d[:, j], d[i], d[:, i] = np.inf, np.inf, np.inf, np.inf
+        d[i, i + 1 :], d[:i, i] = new[i + 1 :], new[:i]
+        size[i] += size[j]
+        label[label == j] = i
+    return label
+
+
+WARD = 1000  # segments of a track up to which Ward's matrix of distances is made in one task
+
+
 def cluster_segments(vectors: DataFrame, group: str, id_col: str, vec: str = "embedding", eps: float = 0.5, min_samples: int = 2) -> DataFrame:
-    """(id, group, cluster): DBSCAN over all segments of each track; bisecting k-means with max(2, n/3) clusters for the tracks where it finds one group or noise.
+    """(id, group, cluster): the segments' features are standardised within their track and grouped by DBSCAN on Euclidean
+    distance; tracks where that finds fewer than two groups, or noise, get Ward clustering into max(2, n/3).
 
-    Cluster numbers hold within a track. Tracks that fall back are fitted one after the other, each by all executors.
+    Cluster numbers are ids of members and hold within a track. Tracks of more than ``WARD``
+    segments, for which Ward has no distributed form, get bisecting k-means by all executors,
+    one after the other.
     """
-    found = similar_groups(vectors, group, id_col, eps, min_samples, vec).select("id", group, "cluster").checkpoint()
-    shape = found.groupBy(group).agg(F.countDistinct("cluster").alias("k"), F.min("cluster").alias("lo"), F.count(F.lit(1)).alias("n"))
-    again = shape.where("k < 2 OR lo < 0").select(group, "n").orderBy(group).collect()
-    if not again:
-        return found
+    import numpy as np
+    import pandas as pd
+
+    ensure_checkpoint_dir(vectors.sparkSession)
+    flat = vectors.select(F.col(id_col).cast("long").alias("id"), group, F.posexplode(vec).alias("i", "value")).withColumn("value", F.col("value").cast("double"))
+    scaled = standardise(flat, (group, "i")).groupBy("id", group).agg(F.array_sort(F.collect_list(F.struct("i", "scaled"))).alias("v"))
+    rows = scaled.select("id", group, F.col("v.scaled").alias("v")).checkpoint()
+    found = similar_groups(rows, group, "id", eps, min_samples, "v", euclid=True).select("id", group, F.col("cluster").cast("long").alias("cluster")).checkpoint()
+    shape = found.groupBy(group).agg(F.countDistinct("cluster").alias("k"), F.min("cluster").alias("lo"), F.count(F.lit(1)).alias("n")).withColumn("again", F.expr("k < 2 OR lo < 0")).checkpoint()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", kind="stable")
+        label = ward(np.array(pdf["v"].tolist(), dtype=float), max(2, len(pdf) // 3))
+        return pd.DataFrame({"id": pdf["id"], group: pdf[group], "cluster": pdf["id"].to_numpy()[label]})
+
+    kind = rows.schema[group].dataType.simpleString()
+    few = rows.join(shape.where(f"again AND n <= {WARD}").select(group), group, "left_semi").select("id", group, "v")
+    out = found.join(shape.where("NOT again").select(group), group, "left_semi").select("id", group, "cluster")
+    out = out.union(few.groupBy(group).applyInPandas(run, f"id long, {group} {kind}, cluster long"))
+    many = shape.where(f"again AND n > {WARD}").select(group, "n").orderBy(group).collect()
+    if not many:
+        return out
     from pyspark.ml.clustering import BisectingKMeans
     from pyspark.ml.functions import array_to_vector
 
-    out = found.join(shape.where("k >= 2 AND lo >= 0").select(group), group, "left_semi").select("id", group, F.col("cluster").cast("long").alias("cluster"))
-    for g, n in again:
-        x = vectors.where(F.col(group) == F.lit(g)).select(F.col(id_col).alias("id"), group, array_to_vector(F.col(vec).cast("array<double>")).alias("_x")).cache()
-        fit = BisectingKMeans(k=max(2, n // 3), seed=42, featuresCol="_x", predictionCol="cluster").fit(x)
-        out = out.union(fit.transform(x).select("id", group, F.col("cluster").cast("long")).checkpoint())
+    for g, n in many:
+        x = rows.where(F.col(group) == F.lit(g)).select("id", group, array_to_vector("v").alias("_x")).cache()
+        fit = BisectingKMeans(k=max(2, n // 3), seed=42, featuresCol="_x", predictionCol="part").fit(x)
+        part = fit.transform(x).select("id", group, "part").checkpoint()
+        first = part.groupBy("part").agg(F.min("id").alias("cluster"))
+        out = out.union(part.join(first, "part").select("id", group, "cluster"))
         x.unpersist()
     return out
 
@@ -145,11 +205,10 @@ def cluster_confidence(vectors: DataFrame, cluster: str, id_col: str, vec: str =
 
 def similar_segments(vectors: DataFrame, cluster: str, id_col: str, vec: str = "embedding", least: float = 0.8) -> DataFrame:
     """Pairs of a cluster with 1 - |a-b| / sqrt(d) above ``least``."""
-    a = vectors.select(cluster, F.col(id_col).alias("a"), F.col(vec).alias("va"))
-    b = vectors.select(cluster, F.col(id_col).alias("b"), F.col(vec).alias("vb"))
-    sq = F.aggregate(F.zip_with("va", "vb", lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2))), F.lit(0.0), lambda s, x: s + x)
-    p = a.join(b, cluster).where("a < b").withColumn("similarity", 1 - F.sqrt(sq) / F.sqrt(F.size("va")))
-    return p.where(F.col("similarity") > least).select(cluster, "a", "b", "similarity")
+    width = F.sqrt(F.size(vec).cast("double"))
+    unit = vectors.select(cluster, id_col, F.transform(vec, lambda x: x.cast("double") / width).alias("v"))
+    near = similar_pairs(unit, cluster, id_col, "v", threshold=1 - least, euclid=True)
+    return near.withColumn("similarity", 1 - F.col("distance")).where(F.col("similarity") > least).select(cluster, "a", "b", "similarity")
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import cosine, dot, norm
+from .joins import cosine, dot, norm, query_pairs
 
 
 def top_k_cosine(tracks: DataFrame, query: list[float], k: int = 5, threshold: float = 0.0, vec: str = "embedding", id_col: str = "track_id") -> DataFrame:
@@ -16,9 +16,9 @@ def top_k_cosine(tracks: DataFrame, query: list[float], k: int = 5, threshold: f
 
 
 def search_many(queries: DataFrame, refs: DataFrame, k: int, vec: str = "embedding") -> DataFrame:
-    """(query_id, ref_id, score, rank): per query the k references with the greatest dot product of unit vectors. Queries are a stated set, broadcast."""
+    """(query_id, ref_id, score, rank): per query the k references with the greatest dot product of unit vectors. Queries are a stated set."""
     q = queries.select("query_id", F.col(vec).alias("_q"))
-    pairs = refs.select("ref_id", F.col(vec).alias("_r")).crossJoin(F.broadcast(q)).where("ref_id <> query_id")
+    pairs = query_pairs(q, refs.select("ref_id", F.col(vec).alias("_r"))).where("ref_id <> query_id")
     n = norm("_q") * norm("_r")
     scored = pairs.withColumn("score", F.round(F.when(n > 0, dot("_q", "_r") / n).otherwise(0.0), 9))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "ref_id")
@@ -34,6 +34,12 @@ def segments_for_text(segments: DataFrame, query: list[float], threshold: float
     return segments.withColumn("score", F.round(cosine(vec, q), 9)).where(F.col("score") > threshold).drop(vec)
 
 
+def segments_for_texts(queries: DataFrame, segments: DataFrame, threshold: float = 0.3, vec: str = "embedding") -> DataFrame:
+    """Per text of a stated query set (query_id, vector) the segments that score above the threshold."""
+    q = queries.select("query_id", F.col(vec).alias("_q"))
+    return query_pairs(q, segments).withColumn("score", F.round(cosine(vec, "_q"), 9)).where(F.col("score") > threshold).drop(vec, "_q")
+
+
 def top_tags(scores: DataFrame, keys: list[str], threshold: float = 0.5, k: int = 10) -> DataFrame:
     """Per key the k best tags at or above the threshold."""
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), "tag")

@@ -169,12 +169,28 @@ def non_max_by_priority(series: DataFrame, keys: list[str], distance: int, promi
 
 
 def rolling_max_peaks(df: DataFrame, keys: list[str], order: list[str], value: str, around: int = 20, delta: float = 0.5) -> DataFrame:
-    """Rows that are the greatest of their neighbourhood and at least its mean plus ``delta``; apply ``suppress_close`` for a waiting time."""
+    """Rows that are the greatest of their neighbourhood and at least its mean plus ``delta``; apply ``wait_between`` for a waiting time."""
     w = _order(keys, *order).rowsBetween(-around, around)
     out = df.withColumn("_max", F.max(value).over(w)).withColumn("_avg", F.avg(value).over(w))
     return out.where((F.col(value) == F.col("_max")) & (F.col(value) >= F.col("_avg") + delta)).drop("_max", "_avg")
 
 
+def wait_between(peaks: DataFrame, position: str, wait: int = 20, key: str = "track_id") -> DataFrame:
+    """Peaks in order of position, each more than ``wait`` after the last one that was kept. A fold along the track, whose
+    state is one position."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(position, kind="stable")
+        kept, last = [], None
+        for i, p in enumerate(pdf[position].tolist()):
+            if last is None or p > last + wait:
+                kept.append(i)
+                last = p
+        return pdf.iloc[kept]
+
+    return peaks.groupBy(key).applyInPandas(fold, peaks.schema)
+
+
 def min_max(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Value scaled to 0..1 within its keys; a constant series stays as it is."""
     w = Window.partitionBy(*keys)

@@ -14,19 +14,28 @@ from .joins_plans import cos_sql
 
 PLANS = Plans()
 add = PLANS.add
-_ST = "sm AS (SELECT track_id, event_id % 8 AS mode_index, phase FROM s WHERE track_id < 40)"
+_ST = "sm AS (SELECT track_id, event_id % 8 AS mode_index, phase FROM s)"
 
 
 @add("c1_interference_visibility", states(f""", {_ST}, p AS (SELECT track_id, mode_index, sum(phase) AS phase FROM sm GROUP BY 1, 2)
-SELECT x.track_id AS a, y.track_id AS b, round(sqrt(pow(avg(cos(x.phase-y.phase)),2)+pow(avg(sin(x.phase-y.phase)),2)),6) AS visibility FROM p x JOIN p y ON x.mode_index=y.mode_index AND x.track_id<y.track_id GROUP BY 1, 2"""))
+SELECT x.track_id AS a, y.track_id AS b, round(sqrt(pow(avg(cos(x.phase-y.phase)),2)+pow(avg(sin(x.phase-y.phase)),2)),6) AS visibility FROM p x JOIN p y ON x.mode_index=y.mode_index AND x.track_id % 100 = 0 AND x.track_id<>y.track_id GROUP BY 1, 2"""))
 def c1(spark, d):
-    st = states_df(spark, d).where("track_id < 40").withColumn("mode_index", F.col("event_id") % 8)
-    return rounded(op.interference_visibility(op.phase_profile(st)))
+    st = states_df(spark, d).withColumn("mode_index", F.col("event_id") % 8)
+    return rounded(op.interference_visibility(op.phase_profile(st), "track_id % 100 = 0"))
 
 
-@add("c2_track_spectrum", states(f", {SE} SELECT track_id, count(*) AS n, round(avg(s_k),6) AS mean_s_k, round(stddev_pop(s_k),6) AS std_s_k, round(avg(s_t),6) AS mean_s_t, round(avg(s_e),6) AS mean_s_e, round(sum(phase),6) AS phase_sum FROM se GROUP BY 1 HAVING count(*) > 10"))
+@add("c2_track_spectrum", states(f", {SE} SELECT track_id, count(*) AS n, round(avg(s_k),6) AS mean_s_k, round(stddev_pop(s_k),6) AS std_s_k, round(avg(s_t),6) AS mean_s_t, round(stddev_pop(s_t),6) AS std_s_t, round(avg(s_e),6) AS mean_s_e, round(stddev_pop(s_e),6) AS std_s_e, round(sum(phase),6) AS phase_sum FROM se GROUP BY 1 HAVING count(*) > 10"))
 def c2(spark, d):
-    return rounded(op.track_spectrum(entropies(spark, d)))
+    return rounded(op.track_spectrum(entropies(spark, d))).drop("class_phase", "class_n")
+
+
+@add("c2_track_classes", states(""", t AS (SELECT track_id FROM s GROUP BY 1 HAVING count(*) > 10), e AS (SELECT track_id, event_id % 8 AS class, phase, k // 10 AS depth FROM s JOIN t USING (track_id))
+SELECT track_id, 'phase' AS kind, class AS key, round(sum(phase), 6) AS value FROM e GROUP BY 1, 3 UNION ALL SELECT track_id, 'depth', depth, CAST(count(*) AS DOUBLE) FROM e GROUP BY 1, 3"""))
+def c2b(spark, d):
+    st = states_df(spark, d).select("track_id", "phase", (F.col("event_id") % 8).alias("class"), F.floor(F.col("k") / 10).alias("depth"), *(F.lit(0.0).alias(c) for c in ("s_k", "s_t", "s_e")))
+    sp = op.track_spectrum(st, classes="class", depth="depth")
+    part = lambda kind, column: sp.select("track_id", F.lit(kind).alias("kind"), F.explode(column).alias("key", "value")).withColumn("value", F.round(F.col("value").cast("double"), 6))
+    return part("phase", "class_phase").unionByName(part("depth", "depth_n"))
 
 
 @add("c3_similarity_stats", f"""WITH p AS (SELECT x.label, {cos_sql('x.embedding', 'y.embedding')} AS s FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)
@@ -104,10 +113,11 @@ def c13(spark, d):
     return rounded(op.mean_pair_cosine(table(spark, d, "embeddings"), "label"))
 
 
-@add("c13_tempo_similarity", hits(", t AS (SELECT track_id, avg(velocity) AS tempo FROM h WHERE track_id < 30 GROUP BY 1) SELECT x.track_id AS a, y.track_id AS b, round(least(x.tempo,y.tempo)/greatest(x.tempo,y.tempo),6) AS similarity FROM t x JOIN t y ON x.track_id % 5 = y.track_id % 5 AND x.track_id < y.track_id"))
+@add("c13_tempo_similarity", hits(", t AS (SELECT track_id, avg(velocity) AS tempo FROM h GROUP BY 1) SELECT x.track_id AS a, y.track_id AS b, round(least(x.tempo,y.tempo)/greatest(x.tempo,y.tempo),6) AS similarity FROM t x JOIN t y ON x.track_id % 100 = 0 AND x.track_id <> y.track_id"))
 def c13b(spark, d):
-    t = hits_df(spark, d).where("track_id < 30").groupBy("track_id").agg(F.avg("velocity").alias("tempo")).withColumn("g", F.col("track_id") % 5)
-    p = t.select(F.col("track_id").alias("a"), F.col("tempo").alias("ta"), "g").join(t.select(F.col("track_id").alias("b"), F.col("tempo").alias("tb"), "g"), "g").where("a < b")
+    t = hits_df(spark, d).groupBy("track_id").agg(F.avg("velocity").alias("tempo"))
+    q = t.where("track_id % 100 = 0").select(F.col("track_id").alias("a"), F.col("tempo").alias("ta"))
+    p = joins.query_pairs(q, t.select(F.col("track_id").alias("b"), F.col("tempo").alias("tb"))).where("a <> b")
     return rounded(p.select("a", "b", op.ratio_similarity(F.col("ta"), F.col("tb")).alias("similarity")))
 
 
@@ -120,11 +130,11 @@ def c13c(spark, d):
 
 
 def _label_pairs(e):
-    near = e.select("label").distinct()
-    return near.select(F.col("label").alias("a")).join(near.select(F.col("label").alias("b")), F.col("b") == F.col("a") + 1)
+    tracks = e.select("label").distinct()
+    return joins.query_pairs(tracks.select(F.col("label").alias("a")), tracks.select(F.col("label").alias("b")), 4).where("a < b")
 
 
-@add("c13_mean_pair_distance", f"WITH {_UN}, p AS (SELECT a.label AS a, b.label AS b, sqrt(sum(pow(a.x-b.x,2))) AS d FROM un a JOIN un b ON a.i = b.i AND b.label = a.label + 1 GROUP BY a.label, b.label, a.vec_id, b.vec_id) SELECT a, b, round(1-avg(d),6) AS similarity FROM p GROUP BY 1, 2")
+@add("c13_mean_pair_distance", f"WITH {_UN}, p AS (SELECT a.label AS a, b.label AS b, sqrt(sum(pow(a.x-b.x,2))) AS d FROM un a JOIN un b ON a.i = b.i AND b.label > a.label GROUP BY a.label, b.label, a.vec_id, b.vec_id) SELECT a, b, round(1-avg(d),6) AS similarity FROM p GROUP BY 1, 2")
 def c13d(spark, d):
     e = table(spark, d, "embeddings")
     return rounded(op.mean_pair_distance(_label_pairs(e), e, "label"))
@@ -133,7 +143,7 @@ def c13d(spark, d):
 @add("c13_onset_correlation")
 def c13e(spark, d):
     e = table(spark, d, "embeddings")
-    near = e.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b")).join(e.select(F.col("vec_id").alias("b")), "b", "left_semi")
+    near = joins.query_pairs(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a")), e.select(F.col("vec_id").alias("b"))).where("a <> b")
     return rounded(op.onset_correlation(e.select(F.col("vec_id").alias("track_id"), F.col("embedding").alias("env")), near.select("a", "b")))
 
 

@@ -1,9 +1,12 @@
 """Queries S1 to S15."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..schemas import hits as hits_df
 from ..schemas import table
+from ..session import shared_dir
 from ..sources import tables as op
 from .common import Plans, hits
 
@@ -104,3 +107,32 @@ def s15(spark, d):
     t = hits_df(spark, d).groupBy("track_id").agg(F.avg("velocity").alias("f")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(99).cast("long"))))
     w = 2 * math.pi * F.col("f") * F.col("i") / 8000
     return t.select("track_id", "i", F.round(F.sin(w) + 0.5 * F.sin(2 * w), 6).alias("x"))
+
+
+def _folder(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@add("s3_read_results", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def s3(spark, d):
+    path, s = _folder(spark, "results"), table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    s.write.option("maxRecordsPerFile", 1).json(path)
+    return op.read_results(spark, [path], s.schema).drop("file")
+
+
+@add("s4_discover_files", "SELECT DISTINCT o_orderstatus AS folder FROM orders")
+def s4(spark, d):
+    path = _folder(spark, "found")
+    orders = table(spark, d, "orders")
+    orders.write.partitionBy("o_orderstatus").parquet(path)
+    orders.select("o_orderkey").write.csv(f"{path}/other=x")
+    found = op.discover_files(spark, path, ("parquet",)).where("length > 0")
+    return found.select(F.regexp_extract("path", "o_orderstatus=([^/]*)/", 1).alias("folder")).distinct()
+
+
+@add("s8_write_results", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CAST(c_nationkey AS VARCHAR) AS info_nation, c_mktsegment AS info_segment FROM customer")
+def s8(spark, d):
+    path = _folder(spark, "written")
+    c = table(spark, d, "customer").select("c_custkey", F.struct(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")).alias("info"))
+    op.write_results(c, path, "csv")
+    return spark.read.option("header", True).csv(path)

@@ -36,10 +36,10 @@ def k2(spark, d):
     return rounded(op.search_many(q, e.withColumnRenamed("vec_id", "ref_id"), 5))
 
 
-@add("k3_timestamps_for_text", f"WITH {_Q}, c AS (SELECT vec_id, label, round({cos_sql('embedding', 'qe')}, 9) AS score FROM embeddings CROSS JOIN q) SELECT vec_id, label, round(score, 6) AS score FROM c WHERE score > 0.05")
+@add("k3_timestamps_for_text", f"WITH q AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id % 100 = 0), c AS (SELECT query_id, vec_id, label, round({cos_sql('embedding', 'qe')}, 9) AS score FROM embeddings CROSS JOIN q) SELECT query_id, vec_id, label, round(score, 6) AS score FROM c WHERE score > 0.05")
 def k3(spark, d):
     e = table(spark, d, "embeddings")
-    return rounded(op.segments_for_text(e, _query(e), 0.05))
+    return rounded(op.segments_for_texts(e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), e, 0.05))
 
 
 @add("k4_top_tags", hits(""", r AS (SELECT track_id, type, event_id AS tag, confidence AS score, row_number() OVER (PARTITION BY track_id, type ORDER BY confidence DESC, event_id) AS rank FROM h WHERE confidence >= 0.5)
@@ -120,8 +120,8 @@ def u5(spark, d):
     return op.overlap_types(p, "a", "b").select("p_partkey", F.array_join("shared", ",").alias("shared"), F.array_join("either", ",").alias("either"))
 
 
-@add("u6_common_features", hits(""", l AS (SELECT track_id AS file, type AS feature, avg(velocity) AS value FROM h WHERE track_id < 20 AND confidence > 0.5 GROUP BY 1, 2), c AS (SELECT feature FROM l GROUP BY 1 HAVING count(DISTINCT file) = (SELECT count(DISTINCT file) FROM l))
+@add("u6_common_features", hits(""", l AS (SELECT track_id AS file, type AS feature, avg(velocity) AS value FROM h WHERE confidence > 0.5 GROUP BY 1, 2), c AS (SELECT feature FROM l GROUP BY 1 HAVING count(DISTINCT file) = (SELECT count(DISTINCT file) FROM l))
 SELECT feature, file, round(value, 6) AS value FROM l JOIN c USING (feature)"""))
 def u6(spark, d):
-    long = hits_df(spark, d).where("track_id < 20 AND confidence > 0.5").groupBy(F.col("track_id").alias("file"), F.col("type").alias("feature")).agg(F.avg("velocity").alias("value"))
+    long = hits_df(spark, d).where("confidence > 0.5").groupBy(F.col("track_id").alias("file"), F.col("type").alias("feature")).agg(F.avg("velocity").alias("value"))
     return rounded(op.common_features(long)).select("feature", "file", "value")

@@ -1,5 +1,6 @@
 """Queries W1 to W21."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import windows as op
@@ -100,6 +101,15 @@ def w11(spark, d):
     return op.rolling_max_peaks(hits_df(spark, d), TR, ORD, "velocity").select("event_id", "velocity")
 
 
+@add("w11_peak_pick", hits(""", c AS (SELECT track_id, event_id, velocity, pos FROM (SELECT *, row_number() OVER o AS pos, max(velocity) OVER w AS m, avg(velocity) OVER w AS a FROM h
+  WINDOW o AS (PARTITION BY track_id ORDER BY us, event_id), w AS (PARTITION BY track_id ORDER BY us, event_id ROWS BETWEEN 20 PRECEDING AND 20 FOLLOWING)) WHERE velocity = m AND velocity >= a + 0.5),
+r AS (SELECT track_id, min(pos) AS pos FROM c GROUP BY 1 UNION ALL SELECT r.track_id, (SELECT min(c.pos) FROM c WHERE c.track_id = r.track_id AND c.pos > r.pos + 20) FROM r WHERE r.pos IS NOT NULL)
+SELECT event_id, velocity FROM c JOIN r USING (track_id, pos)""").replace("WITH ", "WITH RECURSIVE ", 1))
+def w11b(spark, d):
+    h = hits_df(spark, d).select("track_id", "event_id", "us", "velocity", F.row_number().over(Window.partitionBy("track_id").orderBy("us", "event_id")).alias("pos"))
+    return op.wait_between(op.rolling_max_peaks(h, TR, ORD, "velocity"), "pos").select("event_id", "velocity")
+
+
 @add("w12_min_max_normalise", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((l_extendedprice - min(l_extendedprice) OVER w) / (max(l_extendedprice) OVER w - min(l_extendedprice) OVER w), 6) AS scaled FROM lineitem WINDOW w AS (PARTITION BY l_suppkey)")
 def w12(spark, d):
     return rounded(op.min_max(table(spark, d, "lineitem"), ["l_suppkey"], "l_extendedprice").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "scaled"))

@@ -23,7 +23,19 @@ def session(app: str = "cadenza", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. On one machine, where it may be unset, a
+    temporary folder; on a cluster an unset one is an error, since executors would not see a folder of the driver's."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = getattr(shared_dir, "own", "") or tempfile.mkdtemp(prefix="spark-")
+        shared_dir.own = found
+    return found.rstrip("/")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the session's checkpoint folder; where it has none (one machine), set a temporary one."""
+    """Keep the session's checkpoint folder; where it has none, set the shared one."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))

@@ -40,9 +40,12 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE)))
-def test_query_runs(spark, sf_dir, name):
+def test_query_gives_rows_without_bad_numbers(spark, sf_dir, name):
+    """Values are held against plain versions in ``test_plain`` and ``test_operators``."""
     df = registry.QUERIES[name](spark, sf_dir)
-    assert len(df.collect()) >= 0 and len(set(df.columns)) == len(df.columns)
+    rows = df.collect()
+    assert rows and len(set(df.columns)) == len(df.columns)
+    assert not any(isinstance(v, float) and math.isinf(v) for r in rows for v in r)
 
 
 def test_entry(spark):
@@ -50,6 +53,6 @@ def test_entry(spark):
 
 
 def test_no_cartesian_products(spark, sf_dir, capsys):
-    for name in ("j1_nearest_onset", "j5_events_in_intervals", "w8_merge_intervals", "r6_pattern_grid", "a1_hit_stats_by_type"):
+    for name in sorted(n for n in registry.ORACLE if n[0] in "ajrw" or n in ("k2_search_with_audio", "k3_timestamps_for_text", "c1_interference_visibility", "c9_similar_segments")):
         registry.QUERIES[name](spark, sf_dir).explain()
         assert "Cartesian" not in capsys.readouterr().out
