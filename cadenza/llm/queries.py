@@ -1,11 +1,11 @@
-"""The contract queries of the ten operators, and SQL for those that SQL can express."""
+"""The contract queries of the thirteen operators, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, packing, pii, quality_pu, rules, sentencepiece, suffix_dedup, url_filter, warc
+from . import divergence, exact_dedup, fingerprints, jaccard_join, lexical_search, packing, pii, quality_pu, rules, sentencepiece, suffix_dedup, url_filter, warc
 from .common import LOWER, UPPER, materialise, table
 
 HELD_OUT = "pmod(crc32(cast(doc_id AS string)), 3) = 1"
@@ -80,6 +80,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "is_listed")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(lexical_search.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least=10, top=10)
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_pu": op1_quality_pu,
     "op2_sentencepiece": op2_sentencepiece,
@@ -91,6 +103,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_pii": op9_pii,
     "op10_url_filter": op10_url_filter,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_fingerprints": op13_fingerprints,
     "rules_ablation": rules_ablation,
 }
 
@@ -148,4 +163,30 @@ f AS (SELECT k.page_id, r.rhost || r.rpath AS rule, r.verdict, row_number() OVER
       FROM k JOIN r ON (k.host = r.rhost OR k.host LIKE '%.' || r.rhost) AND starts_with(k.path, r.rpath))
 SELECT k.page_id, k.host, k.path, f.rule, coalesce(f.verdict, CASE WHEN bad.key IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, bad.key IS NOT NULL AS is_listed
 FROM k LEFT JOIN f ON f.page_id = k.page_id AND f.rn = 1 LEFT JOIN bad ON bad.key = k.key""",
+    "op11_lexical_search": rf"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text,''),'{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+c AS (SELECT count(*) FILTER (len(w) > 0) AS N, CAST(sum(len(w)) AS BIGINT) AS L FROM d),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text,'{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+u AS (SELECT k, doc_id, len(w) AS n, unnest(w) AS term FROM d),
+p AS (SELECT k, doc_id, n, term, count(*) AS tf FROM u WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+i AS (SELECT p.k, p.doc_id, p.term, CAST(floor(1000 * ln((2*c.N+2)::DOUBLE / (2*f.df+1))) AS BIGINT) * ((1000000000*p.tf) // (1000*p.tf + 20*(100-50+((50*p.n*c.N)//c.L)))) AS x FROM p JOIN f USING (term), c),
+s AS (SELECT q.item_id, i.k, i.doc_id, CAST(sum(i.x) AS BIGINT) AS score FROM q JOIN i USING (term) GROUP BY ALL),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50""",
+    "op12_source_divergence": rf"""WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang,'') AS lang, coalesce(source,'') AS source, coalesce(text,'') AS text FROM documents),
+t AS (SELECT k, lang, source, unnest(regexp_extract_all(translate(text,'{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT k) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+v AS (SELECT lang, count(*) AS kinds, sum(total) AS size FROM kept GROUP BY lang),
+s AS (SELECT lang, source, sum(n) AS size FROM c GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(c.n,0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n,0)+2)) // (coalesce(s.size,0) + 2*v.kinds) AS p,
+        1 + (1000000000::HUGEINT * (kept.total+2)) // (v.size + 2*v.kinds) AS q
+      FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN s ON s.lang = g.lang AND s.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+pr AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p-b.p)*(a.p-b.p)) // (a.p+b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pr.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pr ON pr.lang = a.lang AND pr.source = a.source AND pr.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p-q)*(p-q)) // (p+q) AS value FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 10""",
 }

@@ -72,9 +72,9 @@ def chunks(batch: pa.RecordBatch, text_at: int, limit: int = CHUNK) -> Iterator[
         a = b
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, separates: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, document) of every maximal run of non-separators; runs end where documents do."""
-    inside = ~_SEP[data]
+    inside = ~separates[data]
     if not len(data):
         e = np.zeros(0, np.int64)
         return e, e, e
