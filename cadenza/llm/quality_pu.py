@@ -117,18 +117,57 @@ def _sums(df: DataFrame, part, width: int) -> np.ndarray:
     return out
 
 
-def fit(train: DataFrame, prior: float, steps: int = 40, rate: float = 0.3, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(weights, means, deviations) from rows (x, positive); every row is unlabelled text, positives count in both roles."""
-    d = N_FEATURES
+def _scales(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of each feature over all rows."""
 
     def moments(batch: pa.RecordBatch) -> np.ndarray:
         x = _matrix(batch)
         return np.concatenate([[len(x)], x.sum(0), (x**2).sum(0)])
 
-    m = _sums(train, moments, 2 * d + 1)
+    m = _sums(train, moments, 2 * N_FEATURES + 1)
     n = max(m[0], 1.0)
-    mean = m[1 : d + 1] / n
-    dev = np.sqrt(np.maximum(m[d + 1 :] / n - mean**2, 1e-6))
+    mean = m[1 : N_FEATURES + 1] / n
+    return mean, np.sqrt(np.maximum(m[N_FEATURES + 1 :] / n - mean**2, 1e-6))
+
+
+def _design(batch: pa.RecordBatch, mean: np.ndarray, dev: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled features with a constant first, and which rows are trusted positives."""
+    x = np.clip((_matrix(batch) - mean) / dev, -6, 6)
+    return np.column_stack([np.ones(len(x)), x]), batch.column("positive").to_numpy(zero_copy_only=False).astype(bool)
+
+
+def order(train: DataFrame, steps: int = 10, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, means, deviations) of a plain logistic fit of positives against all texts, half the weight each, by Newton steps.
+
+    No prior enters it, so that it can order texts for an estimate of one.
+    """
+    d = N_FEATURES + 1
+    mean, dev = _scales(train)
+    w = np.zeros(d)
+    for _ in range(steps):
+
+        def parts(batch: pa.RecordBatch, now: np.ndarray = w) -> np.ndarray:
+            x, pos = _design(batch, mean, dev)
+            p = 1 / (1 + np.exp(-np.clip(x @ now, -30, 30)))
+            curve = lambda x, p: ((x * (p * (1 - p))[:, None]).T @ x).ravel()
+            return np.concatenate([[len(x), pos.sum()], p @ x, (p[pos] - 1) @ x[pos], curve(x, p), curve(x[pos], p[pos])])
+
+        g = _sums(train, parts, 2 + 2 * d + 2 * d * d)
+        n_u, n_p = 2 * max(g[0], 1), 2 * max(g[1], 1)
+        ridge = l2 * np.concatenate([[1e-3], np.ones(d - 1)])
+        slope = g[2 : 2 + d] / n_u + g[2 + d : 2 + 2 * d] / n_p + ridge * w
+        curve = (g[2 + 2 * d : 2 + 2 * d + d * d] / n_u + g[2 + 2 * d + d * d :] / n_p).reshape(d, d)
+        step = np.linalg.solve(curve + np.diag(ridge + 1e-9), slope)
+        w = w - step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
+        if np.abs(step).max() < 1e-3:
+            break
+    return w, mean, dev
+
+
+def fit(train: DataFrame, prior: float, steps: int = 40, rate: float = 0.3, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, means, deviations) from rows (x, positive); every row is unlabelled text, positives count in both roles."""
+    d = N_FEATURES
+    mean, dev = _scales(train)
     w = np.zeros(d + 1)
     w[0] = np.log(prior / (1 - prior))
     avg, sq = np.zeros(d + 1), np.zeros(d + 1)
@@ -136,12 +175,10 @@ def fit(train: DataFrame, prior: float, steps: int = 40, rate: float = 0.3, l2:
         now = w.copy()
 
         def gradients(batch: pa.RecordBatch, now: np.ndarray = now) -> np.ndarray:
-            x = np.clip((_matrix(batch) - mean) / dev, -6, 6)
-            x = np.column_stack([np.ones(len(x)), x])
+            x, pos = _design(batch, mean, dev)
             z = np.clip(x @ now, -30, 30)
             p = 1 / (1 + np.exp(-z))  # derivative of log(1+e^z); of log(1+e^-z) it is p-1
             loss_minus = np.logaddexp(0, z)
-            pos = batch.column("positive").to_numpy(zero_copy_only=False).astype(bool)
             return np.concatenate([[len(x), pos.sum(), loss_minus.sum(), loss_minus[pos].sum()], p @ x, p[pos] @ x[pos], (p[pos] - 1) @ x[pos]])
 
         g = _sums(train, gradients, 4 + 3 * (d + 1))
@@ -181,15 +218,14 @@ def best_bin(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -
     return float(np.clip(q_u[at] / q_p[at], 0.01, 0.99))
 
 
-def class_prior(train: DataFrame, steps: int = 15) -> float:
+def class_prior(train: DataFrame) -> float:
     """The share of positives among the texts of ``train`` (x, positive), from positives and unlabelled texts alone."""
-    w, mean, dev = fit(train, 0.5, steps)
+    w, mean, dev = order(train)
 
     def counts(batch: pa.RecordBatch) -> np.ndarray:
-        x = np.clip((_matrix(batch) - mean) / dev, -6, 6)
-        p = 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
+        x, pos = _design(batch, mean, dev)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         at = np.minimum(((1 - p) * BINS).astype(np.int64), BINS - 1)
-        pos = batch.column("positive").to_numpy(zero_copy_only=False).astype(bool)
         return np.concatenate([np.bincount(at[pos], minlength=BINS), np.bincount(at, minlength=BINS)]).astype(float)
 
     found = _sums(train, counts, 2 * BINS)

@@ -446,9 +446,10 @@ def test_risk_equals_a_plain_one(spark, prior, ascends):
     assert np.allclose(quality_pu.fit(table, prior, 25)[0], w, atol=1e-5)
 
 
-@pytest.mark.parametrize("prior", [0.2, 0.5, 0.8])
-def test_prior_from_positives_and_unlabelled_texts(spark, prior):
-    _, _, table = pu_rows(spark, 8000, prior)
+@pytest.mark.parametrize("seed", [6, 7, 8])
+@pytest.mark.parametrize("prior", [0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9])
+def test_prior_from_positives_and_unlabelled_texts(spark, prior, seed):
+    _, _, table = pu_rows(spark, 8000, prior, seed)
     assert abs(quality_pu.class_prior(table) - prior) < 0.08
 
 
