@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import quantiles, same
+
 
 def hit_stats_by_type(hits: DataFrame) -> DataFrame:
     """Per type: hits, share in percent, mean confidence and velocity. One shuffle; the share is over the few aggregated rows."""
@@ -44,19 +46,16 @@ def density_heatmap(hits: DataFrame, bins: int = 50) -> DataFrame:
     return n.withColumn("level", F.col("n") / F.max("n").over(Window.partitionBy("type")))
 
 
-def quartiles(value: str, accuracy: int | None = None) -> Column:
-    """Quartiles of a column as an array, from one state. Exact ones keep every distinct value of a group in one task; an
-    ``accuracy`` (relative rank error 1/accuracy) bounds the state whatever the group's size."""
-    at = F.array(*map(F.lit, (0.25, 0.5, 0.75)))
-    return F.percentile(value, at) if accuracy is None else F.percentile_approx(value, [0.25, 0.5, 0.75], accuracy)
-
-
-def compare_metrics(long: DataFrame, group_by: list[str] | None = None, accuracy: int | None = None) -> DataFrame:
-    """Per metric (and group): mean, median, sample std, min, max, range, count of rows (metric, value)."""
-    return long.groupBy("metric", *(group_by or [])).agg(
-        F.avg("value").alias("mean"), quartiles("value", accuracy)[1].alias("median"), F.stddev_samp("value").alias("std"),
+def compare_metrics(long: DataFrame, group_by: list[str] | None = None) -> DataFrame:
+    """Per metric (and group): mean, median, sample std, min, max, range, count of rows (metric, value). The median is exact, by
+    distributed selection; a metric without values has null for it."""
+    keys = ["metric", *(group_by or [])]
+    found = long.groupBy(*keys).agg(
+        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"), (F.max("value") - F.min("value")).alias("range"), F.count("value").alias("n"),
     )
+    both = same(found, quantiles(long, keys, (0.5,)), keys, "left")
+    return both.select(*keys, "mean", F.col("q")[0].alias("median"), "std", "min", "max", "range", "n")
 
 
 def feature_stats(long: DataFrame) -> DataFrame:
@@ -185,14 +184,15 @@ def list_complexity(n_active: Column, n_transforms: Column, n: Column) -> Column
     return F.when(n > 0, (n_active + n_transforms) / (2 * n)).otherwise(0.0)
 
 
-def distribution_moments(long: DataFrame, accuracy: int | None = None) -> DataFrame:
-    """Mean, std, extremes, skewness, excess kurtosis (population) and quartiles per metric."""
+def distribution_moments(long: DataFrame) -> DataFrame:
+    """Mean, std, extremes, skewness, excess kurtosis (population) and quartiles per metric, the quartiles by distributed selection."""
     found = long.groupBy("metric").agg(
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.skewness("value").alias("skewness"), F.kurtosis("value").alias("kurtosis"), quartiles("value", accuracy).alias("_q"),
+        F.skewness("value").alias("skewness"), F.kurtosis("value").alias("kurtosis"),
     )
-    q1, median, q3 = (F.col("_q")[i] for i in range(3))
-    return found.withColumns({"q1": q1, "median": median, "q3": q3, "iqr": q3 - q1}).drop("_q")
+    both = same(found, quantiles(long, ["metric"], (0.25, 0.5, 0.75)), ["metric"], "left")
+    q1, median, q3 = (F.col("q")[i] for i in range(3))
+    return both.withColumns({"q1": q1, "median": median, "q3": q3, "iqr": q3 - q1}).drop("q")
 
 
 def log_summary(long: DataFrame, key: str = "id") -> DataFrame:

@@ -7,24 +7,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .carry import neighbours
 
-def nearest_onset(beats: DataFrame, onsets: DataFrame, key: str = "track_id", us: str = "us") -> DataFrame:
+
+def nearest_onset(beats: DataFrame, onsets: DataFrame, key: str = "track_id", us: str = "us", block_us: int = 60_000_000) -> DataFrame:
     """Each beat with ``onset_us`` of the nearest onset of its track, the earlier on ties, and ``deviation_us`` (onset minus beat).
 
-    Union and two ordered windows: linear in the events, no range join. Beats without
-    an onset on their track keep nulls. Columns of ``onsets`` other than key and time are not read.
+    A block-carry scan: linear in the events, no range join, and a long track is dealt
+    out by blocks of ``block_us``. Beats without an onset on their track, or without a
+    time, keep nulls. Columns of ``onsets`` other than key and time are not read.
     """
+    near = neighbours(beats, onsets, [key], us, block_us)
+    before, after = F.col(f"_before.{us}"), F.col(f"_after.{us}")
+    pick = F.when(after.isNull() | (F.col(us) - before <= after - F.col(us)), before).otherwise(after)
     extra = [c for c in beats.columns if c not in (key, us)]
-    b = beats.select(key, us, F.lit(1).alias("_b"), F.struct(*extra).alias("_row") if extra else F.lit(None).alias("_row"))
-    o = onsets.select(key, us, F.lit(0).alias("_b"))
-    both = b.unionByName(o, allowMissingColumns=True).withColumn("_o", F.when(F.col("_b") == 0, F.col(us)))
-    order = Window.partitionBy(key).orderBy(us, "_b")
-    near = both.withColumn("_prev", F.last("_o", True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
-        "_next", F.first("_o", True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    )
-    pick = F.when(F.col("_next").isNull() | (F.col(us) - F.col("_prev") <= F.col("_next") - F.col(us)), F.col("_prev")).otherwise(F.col("_next"))
-    out = near.where("_b = 1").withColumn("onset_us", pick)
-    return out.select(key, us, *[F.col(f"_row.{c}").alias(c) for c in extra], "onset_us", (F.col("onset_us") - F.col(us)).alias("deviation_us"))
+    return near.withColumn("onset_us", pick).select(key, us, *extra, "onset_us", (F.col("onset_us") - F.col(us)).alias("deviation_us"))
 
 
 def onset_match(ref: DataFrame, target: DataFrame, tol_us: int = 5000, key: str = "track_id") -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .aggregates import quartiles
 from .joins import query_pairs, similar_pairs
+from .selection import quantiles, same, with_aggregate
 
 
 def phase_profile(states: DataFrame, keys: tuple[str, ...] = ("track_id", "mode_index")) -> DataFrame:
@@ -94,18 +94,23 @@ def similar_groups(vectors: DataFrame, group: str, id_col: str, eps: float, min_
     return out.select("id", group, F.coalesce("cluster", "near", F.lit(-1)).alias("cluster"), F.col("cluster").isNotNull().alias("core"))
 
 
-def standardise(long: DataFrame, keys: tuple[str, ...] = ("metric",)) -> DataFrame:
-    """Value minus mean over population std of its metric; a constant metric gives 0. Moments are aggregated and joined."""
-    m = long.groupBy(*keys).agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
+def _scaled(long: DataFrame, m: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(value - _m) / _s with the group's row of ``m``; a spread of 0 counts as 1."""
     s = F.when(F.col("_s") == 0, 1.0).otherwise(F.col("_s"))
-    return long.join(m, list(keys)).withColumn("scaled", (F.col("value") - F.col("_m")) / s).drop("_m", "_s")
+    return with_aggregate(long, m, list(keys)).withColumn("scaled", (F.col("value") - F.col("_m")) / s).drop("_m", "_s")
 
 
-def robust_scale(long: DataFrame, keys: tuple[str, ...] = ("metric",), accuracy: int | None = None) -> DataFrame:
-    """Value minus median over the quartile range of its metric (a range of 0 counts as 1)."""
-    m = long.groupBy(*keys).agg(quartiles("value", accuracy).alias("_q")).select(*keys, F.col("_q")[1].alias("_m"), (F.col("_q")[2] - F.col("_q")[0]).alias("_s"))
-    s = F.when(F.col("_s") == 0, 1.0).otherwise(F.col("_s"))
-    return long.join(m, list(keys)).withColumn("scaled", (F.col("value") - F.col("_m")) / s).drop("_m", "_s")
+def standardise(long: DataFrame, keys: tuple[str, ...] = ("metric",)) -> DataFrame:
+    """Value minus mean over population std of its metric; a constant metric gives 0. Rows are not shuffled unless there are very
+    many metrics."""
+    return _scaled(long, long.groupBy(*keys).agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s")), keys)
+
+
+def robust_scale(long: DataFrame, keys: tuple[str, ...] = ("metric",)) -> DataFrame:
+    """Value minus median over the quartile range of its metric (a range of 0 counts as 1); quartiles by distributed selection.
+    Null values stay null, also those of a metric without values."""
+    q = quantiles(long, list(keys), (0.25, 0.5, 0.75)).select(*keys, F.col("q")[1].alias("_m"), (F.col("q")[2] - F.col("q")[0]).alias("_s"))
+    return _scaled(long, same(long.select(*keys).distinct(), q, list(keys), "left"), keys)
 
 
 def _features(df: DataFrame, columns: list[str]) -> DataFrame:

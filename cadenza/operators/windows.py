@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .carry import neighbours
+
 
 def _order(keys: list[str], *order: str):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -265,18 +267,14 @@ def repetition_pairs(frames: DataFrame, key: str = "track_id", order: str = "fra
     return out.withColumn("r", F.abs(pearson(vec, "_next"))).where(F.col("r") > least).select(key, order, "r")
 
 
-def interpolate(series: DataFrame, targets: DataFrame, keys: list[str], value: str, time: str = "time") -> DataFrame:
-    """``value`` of each series at its target times, linear between neighbours and constant outside."""
-    s = series.select(*keys, time, value, F.lit(0).alias("_t"))
-    t = targets.select(*keys, time, F.lit(1).alias("_t"))
-    known = F.when(F.col("_t") == 0, F.struct(F.col(time).alias("t"), F.col(value).alias("v")))
-    w = _order(keys, time, "_t")
-    both = s.unionByName(t, allowMissingColumns=True).withColumn("_k", known)
-    both = both.withColumn("_a", F.last("_k", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.first("_k", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    gap = F.col("_b.t") - F.col("_a.t")
-    blend = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * (F.col(time) - F.col("_a.t")) / gap
-    out = both.where("_t = 1").withColumn(value, F.when(F.col("_a").isNull(), F.col("_b.v")).when(F.col("_b").isNull() | (gap == 0), F.col("_a.v")).otherwise(blend))
-    return out.select(*keys, time, value)
+def interpolate(series: DataFrame, targets: DataFrame, keys: list[str], value: str, time: str = "time", block: float = 60.0) -> DataFrame:
+    """``value`` of each series at its target times, linear between neighbours and constant outside, by a block-carry scan over
+    blocks of ``block`` units of time. Values at one time count in order of value: the last before, the first after."""
+    near = neighbours(targets.select(*keys, time), series, keys, time, block, (value,))
+    a, b = F.col("_before"), F.col("_after")
+    gap = b[time] - a[time]
+    blend = a[value] + (b[value] - a[value]) * (F.col(time) - a[time]) / gap
+    return near.select(*keys, time, F.when(a.isNull(), b[value]).when(b.isNull() | (gap == 0), a[value]).otherwise(blend).alias(value))
 
 
 def segments_between(transitions: DataFrame, durations: DataFrame, min_len: float, key: str = "track_id") -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -39,3 +41,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Keep the session's checkpoint folder; where it has none, set the shared one."""
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet below the shared folder and read again, which cuts its lineage there."""
+    path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
