@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .carry import neighbours
+from .metric_cells import doubles, matrix, meeting, placed, unit
 
 
 def nearest_onset(beats: DataFrame, onsets: DataFrame, key: str = "track_id", us: str = "us", block_us: int = 60_000_000) -> DataFrame:
@@ -87,42 +91,37 @@ def similar_pairs(vectors: DataFrame, group: str, id_col: str = "id", vec: str =
     """(group, a, b, similarity) for all a < b of a group with cosine similarity >= threshold; with ``euclid`` (group, a, b,
     distance) of those with distance <= threshold.
 
-    Vectors are dealt into blocks of about ``block`` by hash; each pair of blocks is
-    one matrix product in one task, so memory is bounded whatever the group's size.
-    The number of pairs is quadratic by definition; give a threshold on large groups.
+    A metric pivot index: vectors lie in the cells of their nearest pivots and are copied
+    only into cells that the threshold lets them reach (``metric_cells.placed``), so that
+    on clustered vectors copies stay few; two blocks of a cell are one matrix product in
+    one task, so memory is bounded whatever the group's size. Exact for any threshold. At
+    a cosine of 0 or less every pair may qualify, and all blocks meet. Rows without a
+    group are left out; a vector without length has cosine 0 with all others.
     """
-    sizes = vectors.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"))
-    dealt = vectors.join(sizes, group).withColumn("_b", F.pmod(F.xxhash64(id_col), F.col("_n")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("_n") - 1)
-    cell = F.transform(every, lambda o: F.struct(F.least("_b", o).alias("i"), F.greatest("_b", o).alias("j")))
-    cells = dealt.select(F.col(group).alias("g"), F.col(id_col).alias("id"), F.col(vec).alias("v"), "_b", F.explode(F.array_distinct(cell)).alias("c"))
+    shown = vectors.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(id_col).cast("long").alias("id"), doubles(vec).alias("v"))
+    if euclid:
+        eps = threshold
+    else:
+        zero = F.transform("v", lambda x: F.lit(0.0))
+        shown = shown.withColumn("v", F.coalesce(unit("v"), zero) if threshold <= 0 else unit("v")).where("v IS NOT NULL")
+        eps = math.sqrt(max(2 - 2 * threshold, 0)) if threshold > 0 else math.inf
+    cells = written(placed(shown, eps, block), "metric-cells")
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["c"].iloc[0]["i"], pdf["c"].iloc[0]["j"]
-        left, right = pdf[pdf["_b"] == i], pdf[pdf["_b"] == j]
-        empty = pd.DataFrame({"g": pd.Series(dtype=pdf["g"].dtype), "a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
-        if left.empty or right.empty:
-            return empty
-        if euclid:
-            x, y = (np.array(part["v"].tolist(), dtype=np.float64) for part in (left, right))
-            sim = -np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T, 0))
-        unit = []
-        for part in () if euclid else (left, right):
-            x = np.array(part["v"].tolist(), dtype=np.float64)
-            n = np.linalg.norm(x, axis=1, keepdims=True)
-            unit.append(np.divide(x, n, out=np.zeros_like(x), where=n > 0))
-        if not euclid:
-            sim = unit[0] @ unit[1].T
-        a, b = left["id"].to_numpy()[:, None], right["id"].to_numpy()[None, :]
-        keep = (sim >= (-threshold if euclid else threshold)) & ((a < b) if i == j else (a != b))
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        left, right = pdf[pdf["b"] == i], pdf[pdf["b"] == j]
+        x, y = matrix(left["v"]), matrix(right["v"])
+        if len(x) == 0 or len(y) == 0:
+            return pd.DataFrame({"g": pdf["g"].iloc[:0], "a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
+        a, b = left["id"].to_numpy(), right["id"].to_numpy()
+        found = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T, 0)) if euclid else x @ y.T
+        keep = (found <= threshold if euclid else found >= threshold) & (a[:, None] < b[None, :] if i == j else a[:, None] != b[None, :])
         r, c = np.nonzero(keep)
-        x, y = left["id"].to_numpy()[r], right["id"].to_numpy()[c]
-        return pd.DataFrame({"g": pdf["g"].iloc[0], "a": np.minimum(x, y), "b": np.maximum(x, y), "similarity": sim[r, c]})
+        return pd.DataFrame({"g": pdf["g"].iloc[0], "a": np.minimum(a[r], b[c]), "b": np.maximum(a[r], b[c]), "similarity": found[r, c]})
 
     kind = vectors.schema[group].dataType.simpleString()
-    out = cells.groupBy("g", "c").applyInPandas(product, f"g {kind}, a long, b long, similarity double")
-    out = out.withColumnRenamed("g", group)
-    return out.select(group, "a", "b", (-F.col("similarity")).alias("distance")) if euclid else out
+    out = meeting(cells, block).groupBy("g", "cell", "i", "j").applyInPandas(product, f"g {kind}, a long, b long, similarity double").withColumnRenamed("g", group)
+    return out.withColumnRenamed("similarity", "distance") if euclid else out
 
 
 def harmonic_pairs(modes: DataFrame, tol: float = 0.02, min_strength: float = 0.1, max_harmonic: int = 16, key: str = "track_id") -> DataFrame:

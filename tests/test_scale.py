@@ -100,3 +100,52 @@ def test_scaling_by_broadcast_and_by_salt(spark, values, monkeypatch, capsys, mo
             for i, (k, x) in enumerate(values):
                 if k == m and np.isfinite(s):
                     assert got[i] is None if x is None else np.isclose(got[i], (x - centre(v)) / (s or 1))
+
+
+def clustered(n, groups, spread, seed=4, d=8):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(0, 1, (max(n // 25, 1), d))
+    v = centres[rng.integers(0, len(centres), n)] + rng.normal(0, spread, (n, d))
+    v[: n // 50] = 0.0
+    v[n // 50 : n // 25] = v[n // 25]  # copies
+    return [(i, f"g{i % groups}" if i % 97 else None, [float(y) for y in x]) for i, x in enumerate(v)]
+
+
+@pytest.mark.parametrize(("threshold", "euclid"), [(0.9, False), (0.3, False), (0.0, False), (-1.0, False), (0.5, True), (2.5, True), (0.0, True)])
+def test_similar_pairs_equal_all_pairs(spark, monkeypatch, threshold, euclid):
+    from cadenza.operators import metric_cells
+
+    monkeypatch.setattr(metric_cells, "DEALT", 60)
+    rows = clustered(400, 3, 0.2)
+    df = spark.createDataFrame(rows, "id long, g string, embedding array<double>")
+    got = {(r[0], r.a, r.b): r[3] for r in joins.similar_pairs(df, "g", threshold=threshold, block=16, euclid=euclid).collect()}
+    want = {}
+    for i, (a, g, x) in enumerate(rows):
+        for b, h, y in rows[i + 1 :]:
+            if g == h and g is not None:
+                x_, y_ = np.array(x), np.array(y)
+                n = np.linalg.norm(x_) * np.linalg.norm(y_)
+                s = np.linalg.norm(x_ - y_) if euclid else (x_ @ y_ / n if n else 0.0)
+                want[g, a, b] = s
+    for k, s in want.items():
+        near = s - threshold if not euclid else threshold - s
+        if abs(near) > 1e-6:  # what lies on the edge may fall on either side by rounding
+            assert (k in got) == (near > 0), (k, s)
+        if k in got:
+            assert abs(got[k] - s) < 1e-6
+    assert set(got) <= set(want) and len(got) == joins.similar_pairs(df, "g", threshold=threshold, block=16, euclid=euclid).count()
+
+
+def test_copies_in_cells_stay_few_on_clustered_vectors(spark, capsys):
+    """Ten times the rows give fewer than 10**1.5 times as many rows in cells."""
+    from cadenza.operators.metric_cells import placed, unit
+
+    sent = []
+    for n in (1000, 10_000):
+        df = spark.createDataFrame([(i, "g", x) for i, _, x in clustered(n, 1, 0.02)], "id long, g string, v array<double>").withColumn("v", unit("v")).where("v IS NOT NULL")
+        cells = placed(df, np.sqrt(2 - 2 * 0.99), 64)
+        sent.append(cells.count())
+        assert cells.where("home").count() == df.count() and cells.dropDuplicates(["cell", "id"]).count() == sent[-1]
+    with capsys.disabled():
+        print(" copies a row:", sent[0] / 1000, sent[1] / 10_000)
+    assert sent[1] < 10**1.5 * sent[0]
