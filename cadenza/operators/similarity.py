@@ -7,8 +7,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, written
 from .joins import query_pairs, similar_pairs
+from .metric_cells import matrix, placed, unit
 from .selection import quantiles, same, with_aggregate
 
 
@@ -46,10 +47,67 @@ def track_spectrum(df: DataFrame, least: int = 10, classes: str = "mode_index",
     return out
 
 
-def similarity_stats(pairs: DataFrame, sizes: DataFrame, group: str) -> DataFrame:
-    """Mean over the full matrix (both triangles, zero diagonal), maximum and least non-zero of each group's pairs."""
-    p = pairs.groupBy(group).agg(F.sum("similarity").alias("_s"), F.max("similarity").alias("max"), F.min(F.when(F.col("similarity") != 0, F.col("similarity"))).alias("min_nonzero"))
-    return p.join(sizes, group).select(group, (2 * F.col("_s") / (F.col("n") * F.col("n"))).alias("mean"), "max", "min_nonzero")
+def similarity_stats(vectors: DataFrame, group: str, id_col: str = "id", vec: str = "embedding", block: int = 512) -> DataFrame:
+    """Per group of two vectors or more: mean of the full matrix of cosines (both triangles, zero diagonal), their maximum and
+    their least that isn't 0 (null where all are).
+
+    No pair is a row. The mean is (|sum of unit vectors|² - vectors with a length) / n².
+    For the extremes vectors lie in cells around pivots; angles between pivots and the
+    cells' reach bound all cosines of two cells. The cells with the best bounds are
+    compared first, then those whose bounds leave room beyond what these gave; two
+    blocks of vectors are one product in one task, which gives two numbers.
+    """
+    g = vectors.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(id_col).alias("id"), unit(vec).alias("v"))
+    total = g.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("n1")).where("n > 1")
+    sums = g.where("v IS NOT NULL").select("g", F.posexplode("v").alias("i", "x")).groupBy("g", "i").agg(F.sum("x").alias("s")).groupBy("g").agg(F.sum(F.col("s") * F.col("s")).alias("s"))
+    cells = written(placed(g.where("v IS NOT NULL"), -1.0, block).select("g", "cell", "id", "v", "near"), "similarity-cells")
+    sizes = cells.groupBy("g", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"), F.max("near").alias("reach"), F.min_by("v", "near").alias("pivot"))
+    side = lambda x: sizes.select("g", F.col("cell").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("parts", "reach", "pivot")))
+    met = side("i").join(side("j"), "g").where("i <= j")
+    apart = F.sqrt(F.greatest(F.aggregate(F.zip_with("pivot_i", "pivot_j", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
+    slack = 1e-6
+    at_least, at_most = F.greatest(apart - F.col("reach_i") - F.col("reach_j") - slack, F.lit(0.0)), F.least(apart + F.col("reach_i") + F.col("reach_j") + slack, F.lit(2.0))
+    met = written(met.select("g", "i", "j", "parts_i", "parts_j", (1 - at_least * at_least / 2).alias("hi"), (1 - at_most * at_most / 2).alias("lo")), "similarity-bounds")
+    best = met.groupBy("g").agg(F.max(F.struct("hi", "i", "j")).alias("top"), F.max(F.struct((-F.col("lo")).alias("hi"), "i", "j")).alias("low"))
+    best = best.select("g", F.explode(F.array("top", "low")).alias("c")).select("g", "c.i", "c.j").distinct()
+    first = written(_extremes(cells, met.join(best, ["g", "i", "j"], "left_semi"), block), "similarity-extremes")
+    rest = met.join(first.withColumnRenamed("max", "top").withColumnRenamed("min", "low"), "g", "left").join(best.withColumn("done", F.lit(True)), ["g", "i", "j"], "left")
+    rest = rest.where("done IS NULL AND (top IS NULL OR hi > top OR low IS NULL OR lo < low)")
+    both = first.unionByName(_extremes(cells, rest, block)).groupBy("g").agg(F.max("max").alias("max"), F.min("min").alias("min_nonzero"))
+    # a vector without length has cosine 0 with all others
+    top = F.when(F.col("n1") < F.col("n"), F.greatest(F.coalesce("max", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("max"))
+    out = total.join(sums, "g", "left").join(both, "g", "left")
+    return out.select(F.col("g").alias(group), ((F.coalesce("s", F.lit(0.0)) - F.col("n1")) / (F.col("n") * F.col("n"))).alias("mean"), top.alias("max"), "min_nonzero")
+
+
+def _extremes(cells: DataFrame, met: DataFrame, block: int) -> DataFrame:
+    """(g, max, min) of the cosines of the cells (i, j) of ``met``: greatest, and least that isn't 0."""
+    import numpy as np
+    import pandas as pd
+
+    deal = lambda parts: F.pmod(F.xxhash64("id"), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    pairs = met.select("g", "i", "j", "parts_i", "parts_j")
+    left = pairs.join(cells.withColumnRenamed("cell", "i"), ["g", "i"]).withColumn("x", deal("parts_i")).withColumn("y", every("parts_j")).where("i < j OR x <= y")
+    right = pairs.join(cells.withColumnRenamed("cell", "j"), ["g", "j"]).withColumn("y", deal("parts_j")).withColumn("x", every("parts_i")).where("i < j OR x <= y")
+    key = ["g", "i", "j", "x", "y"]
+    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in (*key, "id", "v")])
+
+    def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"g": a["g"].iloc[:1], "max": np.nan, "min": np.nan}) if len(a) else pd.DataFrame({"g": b["g"].iloc[:1], "max": np.nan, "min": np.nan})
+        if len(a) and len(b):
+            s = matrix(a["v"]) @ matrix(b["v"]).T
+            if a["i"].iloc[0] == a["j"].iloc[0] and a["x"].iloc[0] == a["y"].iloc[0]:
+                s = s[a["id"].to_numpy()[:, None] < b["id"].to_numpy()[None, :]]
+            if s.size:
+                out["max"] = s.max()
+                out["min"] = s[s != 0].min() if (s != 0).any() else np.nan
+        return out
+
+    kind = cells.schema["g"].dataType.simpleString()
+    found = fresh(left).groupBy(*key).cogroup(fresh(right).groupBy(*key)).applyInPandas(product, f"g {kind}, max double, min double")
+    some = lambda c: F.when(~F.isnan(c), F.col(c))
+    return found.groupBy("g").agg(F.max(some("max")).alias("max"), F.min(some("min")).alias("min"))
 
 
 def min_label_components(edges: DataFrame) -> DataFrame:
@@ -134,36 +192,59 @@ def kmeans(df: DataFrame, columns: list[str], k: int, seed: int = 42) -> DataFra
 
 def ward(x, k: int):
     """Ward clustering of the rows of a matrix into ``k`` groups: the first row of each row's group. The two groups whose
-    union adds least to the squared distances from the centres merge, the first pair on ties."""
+    union adds least to the squared distances from the centres merge.
+
+    By chains of nearest neighbours on centres and sizes: memory grows with the rows, time
+    with their square. Mutual neighbours merge when a chain meets them; unions never add
+    less than those inside them, so the ``n - k`` that add least are Ward's, whatever
+    the order they were found in. Of equal ones the earlier rows' come first.
+    """
     import numpy as np
 
     n = len(x)
-    d = ((x[:, None] - x[None]) ** 2).sum(-1)
-    d[np.tril_indices(n)] = np.inf
-    size, label = np.ones(n), np.arange(n)
-    for _ in range(n - min(k, n)):
-        i, j = divmod(int(d.argmin()), n)
-        di, dj = np.minimum(d[i], d[:, i]), np.minimum(d[j], d[:, j])  # one of the two is infinite
-        with np.errstate(invalid="ignore"):
-            new = ((size[i] + size) * di + (size[j] + size) * dj - size * d[i, j]) / (size[i] + size[j] + size)
-        new[~(np.isfinite(di) & np.isfinite(dj))] = np.inf
-        d[j], d[:, j], d[i], d[:, i] = np.inf, np.inf, np.inf, np.inf
-        d[i, i + 1 :], d[:i, i] = new[i + 1 :], new[:i]
+    centre, size, alive = np.array(x, float), np.ones(n), np.ones(n, bool)
+    chain: list[int] = []
+    unions: list[tuple[float, int, int]] = []
+    while len(unions) < n - 1:
+        if not chain:
+            chain.append(int(alive.argmax()))
+        a = chain[-1]
+        added = size * size[a] / (size + size[a]) * ((centre - centre[a]) ** 2).sum(1)
+        added[~alive] = np.inf
+        added[a] = np.inf
+        b = int(added.argmin())
+        if len(chain) > 1 and added[chain[-2]] <= added[b]:
+            b = chain[-2]
+        if len(chain) < 2 or b != chain[-2]:
+            chain.append(b)
+            continue
+        i, j = min(a, b), max(a, b)
+        unions.append((float(added[b]), i, j))
+        centre[i] = (size[i] * centre[i] + size[j] * centre[j]) / (size[i] + size[j])
         size[i] += size[j]
-        label[label == j] = i
-    return label
+        alive[j] = False
+        del chain[-2:]
+    first = np.arange(n)
 
+    def root(r: int) -> int:
+        while first[r] != r:
+            first[r] = first[first[r]]
+            r = int(first[r])
+        return r
 
-WARD = 1000  # segments of a track up to which Ward's matrix of distances is made in one task
+    for _, i, j in sorted(unions)[: n - min(k, n)]:
+        i, j = root(i), root(j)
+        first[max(i, j)] = min(i, j)
+    return np.array([root(r) for r in range(n)], int)
 
 
 def cluster_segments(vectors: DataFrame, group: str, id_col: str, vec: str = "embedding", eps: float = 0.5, min_samples: int = 2) -> DataFrame:
     """(id, group, cluster): the segments' features are standardised within their track and grouped by DBSCAN on Euclidean
     distance; tracks where that finds fewer than two groups, or noise, get Ward clustering into max(2, n/3).
 
-    Cluster numbers are ids of members and hold within a track. Tracks of more than ``WARD``
-    segments, for which Ward has no distributed form, get bisecting k-means by all executors,
-    one after the other.
+    Cluster numbers are ids of members and hold within a track. One method serves tracks of
+    any length; Ward takes one task a track, memory for its segments' features and time
+    with the square of their number.
     """
     import numpy as np
     import pandas as pd
@@ -181,23 +262,9 @@ def cluster_segments(vectors: DataFrame, group: str, id_col: str, vec: str = "em
         return pd.DataFrame({"id": pdf["id"], group: pdf[group], "cluster": pdf["id"].to_numpy()[label]})
 
     kind = rows.schema[group].dataType.simpleString()
-    few = rows.join(shape.where(f"again AND n <= {WARD}").select(group), group, "left_semi").select("id", group, "v")
+    few = rows.join(shape.where("again").select(group), group, "left_semi").select("id", group, "v")
     out = found.join(shape.where("NOT again").select(group), group, "left_semi").select("id", group, "cluster")
-    out = out.union(few.groupBy(group).applyInPandas(run, f"id long, {group} {kind}, cluster long"))
-    many = shape.where(f"again AND n > {WARD}").select(group, "n").orderBy(group).collect()
-    if not many:
-        return out
-    from pyspark.ml.clustering import BisectingKMeans
-    from pyspark.ml.functions import array_to_vector
-
-    for g, n in many:
-        x = rows.where(F.col(group) == F.lit(g)).select("id", group, array_to_vector("v").alias("_x")).cache()
-        fit = BisectingKMeans(k=max(2, n // 3), seed=42, featuresCol="_x", predictionCol="part").fit(x)
-        part = fit.transform(x).select("id", group, "part").checkpoint()
-        first = part.groupBy("part").agg(F.min("id").alias("cluster"))
-        out = out.union(part.join(first, "part").select("id", group, "cluster"))
-        x.unpersist()
-    return out
+    return out.union(few.groupBy(group).applyInPandas(run, f"id long, {group} {kind}, cluster long"))
 
 
 def cluster_confidence(vectors: DataFrame, cluster: str, id_col: str, vec: str = "embedding") -> DataFrame:

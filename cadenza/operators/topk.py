@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import cosine, dot, norm, query_pairs
+from . import vector_index
+from .joins import cosine, norm, query_pairs
 
 
 def top_k_cosine(tracks: DataFrame, query: list[float], k: int = 5, threshold: float = 0.0, vec: str = "embedding", id_col: str = "track_id") -> DataFrame:
@@ -15,17 +16,25 @@ def top_k_cosine(tracks: DataFrame, query: list[float], k: int = 5, threshold: f
     return scored.orderBy(F.desc("score"), id_col).limit(k)
 
 
-def search_many(queries: DataFrame, refs: DataFrame, k: int, vec: str = "embedding") -> DataFrame:
-    """(query_id, ref_id, score, rank): per query the k references with the greatest dot product of unit vectors. Queries are a stated set."""
-    q = queries.select("query_id", F.col(vec).alias("_q"))
-    pairs = query_pairs(q, refs.select("ref_id", F.col(vec).alias("_r"))).where("ref_id <> query_id")
-    n = norm("_q") * norm("_r")
-    scored = pairs.withColumn("score", F.round(F.when(n > 0, dot("_q", "_r") / n).otherwise(0.0), 9))
+def search_many(queries: DataFrame, refs: DataFrame, k: int, vec: str = "embedding", index: vector_index.VectorIndex | None = None) -> DataFrame:
+    """(query_id, ref_id, score, rank): per query the k references with the greatest dot product of unit vectors, but for itself.
+
+    Through a clustered vector index (``index``, else one built here of ``refs``), which
+    skips the cells that cannot hold one of the k. A reference without length scores 0
+    and a query without length scores 0 with all: such scores are added after the search.
+    """
+    index = index or vector_index.build(refs, "ref_id", vec)
+    found = vector_index.nearest(index, queries, k, vec, but_itself=True).select("query_id", F.col("id").alias("ref_id"), "score")
+    # scores of 0 by definition: at most k of them, the smallest ids, matter to a query
+    none = norm(vec) == 0
+    low = Window.partitionBy("query_id").orderBy("ref_id")
+    few = refs.where(none).select("ref_id").orderBy("ref_id").limit(k + 1)
+    flat = query_pairs(queries.where(norm(vec) > 0).select("query_id"), few, 1)
+    first = refs.select("ref_id").orderBy("ref_id").limit(k + 1)
+    flat = flat.unionByName(query_pairs(queries.where(none).select("query_id"), first, 1)).where("query_id <> ref_id")
+    flat = flat.withColumn("r", F.row_number().over(low)).where(F.col("r") <= k).select("query_id", "ref_id", F.lit(0.0).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "ref_id")
-    # each task keeps its own k best first, so that a query's rows do not meet in one task
-    salt = Window.partitionBy("query_id", "_s").orderBy(F.desc("score"), "ref_id")
-    near = scored.withColumn("_s", F.pmod(F.xxhash64("ref_id"), F.lit(64))).withColumn("_rn", F.row_number().over(salt)).where(F.col("_rn") <= k)
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "ref_id", "score", "rank")
+    return found.unionByName(flat).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "ref_id", "score", "rank")
 
 
 def segments_for_text(segments: DataFrame, query: list[float], threshold: float = 0.3, vec: str = "embedding") -> DataFrame:
@@ -34,8 +43,12 @@ def segments_for_text(segments: DataFrame, query: list[float], threshold: float
     return segments.withColumn("score", F.round(cosine(vec, q), 9)).where(F.col("score") > threshold).drop(vec)
 
 
-def segments_for_texts(queries: DataFrame, segments: DataFrame, threshold: float = 0.3, vec: str = "embedding") -> DataFrame:
-    """Per text of a stated query set (query_id, vector) the segments that score above the threshold."""
+def segments_for_texts(queries: DataFrame, segments: DataFrame, threshold: float = 0.3, vec: str = "embedding", id_col: str = "vec_id") -> DataFrame:
+    """Per text of a stated query set (query_id, vector) the segments that score above the threshold: through a clustered vector
+    index for a positive one, else by all pairs in blocks. ``id_col`` names one segment."""
+    if threshold > 0:
+        found = vector_index.within(vector_index.build(segments, id_col, vec), queries, threshold, vec)
+        return segments.drop(vec).join(found.withColumnRenamed("id", id_col), id_col).select("query_id", *[c for c in segments.columns if c != vec], "score")
     q = queries.select("query_id", F.col(vec).alias("_q"))
     return query_pairs(q, segments).withColumn("score", F.round(cosine(vec, "_q"), 9)).where(F.col("score") > threshold).drop(vec, "_q")
 

@@ -149,3 +149,118 @@ def test_copies_in_cells_stay_few_on_clustered_vectors(spark, capsys):
     with capsys.disabled():
         print(" copies a row:", sent[0] / 1000, sent[1] / 10_000)
     assert sent[1] < 10**1.5 * sent[0]
+
+
+def plain_nearest(queries, rows, k):
+    out = []
+    for q, x in queries:
+        scored = []
+        for i, y in rows:
+            n = np.linalg.norm(x) * np.linalg.norm(y)
+            if i != q:
+                scored.append((-round(float(np.dot(x, y) / n), 9) if n else 0.0, i))
+        out += [(q, i, -s, r) for r, (s, i) in enumerate(sorted(scored)[:k], 1)]
+    return out
+
+
+def close(got, want):
+    got, want = sorted(got, key=lambda r: (r[0], r[3])), sorted(want, key=lambda r: (r[0], r[3]))
+    return len(got) == len(want) and all(a[0] == b[0] and a[3] == b[3] and abs(a[2] - b[2]) < 1e-8 and (a[1] == b[1] or abs(a[2] - b[2]) < 2e-9) for a, b in zip(got, want, strict=True))
+
+
+def test_index_is_exact_saved_updated_and_skips_cells(spark, tmp_path, capsys):
+    from cadenza.operators import topk, vector_index
+
+    rows = [(i, x) for i, _, x in clustered(3000, 1, 0.1)]
+    df = spark.createDataFrame(rows, "ref_id long, embedding array<double>")
+    queries = df.where("ref_id % 100 = 0").withColumnRenamed("ref_id", "query_id")
+    asked = [r for r in rows if r[0] % 100 == 0]
+    index = vector_index.build(df, "ref_id", per_cell=32)
+    index.save(str(tmp_path))
+    index = vector_index.load(spark, str(tmp_path))
+    assert close(map(tuple, topk.search_many(queries, df, 5, index=index).collect()), plain_nearest(asked, rows, 5))
+    got = vector_index.nearest(index, queries, 5, keep_n=True).agg(F.sum("n")).first()[0]
+    share = got / (sum(any(x) for _, x in asked) * 3000)
+    with capsys.disabled():
+        print(f" share of rows scored {share:.3f}")
+    assert share < 0.2
+    # rows replaced, added and removed
+    new = {7: [1.0] + [0.0] * 7, 5000: [0.0, 2.0] + [0.0] * 6}
+    changed = index.upserted(spark.createDataFrame(list(new.items()), "id long, embedding array<double>")).removed(spark.createDataFrame([(i,) for i in range(100, 200)], "id long"))
+    now = [(i, new.get(i, x)) for i, x in [*rows, (5000, None)] if not 100 <= i < 200]
+    refs = spark.createDataFrame(now, "ref_id long, embedding array<double>")
+    assert close(map(tuple, topk.search_many(queries, refs, 3, index=changed).collect()), plain_nearest(asked, now, 3))
+
+
+def test_threshold_search_equals_plain(spark):
+    from cadenza.operators import topk, vector_index
+
+    rows = [(i, "s", x) for i, _, x in clustered(600, 1, 0.3)]
+    df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
+    queries = df.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    for t in (0.7, 0.05, 0.0, -0.5):
+        got = {(r.query_id, r.vec_id): r.score for r in topk.segments_for_texts(queries, df, t).collect()}
+        want = {}
+        for q, _, x in rows[::50]:
+            for i, _, y in rows:
+                n = np.linalg.norm(x) * np.linalg.norm(y)
+                s = round(float(np.dot(x, y) / n), 9) if n else 0.0
+                if s > t:
+                    want[q, i] = s
+        assert {k for k in set(got) ^ set(want) if abs({**got, **want}[k] - t) > 2e-9} == set()
+        assert all(abs(s - want.get(k, s)) < 1e-8 for k, s in got.items())
+    empty = vector_index.build(df.limit(0), "vec_id")
+    assert vector_index.nearest(empty, queries, 3).count() == 0 and vector_index.within(empty, queries, 0.5).count() == 0
+
+
+def ward_by_matrix(x, k):
+    """Ward on a full matrix of distances, the least entry merged each time."""
+    n = len(x)
+    d = ((x[:, None] - x[None]) ** 2).sum(-1) / 2
+    d[np.arange(n), np.arange(n)] = np.inf
+    size, label = np.ones(n), np.arange(n)
+    for _ in range(n - k):
+        i, j = sorted(divmod(int(d.argmin()), n))
+        new = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * d[i, j]) / (size[i] + size[j] + size)
+        new[i] = np.inf
+        d[i], d[:, i] = new, new
+        d[j], d[:, j] = np.inf, np.inf
+        size[i] += size[j]
+        label[label == j] = i
+    return label
+
+
+@pytest.mark.parametrize(("n", "k"), [(1500, 500), (1500, 3), (40, 13), (3, 2), (1, 2)])
+def test_ward_by_chains_equals_ward_by_matrix(n, k):
+    rng = np.random.default_rng(n + k)
+    x = rng.normal(0, 1, (n, 4)) + rng.integers(0, 3, (n, 1))
+    assert similarity.ward(x, k).tolist() == ward_by_matrix(x, min(k, n)).tolist()
+
+
+def test_segments_of_long_and_of_clumped_tracks(spark):
+    """A track of more than a thousand segments gets Ward as a short one does; a clumped one keeps its density groups."""
+    rng = np.random.default_rng(9)
+    long, short = rng.normal(0, 1, (1200, 3)), rng.normal(0, 1, (30, 3))
+    clumps = np.repeat([[0, 0, 0], [9, 9, 9], [0, 9, 0]], 10, axis=0) + rng.normal(0, 0.01, (30, 3))
+    rows = [(i, t, [float(y) for y in v]) for i, (t, v) in enumerate((t, v) for t, x in (("long", long), ("short", short), ("clumps", clumps)) for v in x)]
+    got = {r.id: r.cluster for r in similarity.cluster_segments(spark.createDataFrame(rows, "id long, track string, embedding array<double>"), "track", "id").collect()}
+    at = 0
+    for x, k in ((long, 400), (short, 10)):
+        scaled = (x - x.mean(0)) / x.std(0)
+        assert [got[at + i] for i in range(len(x))] == [at + j for j in ward_by_matrix(scaled, k).tolist()]
+        at += len(x)
+    assert [got[at + i] for i in range(30)] == [at] * 10 + [at + 10] * 10 + [at + 20] * 10
+
+
+def test_similarity_stats_equal_all_pairs(spark):
+    rows = [*clustered(500, 3, 0.3), (9000, "two", [1.0] + [0.0] * 7), (9001, "two", [0.0, 1.0] + [0.0] * 6), (9002, "one", [1.0] * 8), (9003, "void", [0.0] * 8), (9004, "void", [0.0] * 8)]
+    df = spark.createDataFrame(rows, "id long, g string, embedding array<double>")
+    got = {r.g: r for r in similarity.similarity_stats(df, "g", block=16).collect()}
+    assert set(got) == {"g0", "g1", "g2", "two", "void"}
+    for g, r in got.items():
+        x = np.array([v for _, h, v in rows if h == g])
+        n = np.linalg.norm(x, axis=1, keepdims=True)
+        u = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+        s = (u @ u.T)[np.triu_indices(len(u), 1)]
+        assert np.isclose(r["mean"], 2 * s.sum() / len(u) ** 2) and np.isclose(r["max"], s.max())
+        assert (r.min_nonzero is None) if not (s != 0).any() else np.isclose(r.min_nonzero, s[s != 0].min())
