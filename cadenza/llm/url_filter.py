@@ -5,8 +5,8 @@
 canonical URL is in a list of any size: the list is hashed into a blocked Bloom filter
 (256-bit blocks, built by a distributed bitwise-or aggregation and sized by the list's
 count), which passes possible hits to an exact hash join that removes the false
-positives. A list of more than ``MAX_LISTED`` URLs, whose filter would be too large to
-broadcast, is joined without one.
+positives. The filter of up to ``MAX_LISTED`` URLs is broadcast; that of a longer list is
+dealt out by block, each task with its segment of the filter, and pages meet it there.
 
 A null URL, or one without ``://``, has an empty host and path, fits no rule and is
 not listed. Repeated rows are judged alike; an empty table gives an empty result, an
@@ -19,12 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, materialise
 
 WORDS = 4  # of 64 bits in a block
 PROBES = 6
 URLS_A_BLOCK = 16  # 16 bits a URL
-MAX_LISTED = 1 << 21  # the filter is at most 131,072 blocks of 32 bytes
+MAX_LISTED = 1 << 21  # a broadcast filter is at most 131,072 blocks of 32 bytes
+SALTS = 8  # tasks among which the pages of one block, or of one listed URL, are dealt
 
 
 def parse(url: Column) -> tuple[Column, Column]:
@@ -85,12 +86,20 @@ def n_blocks_for(n_listed: int) -> int:
     return 1 << max(0, -(-n_listed // URLS_A_BLOCK) - 1).bit_length()
 
 
-def possible(pages: DataFrame, urls: DataFrame, key: str, n_blocks: int) -> DataFrame:
-    """(row, key, maybe) of each page: all its columns in a struct, its key, and whether the filter of ``urls.url`` holds it."""
+def _dealt(rows: DataFrame, found: DataFrame, on: str) -> DataFrame:
+    """Left join of many rows with one row for each key at most, both by key and salt, so that a hot key is ``SALTS`` tasks."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    every = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(every, [on, "salt"], "left").drop("salt")
+
+
+def possible(pages: DataFrame, urls: DataFrame, key: str, n_blocks: int, broadcast: bool = True) -> DataFrame:
+    """(row, key, maybe) of each page: all its columns in a struct, its key, and whether the filter of ``urls.url`` holds it.
+    The filter's blocks are broadcast, or else dealt out with the pages by block."""
     block, words = _probe(F.col("key"), n_blocks)
     parts = build_filter(urls, n_blocks).select("block", F.struct(*[F.col(f"w{k}") for k in range(WORDS)]).alias("bits"))
     whole = pages.select(F.struct("*").alias("row"), F.col(key).alias("key")).withColumn("block", block)
-    tested = whole.join(F.broadcast(parts), "block", "left")
+    tested = whole.join(F.broadcast(parts), "block", "left") if broadcast else _dealt(whole, parts, "block")
     hit = F.col("key").isNotNull() & F.col("bits").isNotNull()
     for k, w in enumerate(words):
         hit = hit & (F.col(f"bits.w{k}").bitwiseAND(w) == w)
@@ -100,15 +109,17 @@ def possible(pages: DataFrame, urls: DataFrame, key: str, n_blocks: int) -> Data
 def listed(pages: DataFrame, urls: DataFrame, key: str, name: str = "is_listed", max_listed: int = MAX_LISTED) -> DataFrame:
     """``pages`` with boolean ``name``: column ``key`` is in ``urls.url``. Rows stay one to one.
 
-    The possible hits alone are joined, so that all other pages stay where they are; for
-    that the pages' key is tested twice, which costs less than to shuffle them.
+    The possible hits alone are joined by URL, with those of the list that some page may
+    hit. Up to ``max_listed`` URLs all other pages stay where they are; for that the pages'
+    key is tested again, which costs less than to shuffle them.
     """
     exact = urls.where(F.col("url").isNotNull()).select("url").distinct()
     n = exact.count()
-    if n <= max_listed:
-        tested = possible(pages, exact, key, n_blocks_for(n))
-    else:
-        tested = pages.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(key).isNotNull().alias("maybe"))
-    hits = tested.where("maybe").join(exact.select(F.col("url").alias("key"), F.lit(True).alias("in_list")), "key", "left")
+    tested = possible(pages, exact, key, n_blocks_for(n), n <= max_listed)
+    if n > max_listed:
+        tested = materialise(tested, "url-tested")
+    hit = tested.where("maybe").select("key").distinct()
+    true = exact.withColumnRenamed("url", "key").join(hit, "key", "left_semi").withColumn("in_list", F.lit(True))
+    hits = _dealt(tested.where("maybe"), true, "key")
     both = hits.select("row", F.coalesce("in_list", F.lit(False)).alias("in_list")).unionByName(tested.where("NOT maybe").select("row", F.lit(False).alias("in_list")))
     return both.select(*[F.col("row")[c].alias(c) for c in pages.columns if c.lower() != name.lower()], F.col("in_list").alias(name))

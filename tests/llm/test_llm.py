@@ -379,6 +379,8 @@ def test_listed_is_exact_and_keeps_any_column(spark, largest):
     got = {r.page_id: (r.is_listed, [r[n] for n in names[:-1]]) for r in out.collect()}
     assert got == {i: (i % 7 == 0 and i % 10 > 0, list(names[:-1])) for i in range(3000)}
     none = urls.limit(0)
+    # every length goes through the filter
+    assert url_filter.possible(pages, urls, "k", url_filter.n_blocks_for(urls.count()), largest > 10).where("maybe").count() < 450
     assert url_filter.listed(pages, none, "k").where("is_listed").count() == 0 and url_filter.listed(pages.limit(0), urls, "k").count() == 0
 
 
