@@ -1,7 +1,8 @@
 """Structured Streaming: beat and tempo tracking, windows and densities, with their batch twins.
 
 Event time is ``ts``; rows later than the watermark go. The stateful tracker keeps a
-few numbers per track (last beat and the last intervals), whatever the stream's length.
+few numbers per track (last beat and the last intervals) and the rows that the
+watermark has not passed yet, whatever the stream's length.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 WATERMARK = "10 seconds"
 BEAT_SCHEMA = "track_id long, us long, tempo double"
@@ -23,11 +25,14 @@ def prepare(events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     return events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def track(us: np.ndarray, activation: np.ndarray, state: tuple, threshold: float, min_us: int, low: float, high: float, keep: int, unit: float) -> tuple[list, tuple]:
-    """Beats (us, tempo) of ordered rows and the next state (last beat, intervals, tempo)."""
+def track(us: np.ndarray, activation: np.ndarray, state: tuple, threshold: float, min_us: int, low: float, high: float, keep: int, unit: float, start: float, idle_us: int | None) -> tuple[list, tuple]:
+    """Beats (us, tempo) of ordered rows and the next state (last beat, intervals, tempo). After a silence of more than
+    ``idle_us`` a track begins anew."""
     last, history, tempo = state
     out = []
     for t, a in zip(us.tolist(), activation.tolist(), strict=True):
+        if last is not None and idle_us is not None and t - last > idle_us:
+            last, history, tempo = None, [], start
         if a < threshold or (last is not None and t - last < min_us):
             continue
         if last is not None:
@@ -40,34 +45,102 @@ def track(us: np.ndarray, activation: np.ndarray, state: tuple, threshold: float
     return out, (last, history, tempo)
 
 
-def _args(threshold: float, min_interval: float, low: float, high: float, history: int, unit: float) -> tuple:
-    return threshold, int(min_interval * unit), low, high, history, unit
+def _args(threshold: float, min_interval: float, low: float, high: float, history: int, unit: float, start: float, idle: float | None) -> tuple:
+    return threshold, int(min_interval * unit), low, high, history, unit, start, None if idle is None else int(idle * unit)
 
 
-def stream_beats(events: DataFrame, threshold: float = 0.5, min_interval: float = 0.2, low: float = 0.2, high: float = 2.0, history: int = 8, unit: float = 1e6, start_tempo: float = 120.0) -> DataFrame:
-    """A stream of (track_id, us, activation) to beats with the running tempo; rows are ordered inside each micro-batch."""
-    args = _args(threshold, min_interval, low, high, history, unit)
+class OrderedBeats(StatefulProcessor):
+    """The tracker behind an ordering buffer in event time.
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now = (None, [], start_tempo)
-        if state.exists:
-            last, past, tempo = state.get
-            now = (last, list(past), tempo)
-        rows = pd.concat(list(batches)).sort_values("us", kind="stable")
-        beats, (last, past, tempo) = track(rows["us"].to_numpy(), rows["activation"].to_numpy(), now, *args)
-        if last is not None:
-            state.update((int(last), [float(x) for x in past], float(tempo)))
-        yield pd.DataFrame([(key[0], t, bpm) for t, bpm in beats], columns=["track_id", "us", "tempo"])
+    Rows wait in list state until the watermark has passed them, and are then folded in
+    order of time, so that rows which come late or in another micro-batch change nothing
+    as long as the watermark lets them in. A timer at the oldest waiting row wakes the
+    track; when nothing waits, a timer after the silent interval takes its state away.
+    """
+
+    def __init__(self, args: tuple, start: float, idle_us: int | None, per_us: float, last_only: bool):
+        self.args, self.start, self.idle_us, self.per_us, self.last_only = args, start, idle_us, per_us, last_only
 
-    return events.groupBy("track_id").applyInPandasWithState(step, BEAT_SCHEMA, STATE_SCHEMA, "append", "NoTimeout")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, activation double, ms long")
+        self.now = handle.getValueState("now", STATE_SCHEMA)
 
+    def _wake(self, ms: int) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(ms)
 
-def batch_beats(events: DataFrame, threshold: float = 0.5, min_interval: float = 0.2, low: float = 0.2, high: float = 2.0, history: int = 8, unit: float = 1e6, start_tempo: float = 120.0) -> DataFrame:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = pd.concat(list(rows))
+        ms = new["ts"].astype("datetime64[ms]").astype("int64").to_numpy()
+        added = [(int(u), float(a), int(m)) for u, a, m in zip(new["us"], new["activation"], ms, strict=True)]
+        self.waiting.appendList(added)
+        self._wake(min([m for _, _, m in self.waiting.get()], default=0) + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(self.waiting.get())
+        due, later = [w for w in waiting if w[2] < mark], [w for w in waiting if w[2] >= mark]
+        now = (None, [], self.start)
+        if self.now.exists():
+            last, past, tempo = self.now.get()
+            now = (last, list(past), tempo)
+        beats, now = track(np.array([w[0] for w in due], np.int64), np.array([w[1] for w in due], float), now, *self.args)
+        self.waiting.clear()
+        if later:
+            self.waiting.put(later)
+            self._wake(later[0][2] + 1)
+        elif self.idle_us is not None and now[0] is not None and not due:
+            self.now.clear()  # the silent interval is over
+            now = (None, [], self.start)
+        elif self.idle_us is not None and now[0] is not None:
+            self._wake(max(w[2] for w in due) + int(self.idle_us * self.per_us) + 1)
+        if now[0] is not None:
+            self.now.update((int(now[0]), [float(x) for x in now[1]], float(now[2])))
+        if beats:
+            yield pd.DataFrame([(key[0], t, bpm) for t, bpm in (beats[-1:] if self.last_only else beats)], columns=["track_id", "us", "tempo"])
+
+    def close(self) -> None:
+        pass
+
+
+def _ordered(events: DataFrame, args: tuple, start: float, idle_us: int | None, per_us: float, last_only: bool) -> DataFrame:
+    return events.select("track_id", "ts", "us", "activation").groupBy("track_id").transformWithStateInPandas(OrderedBeats(args, start, idle_us, per_us, last_only), BEAT_SCHEMA, "Append", "EventTime")
+
+
+def stream_beats(
+    events: DataFrame, threshold: float = 0.5, min_interval: float = 0.2, low: float = 0.2, high: float = 2.0, history: int = 8, unit: float = 1e6, start_tempo: float = 120.0, idle: float | None = None, ms_per_us: float = 1e-3
+) -> DataFrame:
+    """A stream of (track_id, ts, us, activation), with a watermark on ``ts``, to beats (track_id, us, tempo) with the running tempo.
+
+    Rows are folded in order of time once the watermark has passed them, whatever
+    micro-batch brought them. With ``idle`` (in units, as the other intervals) a track
+    begins anew after that silence, and its state goes then. ``ms_per_us`` relates ``us``
+    to ``ts``. Needs the RocksDB state store.
+    """
+    args = _args(threshold, min_interval, low, high, history, unit, start_tempo, idle)
+    return _ordered(events, args, start_tempo, args[-1], ms_per_us, False)
+
+
+def stream_tempo(
+    beats: DataFrame, history: int = 8, low: float = 0.2, high: float = 2.0, unit: float = 1e6, start_tempo: float = 120.0, idle: float | None = None, ms_per_us: float = 1e-3
+) -> DataFrame:
+    """A stream of beats (track_id, ts, us), with a watermark on ``ts``, to each track's tempo after its last beat so far (track_id, us,
+    tempo): a row for each track whenever the watermark passes beats of it. The last row of a track is ``last_tempo`` of its beats."""
+    args = _args(0.5, 0.0, low, high, history, unit, start_tempo, idle)
+    return _ordered(beats.withColumn("activation", F.lit(1.0)), args, start_tempo, args[-1], ms_per_us, True)
+
+
+def batch_beats(
+    events: DataFrame, threshold: float = 0.5, min_interval: float = 0.2, low: float = 0.2, high: float = 2.0, history: int = 8, unit: float = 1e6, start_tempo: float = 120.0, idle: float | None = None
+) -> DataFrame:
     """The same fold over a finished table: one track is one group."""
-    args = _args(threshold, min_interval, low, high, history, unit)
+    args = _args(threshold, min_interval, low, high, history, unit, start_tempo, idle)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("us", kind="stable")
+        pdf = pdf.sort_values(["us", "activation"], kind="stable")
         beats, _ = track(pdf["us"].to_numpy(), pdf["activation"].to_numpy(), (None, [], start_tempo), *args)
         return pd.DataFrame([(pdf["track_id"].iloc[0], t, bpm) for t, bpm in beats], columns=["track_id", "us", "tempo"])
 

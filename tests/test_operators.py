@@ -212,21 +212,72 @@ def test_results_files_round_trip(spark, tmp_path):
     assert tables.compatible(saved, "2.9.9").count() == 1 and tables.compatible(saved, "1.0.0").count() == 0
 
 
-def test_stream_of_beats_equals_the_batch(spark, sf_dir, tmp_path):
-    ev = hits(spark, sf_dir).select("event_id", "track_id", "us", F.col("confidence").alias("activation")).orderBy("us").toPandas()
-    src = tmp_path / "in"
+@pytest.fixture
+def rocksdb(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set(key, before)
+
+
+SCHEMA = "event_id long, track_id long, ts timestamp, us long, activation double"
+
+
+def streamed(spark, tmp_path, batches, make, name):
+    """The rows that a stream gives for files taken one a micro-batch, and its last number of state rows. A far later row of a
+    track of its own comes last, so that the watermark passes all others."""
+    src = tmp_path / name
     src.mkdir()
-    for i, part in enumerate(np.array_split(np.arange(len(ev)), 3)):
-        ev.iloc[part].sample(frac=1, random_state=i).to_parquet(src / f"{i}.parquet", index=False)
+    end = max(b["ts"].max() for b in batches) + timedelta(days=400)
+    for k in range(2):
+        batches = [*batches, pd.DataFrame([(10**9 + k, -1, end + timedelta(days=k), 0, 0.0)], columns=["event_id", "track_id", "ts", "us", "activation"])]
+    import os
+
+    for i, b in enumerate(batches):
+        b.to_parquet(src / f"{i}.parquet", index=False, coerce_timestamps="us", allow_truncated_timestamps=True)
+        os.utime(src / f"{i}.parquet", (10**9 + i, 10**9 + i))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(src))
+    q = make(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"{name}-cp")).trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    state = [op["numRowsTotal"] for op in q.recentProgress[-1]["stateOperators"]]
+    return spark.table(name).where("track_id >= 0").toPandas(), state
+
+
+def test_stream_of_beats_equals_the_batch(spark, sf_dir, tmp_path, rocksdb):
+    """Rows of three micro-batches overlap in time by days; within the watermark the order does not matter."""
+    ev = hits(spark, sf_dir).select("event_id", "track_id", (F.col("us") / 1e6).cast("timestamp").alias("ts"), "us", F.col("confidence").alias("activation")).orderBy("us").toPandas()
     args = {"threshold": 0.5, "min_interval": 2.0, "low": 2.0, "high": 48.0, "unit": 3.6e9}
-    stream = spark.readStream.schema("event_id long, track_id long, us long, activation double").option("maxFilesPerTrigger", 1).parquet(str(src))
-    q = beats.stream_beats(stream, **args).writeStream.format("memory").queryName("beats").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = spark.table("beats").orderBy("track_id", "us").toPandas()
+    mixed = ev.sample(frac=1, random_state=1)
+    batches = [mixed.iloc[part] for part in np.array_split(np.arange(len(mixed)), 3)]
+    got, _ = streamed(spark, tmp_path, batches, lambda s: beats.stream_beats(s.withWatermark("ts", "300 days"), **args), "beats")
+    got = got.sort_values(["track_id", "us"], ignore_index=True)
     want = beats.batch_beats(spark.createDataFrame(ev), **args).orderBy("track_id", "us").toPandas()
     pd.testing.assert_frame_equal(got, want)
 
 
+def test_idle_tracks_begin_anew_and_leave_no_state(spark, tmp_path, rocksdb):
+    t = datetime(2024, 1, 1)
+    secs = [0, 0.5, 1.0, 1.5, 100, 100.4, 100.8, 300, 300.5, 301]
+    rows = pd.DataFrame([(i, i % 2, t + timedelta(seconds=x), int(x * 1e6), 0.9) for i, x in enumerate(s for s in secs for _ in range(2))], columns=["event_id", "track_id", "ts", "us", "activation"])
+    batches = [rows.iloc[[1, 0, 3, 2, 5, 4, 7, 6]], rows.iloc[8:14], rows.iloc[14:]]
+    got, state = streamed(spark, tmp_path, batches, lambda s: beats.stream_beats(s.withWatermark("ts", "1 second"), idle=30.0), "idle")
+    want = beats.batch_beats(spark.createDataFrame(rows), idle=30.0).toPandas()
+    pd.testing.assert_frame_equal(got.sort_values(["track_id", "us"], ignore_index=True), want.sort_values(["track_id", "us"], ignore_index=True))
+    assert (want[want["us"].isin([100_000_000, 300_000_000])]["tempo"] == 120).all()
+    assert max(state) <= 6  # only the closing row's track is left
+
+
+def test_stream_of_tempos_ends_at_the_batch(spark, sf_dir, tmp_path, rocksdb):
+    ev = hits(spark, sf_dir).where("type = 'purchase'").select("event_id", "track_id", (F.col("us") / 1e6).cast("timestamp").alias("ts"), "us", F.lit(1.0).alias("activation")).orderBy("us").toPandas()
+    batches = [ev.iloc[part].sample(frac=1, random_state=3) for part in np.array_split(np.arange(len(ev)), 3)]
+    got, _ = streamed(spark, tmp_path, batches, lambda s: beats.stream_tempo(s.withWatermark("ts", "1 second"), 8, 2.0, 48.0, 3.6e9), "tempo")
+    last = got.sort_values("us").groupby("track_id").tail(1).set_index("track_id")["tempo"]
+    want = beats.last_tempo(spark.createDataFrame(ev), 8, 2.0, 48.0, 3.6e9).toPandas().set_index("track_id")["tempo"]
+    pd.testing.assert_series_equal(last.sort_index(), want.sort_index())
+    assert len(got) > len(want)  # a tempo whenever beats came
+
+
 def test_stream_density_drops_late_rows_and_repeats(spark, tmp_path):
     t, sec = datetime(2024, 1, 1), lambda n: timedelta(seconds=n)
     files = [[(1, t, "a"), (1, t, "a"), (2, t + sec(60), "a")], [(4, t + sec(200), "a")], [(3, t + sec(1), "a"), (6, t + sec(300), "a")], [(5, t + sec(400), "a")]]
