@@ -6,11 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import json_arrays
+
 AUDIO = ("wav", "mp3", "flac", "ogg", "m4a", "aac")
 
 
 def read_hits_json(spark: SparkSession, path: str, schema: T.StructType, array: bool = False) -> DataFrame:
-    """Event records from JSON lines (splittable), or from files that are one JSON array each (one task a file)."""
+    """Event records from JSON lines, or from files that are one JSON array each: both in byte ranges, many tasks a file. Arrays in
+    stores that Spark alone can open are one task a file."""
+    if array and path.rpartition("://")[0] in json_arrays.SCHEMES:
+        return json_arrays.read_array(spark, path, schema)
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path, multiLine=array)
 
 

@@ -264,3 +264,48 @@ def test_similarity_stats_equal_all_pairs(spark):
         s = (u @ u.T)[np.triu_indices(len(u), 1)]
         assert np.isclose(r["mean"], 2 * s.sum() / len(u) ** 2) and np.isclose(r["max"], s.max())
         assert (r.min_nonzero is None) if not (s != 0).any() else np.isclose(r.min_nonzero, s[s != 0].min())
+
+
+HARD = [
+    {"a": 1, "s": 'quote " and \\" }, {"a": 2} [', "n": [{"a": 5}, {"a": [1, 2]}]},
+    {"a": 2, "s": "\\\\", "n": []},
+    {"a": 3, "s": "\\" * 7 + '"', "n": [{"a": 1}] * 30},
+    {"a": 4, "s": "é漢🙂 " * 40, "n": None},
+    {"a": 5, "s": "x" * 3000 + "{[", "n": [{}]},
+    {"a": 6, "s": "", "n": []},
+]
+
+
+@pytest.mark.parametrize("size", [7, 64, 1000, 1 << 20])
+def test_json_arrays_in_ranges(spark, tmp_path, size):
+    import json
+
+    from cadenza.sources import json_arrays
+
+    rnd = random.Random(size)
+    want = []
+    for name, ascii_ in (("one", True), ("two", False), ("none", True)):
+        records = [] if name == "none" else [{**rnd.choice(HARD), "i": i} for i in range(25)]
+        want += records
+        (tmp_path / f"{name}.json").write_text(json.dumps(records, ensure_ascii=ascii_, indent=rnd.choice([None, 1])))
+    (tmp_path / "empty.json").write_text("")
+    (tmp_path / "mixed.json").write_text('[1, "a{", [{"i": 7}], {"i": 99, "s": "last"}, {"i": 100, "s": "cut')
+    schema = spark.createDataFrame([], "i long, a long, s string").schema
+    got = sorted((r.i, r.a, r.s) for r in json_arrays.read_array(spark, str(tmp_path / "*.json"), schema, size).collect() if r.i != 99)
+    assert got == sorted((r["i"], r["a"], r["s"]) for r in want)
+
+
+def test_a_large_json_array_is_read_by_many_tasks(spark, tmp_path):
+    import json
+
+    from cadenza.sources import tables
+
+    rows = [{"event_id": i, "type": "kick}{", "us": i * 1000} for i in range(150_000)]
+    (tmp_path / "hits.json").write_text(json.dumps(rows))
+    schema = spark.createDataFrame([], "event_id long, type string, us long").schema
+    from cadenza.sources import json_arrays
+
+    df = json_arrays.read_array(spark, str(tmp_path / "hits.json"), schema, 1 << 20)
+    assert df.agg(F.count("*"), F.sum("us")).first()[:] == (150_000, sum(r["us"] for r in rows))
+    assert df.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert tables.read_hits_json(spark, str(tmp_path / "hits.json"), schema, array=True).count() == 150_000
