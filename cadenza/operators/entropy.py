@@ -204,33 +204,13 @@ def energy_to_amplitude(energy: Column, mass: float, omega: Column) -> Column:
 
 
 def harmonic_clusters(pairs: DataFrame, modes: DataFrame, key: str = "track_id") -> DataFrame:
-    """Connected groups of at least two modes of a track with fundamental, harmonic numbers and their log sum.
+    """Connected groups of at least two modes of a track with fundamental, harmonic numbers and their log sum. Components are found
+    by rounds of joins over the edges of all tracks at once; the smallest mode names its group."""
+    from .similarity import min_label_components
 
-    A track has few modes (a bounded mode table), so its groups are found in one task.
-    """
-    grouped = pairs.select(key, F.struct("i", "j").alias("e")).groupBy(key).agg(F.collect_list("e").alias("edges"))
-
-    def labels(batches):
-        for pdf in batches:
-            rows = []
-            for k, edges in zip(pdf[key], pdf["edges"], strict=True):
-                parent: dict = {}
-
-                def find(x, parent=parent):
-                    parent.setdefault(x, x)
-                    while parent[x] != x:
-                        parent[x] = parent[parent[x]]
-                        x = parent[x]
-                    return x
-
-                for e in edges:
-                    a, b = find(e["i"]), find(e["j"])
-                    parent[max(a, b)] = min(a, b)
-                rows += [(k, m, find(m)) for m in list(parent)]
-            yield pd.DataFrame(rows, columns=[key, "mode", "cluster"])
-
-    kind = pairs.schema[key].dataType.simpleString()
-    lab = grouped.mapInPandas(labels, f"{key} {kind}, mode long, cluster long")
+    end = lambda mode: F.struct(F.col(key).alias("t"), F.col(mode).alias("m"))
+    found = min_label_components(pairs.select(end("i").alias("a"), end("j").alias("b")))
+    lab = found.select(F.col("id.t").alias(key), F.col("id.m").alias("mode"), F.col("label.m").alias("cluster"))
     m = lab.join(modes.select(key, "mode", "frequency"), [key, "mode"])
     base = m.groupBy(key, "cluster").agg(F.min("frequency").alias("fundamental"), F.count(F.lit(1)).alias("size"))
     h = F.greatest(F.lit(1.0), F.bround(F.col("frequency") / F.col("fundamental")))

@@ -125,16 +125,24 @@ def similar_pairs(vectors: DataFrame, group: str, id_col: str = "id", vec: str =
 
 
 def harmonic_pairs(modes: DataFrame, tol: float = 0.02, min_strength: float = 0.1, max_harmonic: int = 16, key: str = "track_id") -> DataFrame:
-    """Pairs of modes of a track whose frequency ratio is near a whole number k (the smallest that fits); strength is relative to the loudest."""
+    """Pairs of modes of a track whose frequency ratio is near a whole number k (the smallest that fits); strength is relative to the loudest.
+
+    A band join: each mode's whole multiples go to the buckets of logarithmic frequency
+    that the tolerance reaches, and meet the modes that lie there. Frequencies that aren't
+    positive have no harmonics.
+    """
     w = Window.partitionBy(key)
-    m = modes.withColumn("_max", F.max("amplitude").over(w))
-    a = m.select(key, F.col("mode").alias("i"), F.col("frequency").alias("fi"), F.col("amplitude").alias("ai"), "_max")
-    b = m.select(key, F.col("mode").alias("j"), F.col("frequency").alias("fj"), F.col("amplitude").alias("aj"))
+    m = modes.withColumn("_max", F.max("amplitude").over(w)).where("frequency > 0")
+    width = math.log((1 + tol) / max(1 - tol, 1e-9))
+    bucket = lambda f: F.floor(F.log(f) / width)
+    a = m.select(key, F.col("mode").alias("i"), F.col("frequency").alias("fi"), F.col("amplitude").alias("ai"), "_max", F.explode(F.sequence(F.lit(1), F.lit(max_harmonic))).alias("k"))
+    a = a.withColumn("_b", F.explode(F.sequence(bucket(F.col("k") * F.col("fi")) - 1, bucket(F.col("k") * F.col("fi")) + 1)))
+    b = m.select(key, F.col("mode").alias("j"), F.col("frequency").alias("fj"), F.col("amplitude").alias("aj"), bucket(F.col("frequency")).alias("_b"))
     ratio = F.col("fj") / F.col("fi")
-    k = F.get(F.filter(F.sequence(F.lit(1), F.lit(max_harmonic)), lambda n: F.abs(ratio - n) / n < tol), F.lit(0))
-    pairs = a.join(b, key).where((F.col("i") != F.col("j")) & ((F.col("fi") < F.col("fj")) | ((F.col("fi") == F.col("fj")) & (F.col("i") < F.col("j")))))
-    out = pairs.withColumn("k", k).withColumn("strength", F.sqrt(F.col("ai") * F.col("aj")) / F.col("_max"))
-    return out.where(F.col("k").isNotNull() & (F.col("strength") >= min_strength)).select(key, "i", "j", "k", "strength")
+    above = (F.col("fi") < F.col("fj")) | ((F.col("fi") == F.col("fj")) & (F.col("i") < F.col("j")))
+    met = a.join(b, [key, "_b"]).where((F.col("i") != F.col("j")) & above & (F.abs(ratio - F.col("k")) / F.col("k") < tol))
+    strong = met.withColumn("strength", F.sqrt(F.col("ai") * F.col("aj")) / F.col("_max")).where(F.col("strength") >= min_strength)
+    return strong.groupBy(key, "i", "j").agg(F.min("k").alias("k"), F.min("strength").alias("strength"))
 
 
 def cross_task_list(files: DataFrame, configs: DataFrame) -> DataFrame:

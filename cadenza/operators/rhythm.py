@@ -233,38 +233,72 @@ def pattern_windows(env: DataFrame, template: list[float], threshold: float = 0.
     return env.groupBy(*keys).applyInPandas(run, f"{kinds}, start long, score double")
 
 
-def dtw(a: np.ndarray, b: np.ndarray) -> float:
-    """1 / (1 + mean cost of the cheapest warping path), by anti-diagonals."""
+def dtw_mean(a: np.ndarray, b: np.ndarray, beyond: float = np.inf) -> float:
+    """Mean cost of the cheapest warping path, by anti-diagonals of which three are held; infinite as soon as it must exceed ``beyond``.
+
+    A path has at most n + m - 1 steps and crosses one of any two neighbouring diagonals,
+    whose least cost so bounds its cost.
+    """
     n, m = len(a), len(b)
-    cost = np.full((n + 1, m + 1), np.inf)
-    steps = np.zeros((n + 1, m + 1))
-    cost[0, 0] = 0
+    free = lambda: (np.full(n + 1, np.inf), np.zeros(n + 1))
+    (cost2, steps2), (cost1, steps1) = free(), free()
+    cost2[0] = 0  # diagonal 0; diagonal 1 has the border alone
     for k in range(2, n + m + 1):
-        i = np.arange(max(1, k - m), min(n, k - 1) + 1)
-        j = k - i
-        options = np.stack([cost[i - 1, j - 1], cost[i - 1, j], cost[i, j - 1]])
-        length = np.stack([steps[i - 1, j - 1], steps[i - 1, j], steps[i, j - 1]])
-        best = options.argmin(0)
-        at = np.arange(len(i))
-        cost[i, j] = options[best, at] + np.abs(a[i - 1] - b[j - 1])
-        steps[i, j] = length[best, at] + 1
-    return float(1 / (1 + cost[n, m] / steps[n, m]))
-
-
-def dtw_align(segments: DataFrame, templates: dict[str, list[float]], id_col: str = "segment_id", vec: str = "samples") -> DataFrame:
-    """(id, template, score) of the best template of each segment. Templates are a short list, sent with the code."""
+        cost, steps = free()
+        lo, hi = max(1, k - m), min(n, k - 1) + 1
+        options = np.stack([cost2[lo - 1 : hi - 1], cost1[lo - 1 : hi - 1], cost1[lo:hi]])
+        length = np.stack([steps2[lo - 1 : hi - 1], steps1[lo - 1 : hi - 1], steps1[lo:hi]])
+        best, at = options.argmin(0), np.arange(hi - lo)
+        i = np.arange(lo, hi)
+        cost[lo:hi] = options[best, at] + np.abs(a[i - 1] - b[k - i - 1])
+        steps[lo:hi] = length[best, at] + 1
+        if min(cost.min(), cost1.min() if k > 2 else np.inf) > beyond * (n + m - 1):
+            return np.inf
+        cost2, steps2, cost1, steps1 = cost1, steps1, cost, steps
+    return float(cost1[n] / steps1[n])
+
+
+def dtw(a: np.ndarray, b: np.ndarray) -> float:
+    """1 / (1 + mean cost of the cheapest warping path)."""
+    return 1 / (1 + dtw_mean(a, b))
+
+
+def dtw_bound(a: np.ndarray, b: np.ndarray) -> float:
+    """What ``dtw_mean`` is at least: the end points meet, and every value meets one within the other's range."""
+    ends = abs(a[0] - b[0]) + (abs(a[-1] - b[-1]) if len(a) + len(b) > 2 else 0)
+    outside = lambda x, y: float(np.maximum(np.maximum(x - y.max(), y.min() - x), 0).sum())
+    return max(ends, outside(a, b), outside(b, a)) / (len(a) + len(b) - 1)
+
+
+def dtw_align(segments: DataFrame, templates: dict[str, list[float]], id_col: str = "segment_id", vec: str = "samples", counts: bool = False) -> DataFrame:
+    """(id, template, score) of the best template of each segment, the first by name on ties. Templates are a short list, sent with the code.
+
+    Templates are tried in order of their lower bounds; those that cannot be better are
+    skipped, and the others given up as soon as they cannot. ``counts`` adds how many
+    were ``tried``. Memory is that of the two series. Null and empty samples score 0.
+    """
     named = {k: np.asarray(v, float) for k, v in sorted(templates.items())}
 
+    def best_of(x: np.ndarray) -> tuple[str, float, int]:
+        if not len(x):
+            return next(iter(named)), 0.0, 0
+        mean, name, tried = np.inf, "", 0
+        for bound, k in sorted((dtw_bound(x, t), k) for k, t in named.items()):
+            if bound > mean:
+                break
+            tried += 1
+            found = dtw_mean(x, named[k], mean)
+            if (found, k) < (mean, name) or not name:
+                mean, name = found, k
+        return name, 1 / (1 + mean), tried
+
     def rows(batches):
         for pdf in batches:
-            best = []
-            for x in pdf[vec]:
-                x = np.asarray(x, float)
-                scores = [(dtw(x, t) if len(x) else 0.0, k) for k, t in named.items()]
-                best.append(max(scores, key=lambda s: s[0]))
-            yield pd.DataFrame({id_col: pdf[id_col], "template": [k for _, k in best], "score": [s for s, _ in best]})
-
-    return segments.select(id_col, vec).mapInPandas(rows, f"{id_col} {segments.schema[id_col].dataType.simpleString()}, template string, score double")
+            best = [best_of(np.asarray(x if x is not None else [], float)) for x in pdf[vec]]
+            out = pd.DataFrame({id_col: pdf[id_col], "template": [b[0] for b in best], "score": [b[1] for b in best]})
+            yield out.assign(tried=[b[2] for b in best]) if counts else out
+
+    return segments.select(id_col, vec).mapInPandas(rows, f"{id_col} {segments.schema[id_col].dataType.simpleString()}, template string, score double" + ", tried int" * counts)
 
 
 # fixed values

@@ -115,28 +115,40 @@ def suppress_close(peaks: DataFrame, min_dist: float = 0.1, key: str = "track_id
 
 
 def greedy_by_height(x: np.ndarray, at: np.ndarray, distance: int) -> np.ndarray:
-    """Of peak positions, keep the highest first and drop those nearer than ``distance`` to a kept one."""
-    keep = np.ones(len(at), bool)
-    for i in np.argsort(-x[at], kind="stable"):
+    """Of peak positions in order, keep the highest first and drop those nearer than ``distance`` to a kept one."""
+    keep, taken = np.ones(len(at), bool), np.zeros(len(at), bool)
+    lo, hi = np.searchsorted(at, at - distance, "right"), np.searchsorted(at, at + distance, "left")
+    for i in np.argsort(-x[at], kind="stable").tolist():
         if keep[i]:
-            near = np.abs(at - at[i]) < distance
-            near[i] = False
-            keep &= ~near
-    return at[keep]
+            keep[lo[i] : hi[i]] = False
+            taken[i] = True
+    return at[taken]
+
+
+def _lowest_before(height: np.ndarray, valley: np.ndarray) -> np.ndarray:
+    """For each of a row of heights the lowest valley back to the last strictly greater one (or to the start); ``valley[i]`` lies
+    before height i. A stack of falling heights: each height goes in and out once."""
+    out = np.empty(len(height))
+    stack: list[tuple[float, float]] = []
+    for i, (h, low) in enumerate(zip(height.tolist(), valley.tolist(), strict=True)):
+        while stack and stack[-1][0] <= h:
+            low = min(low, stack.pop()[1])
+        out[i] = low
+        stack.append((h, low))
+    return out
 
 
 def prominences(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Height of each peak above the higher of the two lowest points that part it from higher ground."""
-    out = np.zeros(len(at))
-    for n, p in enumerate(at):
-        left = x[:p][::-1]
-        stop = np.argmax(left > x[p]) if (left > x[p]).any() else len(left)
-        low_l = left[:stop].min(initial=x[p])
-        right = x[p + 1 :]
-        stop = np.argmax(right > x[p]) if (right > x[p]).any() else len(right)
-        low_r = right[:stop].min(initial=x[p])
-        out[n] = x[p] - max(low_l, low_r)
-    return out
+    """Height of each peak above the higher of the two lowest points that part it from higher ground, in time linear in the samples."""
+    if not len(at):
+        return np.zeros(0)
+    # ground can only be higher at a peak or at an end, and lowest between two of these
+    nodes = np.unique(np.concatenate([[0], peak_positions(x), at, [len(x) - 1]]))
+    height, between = x[nodes], np.minimum.reduceat(x, nodes)
+    between[:-1] = np.minimum(between[:-1], height[1:])
+    left = _lowest_before(height, np.concatenate([[height[0]], between[:-1]]))
+    right = _lowest_before(height[::-1], np.concatenate([[height[-1]], between[:-1][::-1]]))[::-1]
+    return (height - np.maximum(np.minimum(left, height), np.minimum(right, height)))[np.searchsorted(nodes, at)]
 
 
 def peak_positions(x: np.ndarray) -> np.ndarray:

@@ -309,3 +309,107 @@ def test_a_large_json_array_is_read_by_many_tasks(spark, tmp_path):
     assert df.agg(F.count("*"), F.sum("us")).first()[:] == (150_000, sum(r["us"] for r in rows))
     assert df.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     assert tables.read_hits_json(spark, str(tmp_path / "hits.json"), schema, array=True).count() == 150_000
+
+
+def plain_prominences(x, at):
+    out = []
+    for p in at:
+        sides = []
+        for side in (x[:p][::-1], x[p + 1 :]):
+            low = x[p]
+            for v in side:
+                if v > x[p]:
+                    break
+                low = min(low, v)
+            sides.append(low)
+        out.append(x[p] - max(sides))
+    return out
+
+
+def plain_greedy(x, at, distance):
+    kept = []
+    for i in sorted(range(len(at)), key=lambda i: (-x[at[i]], i)):
+        if all(abs(at[i] - at[k]) >= distance for k in kept):
+            kept.append(i)
+    return sorted(at[k] for k in kept)
+
+
+def test_peaks_equal_plain_loops_and_are_linear():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 30, 200):
+        for _ in range(30):
+            x = rng.integers(0, 6, n).astype(float)
+            at = windows.peak_positions(x)
+            assert np.allclose(windows.prominences(x, at), plain_prominences(x, at))
+            kept = windows.greedy_by_height(x, at, 4)
+            assert kept.tolist() == plain_greedy(x, at, 4)
+            assert np.allclose(windows.prominences(x, kept), plain_prominences(x, kept))
+    for x in (rng.random(1_000_000), np.arange(1_000_000) % 2 + np.linspace(0, 9, 1_000_000)):  # noise, and a rising staircase
+        began = time.time()
+        at = windows.greedy_by_height(x, windows.peak_positions(x), 20)
+        assert len(windows.prominences(x, at)) == len(at) > 10_000
+        assert time.time() - began < 12
+
+
+def test_dtw_equals_the_full_matrix_and_skips_templates(spark):
+    from cadenza.operators import rhythm
+
+    rng = np.random.default_rng(6)
+
+    def full(a, b):
+        cost, steps = np.full((len(a) + 1, len(b) + 1), np.inf), np.zeros((len(a) + 1, len(b) + 1))
+        cost[0, 0] = 0
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                near = [(i - 1, j - 1), (i - 1, j), (i, j - 1)]
+                k = int(np.argmin([cost[p] for p in near]))
+                cost[i, j], steps[i, j] = cost[near[k]] + abs(a[i - 1] - b[j - 1]), steps[near[k]] + 1
+        return cost[-1, -1] / steps[-1, -1]
+
+    for n, m in ((1, 1), (1, 5), (7, 3), (20, 20), (33, 18)):
+        a, b = rng.normal(0, 1, n), rng.normal(0.5, 1, m)
+        want = full(a, b)
+        assert np.isclose(rhythm.dtw_mean(a, b), want) and rhythm.dtw_bound(a, b) <= want + 1e-12
+        assert np.isclose(rhythm.dtw_mean(a, b, want * 1.0001), want) and rhythm.dtw_mean(a, b, want * 0.2) in (np.inf, rhythm.dtw_mean(a, b))
+    templates = {f"t{k}": (rng.normal(k * 2, 1, 25)).tolist() for k in range(12)}
+    series = [rng.normal(k % 12 * 2, 1, 30).tolist() for k in range(60)] + [[], None]
+    df = spark.createDataFrame(list(enumerate(series)), "segment_id long, samples array<double>")
+    got = {r.segment_id: r for r in rhythm.dtw_align(df, templates, counts=True).collect()}
+    for i, x in enumerate(series[:60]):
+        score, name = max((1 / (1 + full(np.array(x), np.array(t))), k) for k, t in templates.items())
+        assert got[i].template == name and np.isclose(got[i].score, score)
+    assert got[60].score == got[61].score == 0
+    assert sum(r.tried for r in got.values()) < 0.6 * 60 * 12  # the others were skipped by their bounds alone
+
+
+def test_harmonics_equal_all_pairs(spark):
+    from cadenza.operators import entropy
+
+    rnd = random.Random(8)
+    modes = [(t, i, rnd.choice([110.0, 220.5, 331.0, rnd.uniform(20, 4000), rnd.uniform(20, 200)]), rnd.uniform(0.5, 2)) for t in range(3) for i in range(40)] + [(9, 0, 0.0, 1.0), (9, 1, -5.0, 1.0)]
+    df = spark.createDataFrame(modes, "track_id long, mode long, frequency double, amplitude double")
+    for tol, least in ((0.02, 0.1), (0.15, 0.6)):
+        want = {}
+        for t, i, fi, ai in modes:
+            for u, j, fj, aj in modes:
+                if t == u and fi > 0 and fj > 0 and ((fi, i) < (fj, j)):
+                    top = max(a for v, _, _, a in modes if v == t)
+                    k = next((k for k in range(1, 17) if abs(fj / fi - k) / k < tol), None)
+                    if k and (ai * aj) ** 0.5 / top >= least:
+                        want[t, i, j] = k
+        pairs = joins.harmonic_pairs(df, tol, least)
+        assert {(r.track_id, r.i, r.j): r.k for r in pairs.collect()} == want
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for t, i, j in want:
+        a, b = find((t, i)), find((t, j))
+        parent[max(a, b)] = min(a, b)
+    sizes = {}
+    for x in parent:
+        sizes[find(x)] = sizes.get(find(x), 0) + 1
+    assert {(r.track_id, r.cluster): r.size for r in entropy.harmonic_clusters(pairs, df).collect()} == sizes
