@@ -210,27 +210,49 @@ def downbeats(beats: DataFrame, distance: int = 4, key: str = TR, order: str = "
     return non_max_by_priority(beats, [key], distance, order=order, value=value).withColumn("confidence", 0.8 * F.col("confidence")).drop("prominence")
 
 
-def pattern_windows(env: DataFrame, template: list[float], threshold: float = 0.7, keys: tuple[str, ...] = (TR,), order: str = "idx", value: str = "env") -> DataFrame:
-    """Starts at which the normalised cross-correlation with the template exceeds the threshold; a hit skips its length."""
-    t = np.asarray(template, float)
-    t = (t - t.mean()) / (t.std() + 1e-12)
+def pattern_windows(env: DataFrame, template: list[float], threshold: float = 0.7, keys: tuple[str, ...] = (TR,), order: str = "idx", value: str = "env", block: int = 65_536) -> DataFrame:
+    """Starts at which the normalised cross-correlation with the template exceeds the threshold; a hit skips its length.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        x, n, rows, i = pdf[value].to_numpy(float), len(t), [], 0
-        at = pdf[order].to_numpy()
-        while i + n <= len(x):
-            w = x[i : i + n]
-            s = float(((w - w.mean()) / (w.std() + 1e-12)) @ t / n)
-            if s > threshold:
-                rows.append([*[pdf[k].iloc[0] for k in keys], int(at[i]), s])
-                i += n
-            else:
-                i += 1
-        return pd.DataFrame(rows, columns=[*keys, "start", "score"])
+    Rows are numbered and dealt into blocks of ``block``, each with the rows that windows
+    from it reach into, so that a long series is many tasks. Of the hits, those a
+    template's length behind the one before are kept whatever came before them, and so
+    begin a session; only within sessions hits are skipped one after the other.
+    """
+    from .windows import sessions
 
-    kinds = ", ".join(f"{k} {env.schema[k].dataType.simpleString()}" for k in keys)
-    return env.groupBy(*keys).applyInPandas(run, f"{kinds}, start long, score double")
+    t = np.asarray(template, float)
+    n = len(t)
+    t = (t - t.mean()) / (t.std() + 1e-12)
+    names = list(keys)
+    numbered = env.select(*names, F.col(order).cast("long").alias("start"), F.col(value).cast("double").alias("_x"), (F.row_number().over(Window.partitionBy(*names).orderBy(order)) - 1).cast("long").alias("_pos"))
+    first = F.floor(F.greatest(F.col("_pos") - (n - 1), F.lit(0)) / block)
+    dealt = numbered.withColumn("_block", F.explode(F.sequence(first, F.floor(F.col("_pos") / block))))
+
+    def correlate(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pos", kind="stable")
+        x, at = pdf["_x"].to_numpy(float), pdf["_pos"].to_numpy()
+        own = int((at // block == pdf["_block"].iloc[0]).sum())
+        last = min(own, len(x) - n + 1)
+        scores = np.zeros(max(last, 0))
+        for a in range(0, max(last, 0), 8192):
+            w = np.lib.stride_tricks.sliding_window_view(x[a : min(a + 8192, last) + n - 1], n)
+            scores[a : a + len(w)] = ((w - w.mean(1, keepdims=True)) / (w.std(1, keepdims=True) + 1e-12)) @ t / n
+        hit = np.flatnonzero(scores > threshold)
+        return pdf.iloc[hit][[*names, "_pos", "start"]].assign(score=scores[hit])
+
+    kinds = ", ".join(f"{k} {env.schema[k].dataType.simpleString()}" for k in names)
+    hits = dealt.groupBy(*names, "_block").applyInPandas(correlate, f"{kinds}, _pos long, start long, score double")
+
+    def skip(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pos", kind="stable")
+        kept, free = [], -1
+        for i, p in enumerate(pdf["_pos"].tolist()):
+            if p >= free:
+                kept.append(i)
+                free = p + n
+        return pdf.iloc[kept][[*names, "start", "score"]]
+
+    return sessions(hits, names, "_pos", n).groupBy(*names, "_session").applyInPandas(skip, f"{kinds}, start long, score double")
 
 
 def dtw_mean(a: np.ndarray, b: np.ndarray, beyond: float = np.inf) -> float:

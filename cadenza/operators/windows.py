@@ -94,10 +94,19 @@ def merge_intervals(df: DataFrame, key: str = "track_id") -> DataFrame:
     )
 
 
+def sessions(df: DataFrame, keys: list[str], position: str, reach: float, *tie: str, strict: bool = False) -> DataFrame:
+    """``df`` with ``_session``, a number that grows where a row lies ``reach`` or more behind the one before (more than it, with
+    ``strict``). A rule whose effect ends there folds each session for itself, so that a series need not fit one task."""
+    w = _order(keys, position, *tie)
+    gap = F.col(position) - F.lag(position).over(w)
+    new = (gap > reach if strict else gap >= reach).cast("int")
+    return df.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn("_session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
 def suppress_close(peaks: DataFrame, min_dist: float = 0.1, key: str = "track_id") -> DataFrame:
     """Peaks in time order; one within ``min_dist`` of the kept one replaces it if more confident, else goes.
 
-    A fold along the track, whose state is the kept peak alone: rows arrive sorted and one track is one group.
+    A fold over sessions of peaks that lie closer than ``min_dist``, whose state is the kept peak alone.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -109,9 +118,9 @@ def suppress_close(peaks: DataFrame, min_dist: float = 0.1, key: str = "track_id
                 kept.append(i)
             elif c[i] > c[kept[-1]]:
                 kept[-1] = i
-        return pdf.iloc[kept]
+        return pdf.iloc[kept].drop(columns="_session")
 
-    return peaks.groupBy(key).applyInPandas(fold, peaks.schema)
+    return sessions(peaks, [key], "time", min_dist, "event_id").groupBy(key, "_session").applyInPandas(fold, peaks.schema)
 
 
 def greedy_by_height(x: np.ndarray, at: np.ndarray, distance: int) -> np.ndarray:
@@ -189,9 +198,9 @@ def rolling_max_peaks(df: DataFrame, keys: list[str], order: list[str], value: s
     return out.where((F.col(value) == F.col("_max")) & (F.col(value) >= F.col("_avg") + delta)).drop("_max", "_avg")
 
 
-def wait_between(peaks: DataFrame, position: str, wait: int = 20, key: str = "track_id") -> DataFrame:
-    """Peaks in order of position, each more than ``wait`` after the last one that was kept. A fold along the track, whose
-    state is one position."""
+def wait_between(peaks: DataFrame, position: str, wait: float = 20, key: str = "track_id") -> DataFrame:
+    """Peaks in order of position, each more than ``wait`` after the last one that was kept. A fold over sessions of peaks within
+    ``wait`` of each other, whose state is one position."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(position, kind="stable")
@@ -200,9 +209,9 @@ def wait_between(peaks: DataFrame, position: str, wait: int = 20, key: str = "tr
             if last is None or p > last + wait:
                 kept.append(i)
                 last = p
-        return pdf.iloc[kept]
+        return pdf.iloc[kept].drop(columns="_session")
 
-    return peaks.groupBy(key).applyInPandas(fold, peaks.schema)
+    return sessions(peaks, [key], position, wait, strict=True).groupBy(key, "_session").applyInPandas(fold, peaks.schema)
 
 
 def min_max(df: DataFrame, keys: list[str], value: str) -> DataFrame:

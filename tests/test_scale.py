@@ -413,3 +413,65 @@ def test_harmonics_equal_all_pairs(spark):
     for x in parent:
         sizes[find(x)] = sizes.get(find(x), 0) + 1
     assert {(r.track_id, r.cluster): r.size for r in entropy.harmonic_clusters(pairs, df).collect()} == sizes
+
+
+def plain_patterns(x, template, threshold):
+    t = np.asarray(template, float)
+    t, n, out, i = (t - t.mean()) / (t.std() + 1e-12), len(t), [], 0
+    while i + n <= len(x):
+        w = x[i : i + n]
+        s = ((w - w.mean()) / (w.std() + 1e-12)) @ t / n
+        if s > threshold:
+            out.append((i, s))
+            i += n
+        else:
+            i += 1
+    return out
+
+
+@pytest.mark.parametrize("block", [3, 10, 65_536])
+def test_pattern_windows_equal_the_plain_loop(spark, block):
+    from cadenza.operators import rhythm
+
+    rng = np.random.default_rng(block)
+    template = [1, 5, 2, 1, 0, 4]
+    tracks = {1: rng.random(300), 2: np.tile(template, 12) + rng.normal(0, 0.3, 72), 3: rng.random(4), 4: np.ones(20), 5: np.repeat([[1.0, 5, 2, 1, 0, 4, 2]], 9, 0).ravel()}
+    rows = [(k, 3 * i + 1, float(v)) for k, x in tracks.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "track_id long, idx long, env double").repartition(5)
+    for threshold in (0.7, 0.2):
+        got = {}
+        for r in rhythm.pattern_windows(df, template, threshold, block=block).collect():
+            got.setdefault(r.track_id, {})[r.start] = r.score
+        for k, x in tracks.items():
+            want = {3 * i + 1: s for i, s in plain_patterns(x, template, threshold)}
+            assert sorted(got.get(k, {})) == sorted(want) and all(np.isclose(got[k][i], s) for i, s in want.items())
+
+
+def test_folds_by_session_equal_folds_by_track(spark):
+    from cadenza.streaming import beats
+
+    rnd = random.Random(12)
+    rows = sorted({(t, rnd.randint(0, 4000)) for t in (1, 2) for _ in range(900)})
+    peaks = spark.createDataFrame([(t, i, p / 100, rnd.random(), p) for i, (t, p) in enumerate(rows)], "track_id long, event_id long, time double, confidence double, pos long").repartition(4)
+    data = [tuple(r) for r in peaks.orderBy("track_id", "pos").collect()]
+    close_, wait, active = set(), set(), set()
+    for t in (1, 2):
+        kept, last, beat = None, None, None
+        run = [r for r in data if r[0] == t]
+        for n, r in enumerate(run):
+            if kept is None or r[2] - kept[2] >= 0.05:
+                close_.add(kept[1]) if kept else None
+                kept = r
+            elif r[3] > kept[3]:
+                kept = r
+            if last is None or r[4] > last + 7:
+                wait.add(r[1])
+                last = r[4]
+            if r[3] >= 0.4 and (n == 0 or run[n - 1][3] < 0.4) and (beat is None or r[4] - beat >= 9):
+                active.add((t, r[4]))
+                beat = r[4]
+        close_.add(kept[1])
+    assert {r.event_id for r in windows.suppress_close(peaks, 0.05).collect()} == close_
+    assert {r.event_id for r in windows.wait_between(peaks, "pos", 7).collect()} == wait
+    frames = peaks.select("track_id", F.col("pos").alias("us"), F.col("confidence").alias("activation"))
+    assert {tuple(r) for r in beats.file_beats(frames, 0.4, 9.0, 1.0).collect()} == active
