@@ -138,7 +138,8 @@ def e12(spark, d):
 def e13(spark, d):
     from .signal_plans import chunks
 
-    return op.measure_states(chunks(spark, d), 3, 16).select("track_id", "frame_idx", "rank", "s_total", "delta", "irreversible")
+    in_order = chunks(spark, d).withColumn("start_sample", F.col("chunk_idx") * 64)  # each chunk of 64 samples at its own place in the track
+    return op.measure_states(in_order, 3, 16).select("track_id", "frame_idx", "rank", "s_total", "delta", "irreversible")
 
 
 @add("e14_ensemble_stats", states(f""", {SE} SELECT track_id, round(avg(s_k),6) AS mean_s_k, round(stddev_pop(s_k),6) AS std_s_k, round(avg(s_t),6) AS mean_s_t, round(stddev_pop(s_t),6) AS std_s_t, round(avg(s_e),6) AS mean_s_e, round(stddev_pop(s_e),6) AS std_s_e,
