@@ -30,14 +30,14 @@ def text_digest(text_col: str) -> Column:
     return F.sha2(F.encode(normalised(text_col), "UTF-8"), 256)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", digits: int = 32) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256. ``digits`` hexadecimal ones of the hash are the key."""
     pick = F.max if keep == "max" else F.min
     norm, sha = normalised(text_col), text_digest(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), norm.alias("t"))
     keyed = rows.select("doc_id", "t", F.sha2(F.encode("t", "UTF-8"), 256).alias("text_sha256"))
     # 128 bits: the first 32 hexadecimal digits, as bytes
-    keyed = keyed.withColumn("h", F.unhex(F.substring("text_sha256", 1, 32)))
+    keyed = keyed.withColumn("h", F.unhex(F.substring("text_sha256", 1, digits)))
     groups = keyed.groupBy("h").agg(
         pick("doc_id").alias("keep_id"),
         F.count(F.lit(1)).alias("group_size"),
@@ -45,7 +45,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     groups = materialise(groups, "exact-groups")
     narrow = docs.select(F.col(id_col).alias("doc_id"), sha.alias("text_sha256")).withColumn(
-        "h", F.unhex(F.substring("text_sha256", 1, 32))
+        "h", F.unhex(F.substring("text_sha256", 1, digits))
     )
     out = narrow.join(groups.where("same").drop("same"), "h")
     collided = groups.where("NOT same").select("h")

@@ -148,10 +148,14 @@ def _votes_of(patterns: list[int]) -> np.ndarray:
 
 
 def _open_proposals(text: str, spans: dict[str, list[tuple[int, int]]]) -> Iterator[tuple[int, int, tuple[int, ...], tuple[float, ...]]]:
-    """Proposals that meet no base span."""
+    """Proposals that meet no base span: one walk along both, since proposals come in order and do not overlap."""
     taken = sorted(s for v in spans.values() for s in v)
+    at, reach = 0, 0  # the spans before ``at`` begin before the proposal's end; ``reach`` is their greatest end
     for found in proposals(text):
-        if not any(x < found[1] and found[0] < y for x, y in taken):
+        while at < len(taken) and taken[at][0] < found[1]:
+            reach = max(reach, taken[at][1])
+            at += 1
+        if reach <= found[0]:
             yield found
 
 

@@ -306,3 +306,41 @@ def test_compared_odd_tables(spark):
     assert len(rows) == 5 and len({r.fingerprint for r in rows if r.doc_id == 4}) == 1
     empty = fingerprints.compared(materialise(spark.createDataFrame([(1, None), (2, "")], kind), "none")).collect()
     assert {(r.n_chars, r.fingerprint, r.near_edited, r.near_next) for r in empty} == {(0, "", 1.0, 1.0)}
+
+
+def test_exact_groups_with_keys_that_collide(spark):
+    """Keys of one byte: hundreds of different texts share one, and groups still are those of equal texts."""
+    from cadenza.llm import exact_dedup
+
+    texts = [f"Text {i % 700}" if i % 3 else f"tEXT {i % 700}" for i in range(2000)] + [None, "", "A", "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = lambda digits: sorted(map(tuple, exact_dedup.exact_groups(docs, digits=digits).collect()))
+    got = rows(2)
+    groups = {}
+    for i, t in enumerate(texts):
+        groups.setdefault(brute.lower(t), []).append(i)
+    want = [(i, max(groups[brute.lower(t)]), len(groups[brute.lower(t)]), i == max(groups[brute.lower(t)]), hashlib.sha256(brute.lower(t).encode()).hexdigest()) for i, t in enumerate(texts)]
+    assert got == want == rows(32)
+
+
+def test_proposals_within_base_spans_in_linear_time():
+    import time
+
+    from cadenza.llm import pii
+
+    def plain(text, spans):
+        taken = sorted(s for v in spans.values() for s in v)
+        return [f[:2] for f in pii.proposals(text) if not any(x < f[1] and f[0] < y for x, y in taken)]
+
+    rnd = random.Random(1)
+    for _ in range(300):
+        text = " ".join(rnd.choice(["a1b2c3d4e5f6a7b8c9", "x@y1234567890abcdefghij.org", "4111111111111111", "+49 170 1234567", "word", "10.0.0.1", "QWERTY1234567890qwerty=="]) for _ in range(rnd.randint(0, 12)))
+        spans = pii.base_spans(text)
+        assert [f[:2] for f in pii._open_proposals(text, spans)] == plain(text, spans)
+        # overlapping and nested spans of several kinds
+        made = {k: [(a, a + rnd.randint(1, 40)) for a in sorted(rnd.sample(range(len(text) + 1), min(3, len(text))))] for k in ("email", "card")}
+        assert [f[:2] for f in pii._open_proposals(text, made)] == plain(text, made)
+    text = "a1b2c3d4e5f6a7b8c9 me@example.org " * 20_000
+    began = time.time()
+    assert len(list(pii._open_proposals(text, pii.base_spans(text)))) == 20_000
+    assert time.time() - began < 20
