@@ -84,9 +84,14 @@ def technical_terms(df: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("value", value).drop("_low", "synonym")
 
 
+def _at_most_ten(c: Column) -> Column:
+    """Null stays null, which ``least`` would pass over."""
+    return F.when(c.isNotNull(), F.least(F.lit(10.0), c))
+
+
 def _scaled(c: Column, low: float, step: float) -> Column:
     """(c - low) / step held in 0..10."""
-    return F.least(F.lit(10.0), F.greatest(F.lit(0.0), (c - low) / step))
+    return F.greatest(F.lit(0.0), _at_most_ten((c - low) / step))
 
 
 
@@ -99,16 +104,16 @@ def emotion_scores(df: DataFrame) -> DataFrame:
     """
     f = F.col
     flip = lambda c: 10.0 - c
-    bright = F.least(F.lit(10.0), f("spectral_centroid") / 500)
+    bright = _at_most_ten(f("spectral_centroid") / 500)
     terms: dict[str, tuple[float, list[tuple[float, Column]]]] = {
-        "energy": (0.0, [(0.4, F.least(F.lit(10.0), f("loudness") * 10)), (0.3, _scaled(f("tempo"), 60, 12)), (0.1, F.greatest(F.lit(0.0), flip(F.least(F.lit(10.0), f("dynamic_range") * 5)))), (0.2, f("drum_intensity"))]),
-        "brightness": (5.0, [(0.5, bright), (0.3, F.least(F.lit(10.0), f("spectral_rolloff") / 2000)), (0.2, f("high_freq_energy"))]),
-        "tension": (5.0, [(0.3, F.least(F.lit(10.0), f("spectral_flatness") * 20)), (0.3, f("rhythmic_complexity")), (0.4, f("dissonance"))]),
-        "warmth": (5.0, [(0.5, f("low_mid_energy")), (0.3, F.least(F.lit(10.0), 10 - f("background_contrast") * 2)), (0.2, f("harmonic_richness"))]),
+        "energy": (0.0, [(0.4, _at_most_ten(f("loudness") * 10)), (0.3, _scaled(f("tempo"), 60, 12)), (0.1, F.greatest(F.lit(0.0), flip(_at_most_ten(f("dynamic_range") * 5)))), (0.2, f("drum_intensity"))]),
+        "brightness": (5.0, [(0.5, bright), (0.3, _at_most_ten(f("spectral_rolloff") / 2000)), (0.2, f("high_freq_energy"))]),
+        "tension": (5.0, [(0.3, _at_most_ten(f("spectral_flatness") * 20)), (0.3, f("rhythmic_complexity")), (0.4, f("dissonance"))]),
+        "warmth": (5.0, [(0.5, f("low_mid_energy")), (0.3, _at_most_ten(10 - f("background_contrast") * 2)), (0.2, f("harmonic_richness"))]),
         "groove": (5.0, [(0.4, f("microtiming")), (0.3, f("syncopation")), (0.3, f("bass_drum_interaction"))]),
         "aggression": (5.0, [(0.4, f("transient_sharpness")), (0.3, f("distortion")), (0.3, f("high_freq_intensity"))]),
-        "atmosphere": (5.0, [(0.4, f("reverb_amount")), (0.3, F.least(F.lit(10.0), f("stereo_width") * 10)), (0.3, f("background_texture"))]),
-        "melancholy": (5.0, [(0.5, f("minor_key")), (0.3, F.greatest(F.lit(0.0), flip(F.least(F.lit(10.0), (f("tempo") - 70) / 10)))), (0.2, f("sparse_arrangement"))]),
+        "atmosphere": (5.0, [(0.4, f("reverb_amount")), (0.3, _at_most_ten(f("stereo_width") * 10)), (0.3, f("background_texture"))]),
+        "melancholy": (5.0, [(0.5, f("minor_key")), (0.3, F.greatest(F.lit(0.0), flip(_at_most_ten((f("tempo") - 70) / 10)))), (0.2, f("sparse_arrangement"))]),
         "euphoria": (5.0, [(0.3, flip(f("minor_key"))), (0.4, f("uplifting_progression")), (0.3, bright)]),
     }
     out = {}
