@@ -81,7 +81,7 @@ def build(vectors: DataFrame, id_col: str = "id", vec: str = "embedding", per_ce
     if not found:
         kind = units.schema["id"].dataType.simpleString()
         return VectorIndex(spark.createDataFrame([], f"cell int, id {kind}, v array<double>, near double"), cells)
-    return VectorIndex(written(_assigned(units, np.array([v for _, v in found])), "vector-index"), written(cells, "vector-cells"))
+    return VectorIndex(written(_assigned(units, np.array([v for _, v in found])), "vector-index"), cells)
 
 
 def _plan(queries: DataFrame, centres: np.ndarray, reach: np.ndarray, sizes: np.ndarray, first: int | None, least: float | None) -> DataFrame:
@@ -139,11 +139,11 @@ def _scored(index: VectorIndex, planned: DataFrame, sizes: DataFrame, k: int | N
 
 def _bounds(index: VectorIndex, centres: np.ndarray) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """(cell, n, reach) as a table and as arrays by cell: how many rows and how far from the centre."""
-    table = written(index.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("near").alias("reach")), "vector-bounds")
+    found = index.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("near").alias("reach")).collect()  # a row a cell
     sizes, reach = np.zeros(len(centres), np.int64), np.zeros(len(centres))
-    for r in table.collect():
+    for r in found:
         sizes[r.cell], reach[r.cell] = r.n, r.reach
-    return table, sizes, reach
+    return index.rows.sparkSession.createDataFrame([tuple(r) for r in found], "cell int, n long, reach double"), sizes, reach
 
 
 def _asked(queries: DataFrame, vec: str) -> DataFrame:
