@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .carry import neighbours
+from .peaks import greedy_by_height, non_max_by_priority, peak_positions, prominences  # noqa: F401
 
 
 def _order(keys: list[str], *order: str):
@@ -123,74 +124,6 @@ def suppress_close(peaks: DataFrame, min_dist: float = 0.1, key: str = "track_id
     return sessions(peaks, [key], "time", min_dist, "event_id").groupBy(key, "_session").applyInPandas(fold, peaks.schema)
 
 
-def greedy_by_height(x: np.ndarray, at: np.ndarray, distance: int) -> np.ndarray:
-    """Of peak positions in order, keep the highest first and drop those nearer than ``distance`` to a kept one."""
-    keep, taken = np.ones(len(at), bool), np.zeros(len(at), bool)
-    lo, hi = np.searchsorted(at, at - distance, "right"), np.searchsorted(at, at + distance, "left")
-    for i in np.argsort(-x[at], kind="stable").tolist():
-        if keep[i]:
-            keep[lo[i] : hi[i]] = False
-            taken[i] = True
-    return at[taken]
-
-
-def _lowest_before(height: np.ndarray, valley: np.ndarray) -> np.ndarray:
-    """For each of a row of heights the lowest valley back to the last strictly greater one (or to the start); ``valley[i]`` lies
-    before height i. A stack of falling heights: each height goes in and out once."""
-    out = np.empty(len(height))
-    stack: list[tuple[float, float]] = []
-    for i, (h, low) in enumerate(zip(height.tolist(), valley.tolist(), strict=True)):
-        while stack and stack[-1][0] <= h:
-            low = min(low, stack.pop()[1])
-        out[i] = low
-        stack.append((h, low))
-    return out
-
-
-def prominences(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Height of each peak above the higher of the two lowest points that part it from higher ground, in time linear in the samples."""
-    if not len(at):
-        return np.zeros(0)
-    # ground can only be higher at a peak or at an end, and lowest between two of these
-    nodes = np.unique(np.concatenate([[0], peak_positions(x), at, [len(x) - 1]]))
-    height, between = x[nodes], np.minimum.reduceat(x, nodes)
-    between[:-1] = np.minimum(between[:-1], height[1:])
-    left = _lowest_before(height, np.concatenate([[height[0]], between[:-1]]))
-    right = _lowest_before(height[::-1], np.concatenate([[height[-1]], between[:-1][::-1]]))[::-1]
-    return (height - np.maximum(np.minimum(left, height), np.minimum(right, height)))[np.searchsorted(nodes, at)]
-
-
-def peak_positions(x: np.ndarray) -> np.ndarray:
-    """Positions of maxima, the middle of level tops."""
-    if len(x) < 3:
-        return np.zeros(0, int)
-    edge = np.flatnonzero(np.diff(x) != 0)
-    start, end = np.concatenate([[0], edge + 1]), np.concatenate([edge, [len(x) - 1]])
-    v = x[start]
-    top = np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] > v[2:])) + 1
-    return (start[top] + end[top]) // 2
-
-
-def non_max_by_priority(series: DataFrame, keys: list[str], distance: int, prominence: float = 0.0, height: float | None = None, order: str = "idx", value: str = "value") -> DataFrame:
-    """Peaks of each (track, segment) series, the highest first, ``distance`` rows apart, with at least the prominence. Segments bound the groups."""
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        x = pdf[value].to_numpy(float)
-        at = peak_positions(x)
-        if height is not None:
-            at = at[x[at] >= height]
-        at = greedy_by_height(x, at, distance)
-        prom = prominences(x, at)
-        out = pdf.iloc[at].assign(prominence=prom)
-        return out[prom >= prominence]
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*series.schema.fields, T.StructField("prominence", T.DoubleType())])
-    return series.groupBy(*keys).applyInPandas(pick, schema)
-
-
 def rolling_max_peaks(df: DataFrame, keys: list[str], order: list[str], value: str, around: int = 20, delta: float = 0.5) -> DataFrame:
     """Rows that are the greatest of their neighbourhood and at least its mean plus ``delta``; apply ``wait_between`` for a waiting time."""
     w = _order(keys, *order).rowsBetween(-around, around)

@@ -92,7 +92,7 @@ def w9(spark, d):
 @add("w10_non_max_by_priority")
 def w10(spark, d):
     h = hits_df(spark, d).select("track_id", F.floor(F.col("time") / 604800).alias("segment"), F.col("event_id").alias("idx"), F.col("velocity").alias("value"))
-    return op.non_max_by_priority(h, ["track_id", "segment"], 3, 5.0)
+    return op.non_max_by_priority(h, ["track_id", "segment"], 3, 5.0, block=None)
 
 
 @add("w11_rolling_max_peaks", hits("""SELECT event_id, velocity FROM (SELECT *, max(velocity) OVER w AS m, avg(velocity) OVER w AS a FROM h WINDOW w AS (PARTITION BY track_id ORDER BY us, event_id ROWS BETWEEN 20 PRECEDING AND 20 FOLLOWING))

@@ -351,6 +351,37 @@ def test_peaks_equal_plain_loops_and_are_linear():
         assert time.time() - began < 12
 
 
+def test_peaks_by_blocks_equal_one_pass(spark):
+    """Levels, chains of ever higher peaks and higher ground that reach over many blocks; null keys, values that are none."""
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    cases = {
+        "noise": rng.integers(0, 6, 400).astype(float),
+        "stairs": np.arange(400) % 2 + np.linspace(0, 9, 400),
+        "levels": np.repeat(rng.random(12), 40),
+        "roof": 3.0 * (np.arange(400) % 3) - np.abs(np.arange(-200, 200)),
+        "flat": np.ones(90),
+        "two": np.array([1.0, 2.0]),
+        None: rng.random(100),
+    }
+    table = pd.concat([pd.DataFrame({"k": k, "idx": np.arange(len(x)) * 3, "value": x}) for k, x in cases.items()])
+    holes = pd.DataFrame({"k": ["noise", "stairs"], "idx": [4, 7], "value": [None, float("nan")]})
+    df = spark.createDataFrame(pd.concat([table, holes]), "k string, idx long, value double")
+    df = df.withColumn("value", F.when(F.col("idx") == 4, None).otherwise(F.col("value")))
+    for distance, height, least in ((3, None, 0.0), (2, 1.0, 0.5)):
+        got = windows.non_max_by_priority(df, ["k"], distance, least, height, block=16).collect()
+        whole = windows.non_max_by_priority(df, ["k"], distance, least, height, block=None).collect()
+        for k, x in cases.items():
+            at = windows.peak_positions(x)
+            at = windows.greedy_by_height(x, at if height is None else at[x[at] >= height], distance)
+            prom = windows.prominences(x, at)
+            want = [(3 * i, round(p, 9)) for i, p in zip(at.tolist(), prom.tolist(), strict=True) if p >= least]
+            assert sorted((r.idx, round(r.prominence, 9)) for r in got if r.k == k) == want, (k, distance)
+            assert sorted((r.idx, round(r.prominence, 9)) for r in whole if r.k == k) == want, (k, distance)
+    assert windows.non_max_by_priority(df.limit(0), ["k"], 3, block=16).count() == 0
+
+
 def test_dtw_equals_the_full_matrix_and_skips_templates(spark):
     from cadenza.operators import rhythm
 
