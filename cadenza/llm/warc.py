@@ -37,6 +37,7 @@ from .common import work_path
 GAP = "\r\n\r\n"
 FILE_BYTES = 64 << 20
 DIRECTORY = 100_000
+KEY_CHARS = 256  # of a key, in the directory
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 CAPTURES = f"{RECORD}, file string, offset long, length long"
 _EMPTY_MEMBER = zlib.compressobj(9, zlib.DEFLATED, 31).flush()
@@ -249,8 +250,10 @@ def build_index(captures: DataFrame, path: str, per_block: int = 500) -> DataFra
 
 
 def directory(blocks: DataFrame) -> tuple[list[str], list[str], list[int]]:
-    """The sparse directory: first key, last key and number of each block, in order; its size is bounded by ``build_index``."""
-    rows = sorted((r.first_key, r.last_key, r.no) for r in blocks.select(F.col("first").alias("first_key"), F.col("last").alias("last_key"), "no").collect())
+    """The sparse directory: first key, last key and number of each block, in order. ``build_index`` bounds the entries, and keys
+    are cut to ``KEY_CHARS``, which keeps their order, so its bytes are bounded as well."""
+    cut = lambda c: F.substring(c, 1, KEY_CHARS)
+    rows = sorted((r.first_key, r.last_key, r.no) for r in blocks.select(cut("first").alias("first_key"), cut("last").alias("last_key"), "no").collect())
     return [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
 
 
@@ -270,15 +273,21 @@ def unpack(blocks: DataFrame) -> DataFrame:
 
 def lookup(blocks: DataFrame, entries: tuple[list[str], list[str], list[int]], keys: DataFrame) -> DataFrame:
     """Captures of the keys in column ``key`` of a table of any size: binary search in the directory, then only the blocks
-    that can hold one of them."""
+    that can hold one of them. Keys that are equal up to ``KEY_CHARS`` share their blocks; the join tells them apart."""
     spark = blocks.sparkSession
     shared = spark.sparkContext.broadcast(entries)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, last, no = shared.value
         seen: set[int] = set()
+        cuts: set[str] = set()  # of keys that are longer
         for batch in batches:
-            for k in batch.column(0).to_pylist():
+            for key in batch.column(0).to_pylist():
+                k = key[:KEY_CHARS]
+                if len(key) > KEY_CHARS:
+                    if k in cuts:
+                        continue
+                    cuts.add(k)
                 i = bisect.bisect_left(last, k)
                 while i < len(no) and first[i] <= k:
                     seen.add(no[i])

@@ -262,6 +262,16 @@ def test_archives_round_trip_and_lookup(spark):
     assert sorted(r.page_id for r in found.collect()) == [1, 6]
     assert sorted(r.payload_bytes for r in warc.read_records(found, path).collect()) == sorted(len(x.encode()) for x in (big, big + "!"))
     assert warc.lookup(blocks, entries, keys("zz)/")).count() == 0
+    # keys that differ only beyond what the directory keeps of them
+    long = [(i, f"http://l.org/{'é' * 300}{i % 40:02}", "x") for i in range(120)]
+    path = work_path(spark, "warc")
+    warc.write_archives(spark.createDataFrame([*rows, *long], "page_id long, url string, html string"), path)
+    blocks = warc.build_index(warc.scan_archives(spark, path), work_path(spark, "cdx"), per_block=5)
+    entries = warc.directory(blocks)
+    assert max(map(len, entries[0] + entries[1])) == warc.KEY_CHARS
+    wanted = [f"org,l)/{'é' * 300}{n}" for n in ("07", "31", "77", "0")] + ["org,l)/" + "é" * 249]
+    found = warc.lookup(blocks, entries, keys(*wanted, "org,example,b)/x"))
+    assert sorted(r.page_id for r in found.collect()) == sorted([1, 6] + [i for i in range(120) if i % 40 in (7, 31)])
     back = warc.round_trip(pages).collect()
     assert sorted((r.page_id or 0, r.record_type) for r in back) == sorted((i or 0, v[2]) for (i, _), v in [*got.items(), ((7, ""), got[7, "http://c.org/"])])
 
