@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..session import written
 from .carry import neighbours
 from .metric_cells import doubles, matrix, meeting, placed, unit
+from .selection import BROADCAST_ROWS
 
 
 def nearest_onset(beats: DataFrame, onsets: DataFrame, key: str = "track_id", us: str = "us", block_us: int = 60_000_000) -> DataFrame:
@@ -42,8 +43,8 @@ def ghost_notes(candidates: DataFrame, main: DataFrame, window_us: int = 30_000,
     """Candidates of the given types without a main hit of their track and type within the window, quieter than ``ratio`` of the type's mean main velocity."""
     kinds = candidates.where(F.col("type").isin(*types)).withColumn("_k", F.struct("track_id", "type"))
     near = nearest_onset(kinds, main.withColumn("_k", F.struct("track_id", "type")), "_k")
-    mean = main.groupBy("type").agg(F.avg("velocity").alias("_mean"))
-    quiet = near.join(F.broadcast(mean), "type")  # one row for each drum class
+    mean = main.where(F.col("type").isin(*types)).groupBy("type").agg(F.avg("velocity").alias("_mean"))
+    quiet = near.join(F.broadcast(mean), "type")  # at most one row for each of ``types``
     far = F.col("deviation_us").isNull() | (F.abs("deviation_us") >= window_us)
     return quiet.where(far & (F.col("velocity") < ratio * F.col("_mean"))).drop("_k", "_mean", "onset_us", "deviation_us")
 
@@ -146,8 +147,9 @@ def harmonic_pairs(modes: DataFrame, tol: float = 0.02, min_strength: float = 0.
 
 
 def cross_task_list(files: DataFrame, configs: DataFrame) -> DataFrame:
-    """Every file with every configuration, once. Configurations are named by people: a short list, broadcast."""
-    return files.crossJoin(F.broadcast(configs)).dropDuplicates()
+    """Every file with every configuration, once. Configurations are broadcast if a count finds them few."""
+    few = configs.count() <= BROADCAST_ROWS
+    return files.crossJoin(F.broadcast(configs) if few else configs).dropDuplicates()
 
 
 def resume(files: DataFrame, done: DataFrame, on: str) -> DataFrame:

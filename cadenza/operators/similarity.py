@@ -313,13 +313,41 @@ def composite_score(scores: DataFrame, transforms: str, key: str = "pair_id") ->
     return out.select(key, "score", ((1 - F.least(F.lit(1.0), 2 * F.col("_s"))) * (1 - 0.1 * F.col("_t"))).alias("confidence"))
 
 
-def mean_pair_cosine(frames: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
-    """Mean cosine of all frame pairs of two tracks (a < b): the dot product of the tracks' mean unit vectors, so no frames are paired."""
+def mean_units(frames: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
+    """(key, mean): the mean of each track's frames scaled to length 1; frames without length count for nothing."""
     n = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = frames.select(key, F.posexplode(F.transform(vec, lambda x: x.cast("double") / n)).alias("i", "x"))
-    mean = unit.groupBy(key, "i").agg(F.avg("x").alias("m"))
-    a, b = mean.select(F.col(key).alias("a"), "i", F.col("m").alias("ma")), mean.select(F.col(key).alias("b"), "i", F.col("m").alias("mb"))
-    return a.join(b, "i").where("a < b").groupBy("a", "b").agg(F.sum(F.col("ma") * F.col("mb")).alias("similarity"))
+    scaled = F.transform(vec, lambda x: x.cast("double") / F.nullif(n, F.lit(0.0)))
+    mean = frames.where(n > 0).select(key, F.posexplode(scaled).alias("i", "x")).groupBy(key, "i").agg(F.avg("x").alias("m"))
+    row = F.sort_array(F.collect_list(F.struct("i", "m")))  # as long as a frame
+    return mean.groupBy(key).agg(F.transform(row, lambda p: p["m"]).alias("mean"))
+
+
+def mean_pair_cosine(frames: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
+    """Mean cosine of all frame pairs of two tracks (a < b): the dot product of the tracks' mean unit vectors, so no frames are
+    paired. A report on every pair of tracks; ``alike_tracks`` finds the pairs above a threshold without it."""
+    mean = mean_units(frames, key, vec)
+    pairs = query_pairs(mean.select(F.col(key).alias("a"), F.col("mean").alias("ma")), mean.select(F.col(key).alias("b"), F.col("mean").alias("mb")))
+    dot = F.aggregate(F.zip_with("ma", "mb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return pairs.where("a < b").select("a", "b", dot.alias("similarity"))
+
+
+def alike_tracks(frames: DataFrame, key: str, threshold: float, vec: str = "embedding") -> DataFrame:
+    """(a, b, similarity) of the tracks (a < b) whose frame pairs have a mean cosine of at least ``threshold``, above 0.
+
+    The mean cosine is |ma| |mb| cos(ma, mb) of the tracks' mean unit vectors, none longer
+    than the longest, so that cos(ma, mb) is at least the threshold over that length
+    squared: the metric pivot index finds such pairs, and their lengths decide. Exact. Ids
+    are whole numbers; no tracks, or frames without length alone, give no pairs.
+    """
+    if threshold <= 0:
+        raise ValueError("a threshold of 0 or less asks for all pairs: mean_pair_cosine")
+    mean = written(mean_units(frames, key, vec).where(F.col(key).isNotNull()), "track-means")
+    size = F.sqrt(F.aggregate("mean", F.lit(0.0), lambda s, x: s + x * x))
+    sizes = mean.select(F.col(key).alias("id"), size.alias("size")).where("size > 0")
+    longest = sizes.agg(F.max("size").alias("m")).first().m or 1.0
+    near = similar_pairs(mean.withColumn("_all", F.lit(0)), "_all", key, "mean", threshold=min(1.0, threshold / longest**2) - 1e-9)
+    met = near.join(sizes.toDF("a", "_sa"), "a").join(sizes.toDF("b", "_sb"), "b")
+    return met.select("a", "b", (F.col("similarity") * F.col("_sa") * F.col("_sb")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def mean_pair_correlation(frames: DataFrame, key: str, vec: str = "embedding") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .carry import neighbours
 from .peaks import greedy_by_height, non_max_by_priority, peak_positions, prominences  # noqa: F401
+from .selection import with_aggregate
 
 
 def _order(keys: list[str], *order: str):
@@ -172,7 +173,7 @@ def outliers_z(long: DataFrame, threshold: float = 2.0) -> DataFrame:
     valid = long.where(~F.isnan("value"))
     m = valid.groupBy("metric").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
     z = (F.col("value") - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))
-    return valid.join(F.broadcast(m), "metric").withColumn("z", z).where(F.abs("z") > threshold).drop("_m", "_s")
+    return with_aggregate(valid, m, ["metric"]).withColumn("z", z).where(F.abs("z") > threshold).drop("_m", "_s")
 
 
 def state_delta(states: DataFrame, keys: list[str], order: list[str], entropy: str = "s_total") -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import signal as op
 from ..operators import windows as win
+from ..operators.selection import with_aggregate
 from ..schemas import hits as hits_df
 from ..schemas import states as states_df
 from ..schemas import table
@@ -190,7 +191,7 @@ _PAIR = "pr AS (SELECT a.label, a.vec_id AS pair, unnest(range(0,64)) AS i, CAST
 def pairs(spark, d):
     e = table(spark, d, "embeddings")
     first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vb"), F.min("vec_id").alias("v"))
-    z = e.join(F.broadcast(first), "label").where("vec_id <> v")
+    z = with_aggregate(e, first, ["label"]).where("vec_id <> v")
     x = z.select("label", F.col("vec_id").alias("pair"), F.posexplode(F.arrays_zip("embedding", "vb")).alias("i", "p"))
     return x.select("label", "pair", "i", F.col("p.embedding").cast("double").alias("value_a"), F.col("p.vb").cast("double").alias("value_b"))
 

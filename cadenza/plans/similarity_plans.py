@@ -113,6 +113,12 @@ def c13(spark, d):
     return rounded(op.mean_pair_cosine(table(spark, d, "embeddings"), "label"))
 
 
+@add("c13_alike_tracks", f"WITH p AS (SELECT x.label AS a, y.label AS b, {cos_sql('x.embedding', 'y.embedding')} AS s FROM embeddings x JOIN embeddings y ON x.label < y.label) SELECT a, b, round(avg(s),6) AS similarity FROM p GROUP BY 1, 2 HAVING avg(s) >= 0.002")
+def c13_alike(spark, d):
+    out = op.alike_tracks(table(spark, d, "embeddings"), "label", 0.002)
+    return rounded(out.select(F.col("a").cast("int"), F.col("b").cast("int"), "similarity"))
+
+
 @add("c13_tempo_similarity", hits(", t AS (SELECT track_id, avg(velocity) AS tempo FROM h GROUP BY 1) SELECT x.track_id AS a, y.track_id AS b, round(least(x.tempo,y.tempo)/greatest(x.tempo,y.tempo),6) AS similarity FROM t x JOIN t y ON x.track_id % 100 = 0 AND x.track_id <> y.track_id"))
 def c13b(spark, d):
     t = hits_df(spark, d).groupBy("track_id").agg(F.avg("velocity").alias("tempo"))

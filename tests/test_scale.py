@@ -382,6 +382,27 @@ def test_peaks_by_blocks_equal_one_pass(spark):
     assert windows.non_max_by_priority(df.limit(0), ["k"], 3, block=16).count() == 0
 
 
+def test_alike_tracks_equal_all_pairs_and_are_few(spark):
+    """2,000 tracks in 200 families: the same pairs as of all, from few candidates."""
+    rng = np.random.default_rng(9)
+    family = rng.normal(size=(200, 16))
+    frames = [(t, (family[t % 200] + 0.2 * rng.normal(size=16)).tolist()) for t in range(2000) for _ in range(3)]
+    df = spark.createDataFrame([*frames, (5000, [0.0] * 16), (None, [1.0] * 16)], "track long, embedding array<double>")
+    unit = np.array([v for _, v in frames])
+    mean = (unit / np.linalg.norm(unit, axis=1)[:, None]).reshape(2000, 3, 16).mean(1)
+    all_pairs = mean @ mean.T
+    want = {(a, b) for a, b in zip(*np.nonzero(all_pairs >= 0.9), strict=True) if a < b}
+    got = {(r.a, r.b): r.similarity for r in similarity.alike_tracks(df, "track", 0.9).collect()}
+    assert set(got) == want and len(want) > 2000
+    assert all(abs(all_pairs[p] - s) < 1e-9 for p, s in got.items())
+    assert similarity.alike_tracks(df.limit(0), "track", 0.9).count() == 0
+    few = df.where("track < 40")
+    every = {(r.a, r.b): r.similarity for r in similarity.mean_pair_cosine(few, "track").collect()}
+    assert len(every) == 40 * 39 // 2 and all(abs(all_pairs[p] - s) < 1e-9 for p, s in every.items())
+    with pytest.raises(ValueError):
+        similarity.alike_tracks(df, "track", 0.0)
+
+
 def test_dtw_equals_the_full_matrix_and_skips_templates(spark):
     from cadenza.operators import rhythm
 
