@@ -211,11 +211,11 @@ def harmonic_clusters(pairs: DataFrame, modes: DataFrame, key: str = "track_id")
     end = lambda mode: F.struct(F.col(key).alias("t"), F.col(mode).alias("m"))
     found = min_label_components(pairs.select(end("i").alias("a"), end("j").alias("b")))
     lab = found.select(F.col("id.t").alias(key), F.col("id.m").alias("mode"), F.col("label.m").alias("cluster"))
-    m = lab.join(modes.select(key, "mode", "frequency"), [key, "mode"])
+    m = lab.join(modes.select(key, "mode", "frequency").hint("merge"), [key, "mode"])
     base = m.groupBy(key, "cluster").agg(F.min("frequency").alias("fundamental"), F.count(F.lit(1)).alias("size"))
     h = F.greatest(F.lit(1.0), F.bround(F.col("frequency") / F.col("fundamental")))
     other = F.when(F.col("frequency") > F.col("fundamental"), F.log(h)).otherwise(0.0)
-    return m.join(base.where("size >= 2"), [key, "cluster"]).groupBy(key, "cluster", "fundamental", "size").agg(F.sum(other).alias("log_product"), F.exp(F.sum(other)).alias("product"))
+    return m.join(base.where("size >= 2").hint("merge"), [key, "cluster"]).groupBy(key, "cluster", "fundamental", "size").agg(F.sum(other).alias("log_product"), F.exp(F.sum(other)).alias("product"))
 
 
 def coincidence_matrix(pairs: DataFrame, modes: DataFrame, key: str = "track_id") -> DataFrame:

@@ -4,7 +4,7 @@ import tracemalloc
 
 import numpy as np
 
-from cadenza.operators import similarity
+from cadenza.operators import entropy, joins, similarity
 
 
 def test_mean_pair_distance_by_tiles(spark):
@@ -29,3 +29,12 @@ def test_distances_in_bounded_memory():
     tracemalloc.stop()
     want = np.sqrt(((u[:50, None] - u[None]) ** 2).sum(-1)).sum()
     assert peak < 60e6 and abs(similarity._distance_sum(u[:50], u, 7) - want) < 1e-6 * want and total > 0
+
+
+def test_components_broadcast_nothing_that_grows(spark):
+    """Sides that grow with the edges are merged, however small they look packed: broadcast, they filled the driver."""
+    modes = spark.createDataFrame([(t, m, 50.0 * m, 1.0) for t in range(3) for m in (1, 2, 4, 7)], "track_id long, mode long, frequency double, amplitude double")
+    out = entropy.harmonic_clusters(joins.harmonic_pairs(modes, 0.005, 0.3), modes)
+    assert out.count() == 3
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
