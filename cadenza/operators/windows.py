@@ -7,11 +7,11 @@ largest unit; put a segment into the key where tracks are unbounded.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .carry import neighbours
+from .folds import picked
 from .peaks import greedy_by_height, non_max_by_priority, peak_positions, prominences  # noqa: F401
 from .selection import with_aggregate
 
@@ -111,18 +111,18 @@ def suppress_close(peaks: DataFrame, min_dist: float = 0.1, key: str = "track_id
     A fold over sessions of peaks that lie closer than ``min_dist``, whose state is the kept peak alone.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["time", "event_id"], kind="stable")
-        t, c = pdf["time"].to_numpy(), pdf["confidence"].to_numpy()
+    def pick(begins: np.ndarray, time: np.ndarray, confidence: np.ndarray) -> list[int]:
+        first, t, c = set(begins.tolist()), time.tolist(), confidence.tolist()
         kept: list[int] = []
         for i in range(len(t)):
-            if not kept or t[i] - t[kept[-1]] >= min_dist:
+            if i in first or t[i] - t[kept[-1]] >= min_dist:
                 kept.append(i)
             elif c[i] > c[kept[-1]]:
                 kept[-1] = i
-        return pdf.iloc[kept].drop(columns="_session")
+        return kept
 
-    return sessions(peaks, [key], "time", min_dist, "event_id").groupBy(key, "_session").applyInPandas(fold, peaks.schema)
+    parts = sessions(peaks, [key], "time", min_dist, "event_id")
+    return picked(parts, [key, "_session"], ["time", "event_id"], ["time", "confidence"], pick, peaks.columns)
 
 
 def rolling_max_peaks(df: DataFrame, keys: list[str], order: list[str], value: str, around: int = 20, delta: float = 0.5) -> DataFrame:
@@ -136,16 +136,16 @@ def wait_between(peaks: DataFrame, position: str, wait: float = 20, key: str = "
     """Peaks in order of position, each more than ``wait`` after the last one that was kept. A fold over sessions of peaks within
     ``wait`` of each other, whose state is one position."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(position, kind="stable")
-        kept, last = [], None
-        for i, p in enumerate(pdf[position].tolist()):
-            if last is None or p > last + wait:
+    def pick(begins: np.ndarray, at: np.ndarray) -> list[int]:
+        first, kept, last = set(begins.tolist()), [], None
+        for i, p in enumerate(at.tolist()):
+            if i in first or p > last + wait:
                 kept.append(i)
                 last = p
-        return pdf.iloc[kept].drop(columns="_session")
+        return kept
 
-    return sessions(peaks, [key], position, wait, strict=True).groupBy(key, "_session").applyInPandas(fold, peaks.schema)
+    parts = sessions(peaks, [key], position, wait, strict=True)
+    return picked(parts, [key, "_session"], [position], [position], pick, peaks.columns)
 
 
 def min_max(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Operators whose memory, groups or jobs grew with the input."""
 
+import time
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
-from cadenza.operators import entropy, joins, similarity
+from cadenza.operators import entropy, folds, joins, similarity, windows
 
 
 def test_mean_pair_distance_by_tiles(spark):
@@ -38,3 +40,34 @@ def test_components_broadcast_nothing_that_grows(spark):
     assert out.count() == 3
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_many_short_series_fold_in_one_task(spark):
+    """20,000 sessions of a few peaks, null track included: a group of its own for each took a minute and more."""
+    rng = np.random.default_rng(7)
+    n = 60_000
+    rows = sorted((int(t), float(x), int(i), float(c)) for i, (t, x, c) in enumerate(zip(rng.integers(0, 50, n), rng.integers(0, 20_000, n) / 4, rng.random(n), strict=True)))
+    frame = spark.createDataFrame([(None if t == 0 else t, x, i, c) for t, x, i, c in rows], "track_id long, time double, event_id long, confidence double").repartition(4)
+    frame.count()
+    began = time.time()
+    got = {r.event_id for r in windows.suppress_close(frame, 0.3).collect()}
+    assert time.time() - began < 30
+    kept: list[tuple] = []
+    for r in rows:
+        if not kept or kept[-1][0] != r[0] or r[1] - kept[-1][1] >= 0.3:
+            kept.append(r)
+        elif r[3] > kept[-1][3]:
+            kept[-1] = r
+    assert got == {r[2] for r in kept}
+
+
+def test_whole_series_in_any_batches():
+    rng = np.random.default_rng(8)
+    key = np.sort(rng.integers(0, 30, 400))
+    table = pa.table({"a": pa.array([None if k < 5 else int(k) for k in key], pa.int64()), "b": ["x" if k < 2 else None for k in key], "n": np.arange(400)})
+    for size in (1, 7, 50, 400):
+        pieces = list(folds.whole_series(iter(table.to_batches(max_chunksize=size)), ["a", "b"]))
+        assert pa.concat_tables([t for t, _ in pieces]).equals(table)
+        begins = np.concatenate([t["n"].to_numpy()[b] for t, b in pieces]).tolist()
+        assert begins == [i for i in range(400) if i == 0 or (max(key[i], 4), key[i] < 2) != (max(key[i - 1], 4), key[i - 1] < 2)]
+        assert all(len(b) for _, b in pieces) and list(folds.whole_series(iter([]), ["a"])) == []
