@@ -175,6 +175,7 @@ def stream_density(events: DataFrame, length: str = "5 seconds") -> DataFrame:
 def file_beats(frames: DataFrame, threshold: float = 0.5, min_interval: float = 0.2, unit: float = 1e6) -> DataFrame:
     """First frame of each run of active frames, then the tracker's least interval, session by session: a frame at least that far
     behind the one before is a beat whatever came before it."""
+    from ..operators.folds import picked
     from ..operators.windows import sessions
 
     w = Window.partitionBy("track_id").orderBy("us")
@@ -182,14 +183,15 @@ def file_beats(frames: DataFrame, threshold: float = 0.5, min_interval: float =
     first = frames.withColumn("_on", on).withColumn("_was", F.lag(on).over(w)).where("_on = 1 AND coalesce(_was, 0) = 0").select("track_id", "us")
     least = int(min_interval * unit)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        for t in sorted(pdf["us"].tolist()):
-            if not kept or t - kept[-1] >= least:
-                kept.append(t)
-        return pd.DataFrame({"track_id": pdf["track_id"].iloc[0], "us": kept})
+    def pick(begins: np.ndarray, us: np.ndarray) -> list[int]:
+        starts, kept, last = set(begins.tolist()), [], None
+        for i, t in enumerate(us.tolist()):
+            if i in starts or t - last >= least:
+                kept.append(i)
+                last = t
+        return kept
 
-    return sessions(first, ["track_id"], "us", least).groupBy("track_id", "_session").applyInPandas(fold, "track_id long, us long")
+    return picked(sessions(first, ["track_id"], "us", least), ["track_id", "_session"], ["us"], ["us"], pick, ["track_id", "us"])
 
 
 def on_beats(beats: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str):
