@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import written
+from .folds import picked
 from .selection import same
 
 BLOCK = 65_536  # rows of a block
@@ -146,13 +147,12 @@ def spread(peaks: DataFrame, keys: list[str], distance: int, block: int = BLOCK)
     if known.where("_unsure").isEmpty():
         return known.drop("_unsure")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pos")
-        kept, _ = decided(pdf["_pos"].to_numpy(), pdf["_x"].to_numpy(), distance)
-        return pdf[kept].drop(columns="_session")
+    def pick(begins: np.ndarray, at: np.ndarray, height: np.ndarray) -> np.ndarray:
+        ends = [*begins[1:].tolist(), len(at)]
+        return np.concatenate([a + np.flatnonzero(decided(at[a:z], height[a:z], distance)[0]) for a, z in zip(begins.tolist(), ends, strict=True)])
 
     chains = sessions(known.drop("_unsure"), keys, "_pos", distance)
-    return chains.groupBy(*keys, "_session").applyInPandas(fold, known.drop("_unsure").schema)
+    return picked(chains, [*keys, "_session"], ["_pos"], ["_pos", "_x"], pick, known.drop("_unsure").columns)
 
 
 def _beyond(first: np.ndarray, least: np.ndarray, height: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,26 +216,34 @@ def non_max_by_priority(series: DataFrame, keys: list[str], distance: int, promi
     """Rows of ``series`` that are peaks, the highest first, ``distance`` rows apart, with ``prominence`` of at least
     ``prominence_min``. Rows without a number as value are no part of a series; fewer than three rows have no peak.
 
-    ``block`` None is for keys that bound a series (tracks cut into segments): a series is then one group of one shuffle.
+    Series of at most ``block`` rows are picked whole, many in one task; longer ones in blocks. ``block`` None is for keys that
+    bound a series (tracks cut into segments), and spares the count.
     """
+    number = F.col(value).cast("double")
+    valid = series.where(number.isNotNull() & ~F.isnan(number))
     if block is None:
-        return _by_series(series, keys, distance, prominence_min, height, order, value)
-    rows = numbered(series, keys, order, value)
+        return _by_series(valid, keys, distance, prominence_min, height, order, value)
+    long = written(valid.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).select(*keys), "long-series")
+    if long.isEmpty():
+        return _by_series(valid, keys, distance, prominence_min, height, order, value)
+    short = _by_series(same(valid, long, keys, "left_anti"), keys, distance, prominence_min, height, order, value)
+    rows = numbered(same(valid, long, keys, "left_semi"), keys, order, value)
     peaks = tops(rows, keys, block)
     kept = written(spread(peaks if height is None else peaks.where(F.col("_x") >= height), keys, distance, block), "spread")
     found = prominence(rows, kept, keys, block).where(F.col("prominence") >= prominence_min)
-    return same(rows, found, [*keys, "_pos"]).select(*series.columns, "prominence")
+    return short.unionByName(same(rows, found, [*keys, "_pos"]).select(*series.columns, "prominence"))
 
 
 def _by_series(series: DataFrame, keys: list[str], distance: int, prominence_min: float, height: float | None, order: str, value: str) -> DataFrame:
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([order, value], kind="stable")
-        x = pdf[value].to_numpy(float)
-        at = peak_positions(x)
-        at = greedy_by_height(x, at if height is None else at[x[at] >= height], distance)
-        prom = prominences(x, at)
-        return pdf.iloc[at].assign(prominence=prom)[prom >= prominence_min]
-
-    schema = T.StructType([*series.schema.fields, T.StructField("prominence", T.DoubleType())])
-    number = F.col(value).cast("double")
-    return series.where(number.isNotNull() & ~F.isnan(number)).groupBy(*keys).applyInPandas(pick, schema)
+    def pick(begins: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows, proms = [np.zeros(0, int)], [np.zeros(0)]
+        for a, x in zip(begins.tolist(), np.split(values.astype(float), begins[1:]), strict=True):
+            at = peak_positions(x)
+            at = greedy_by_height(x, at if height is None else at[x[at] >= height], distance) if len(at) else at
+            if len(at):
+                prom = prominences(x, at)
+                rows.append(a + at[prom >= prominence_min])
+                proms.append(prom[prom >= prominence_min])
+        return np.concatenate(rows), np.concatenate(proms)
+
+    return picked(series, keys, [order, value], [value], pick, series.columns, T.StructField("prominence", T.DoubleType()))
