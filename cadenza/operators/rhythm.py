@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .folds import folded, numbers, picked
 from .joins import events_in_intervals
 from .windows import intervals
 
@@ -69,18 +72,20 @@ def pattern_length(hits: DataFrame, max_lag: int = 64, unit: float = 1e6) -> Dat
     """Per track and type: the sum of intervals up to the first peak of their autocorrelation, else four times the mean; 1.0 with fewer than two intervals."""
     from .windows import peak_positions
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        dt = np.diff(np.sort(pdf["us"].to_numpy())) / unit
+    def length(us: np.ndarray) -> float:
+        dt = np.diff(us) / unit
         if len(dt) < 2:
-            length = 1.0
-        else:
-            x = dt - dt.mean()
-            ac = np.array([x[: len(x) - k] @ x[k:] for k in range(min(max_lag, len(x)))])
-            at = peak_positions(ac)
-            length = float(dt[: at[0]].sum()) if len(at) else float(4 * dt.mean())
-        return pd.DataFrame({TR: [pdf[TR].iloc[0]], "type": [pdf["type"].iloc[0]], "length": [length]})
+            return 1.0
+        x = dt - dt.mean()
+        ac = np.array([x[: len(x) - k] @ x[k:] for k in range(min(max_lag, len(x)))])
+        at = peak_positions(ac)
+        return float(dt[: at[0]].sum()) if len(at) else float(4 * dt.mean())
+
+    def fold(table: pa.Table, begins: np.ndarray) -> pa.Table:
+        found = [length(us) for us in np.split(numbers(table, "us"), begins[1:])]
+        return table.select([TR, "type"]).take(pa.array(begins)).append_column("length", pa.array(found, pa.float64()))
 
-    return hits.select(TR, "type", "us").groupBy(TR, "type").applyInPandas(run, f"{TR} long, type string, length double")
+    return folded(hits.select(F.col(TR).cast("long").alias(TR), "type", "us"), [TR, "type"], ["us"], fold, f"{TR} long, type string, length double")
 
 
 def track_pattern_length(lengths: DataFrame) -> DataFrame:
@@ -228,31 +233,31 @@ def pattern_windows(env: DataFrame, template: list[float], threshold: float = 0.
     first = F.floor(F.greatest(F.col("_pos") - (n - 1), F.lit(0)) / block)
     dealt = numbered.withColumn("_block", F.explode(F.sequence(first, F.floor(F.col("_pos") / block))))
 
-    def correlate(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pos", kind="stable")
-        x, at = pdf["_x"].to_numpy(float), pdf["_pos"].to_numpy()
-        own = int((at // block == pdf["_block"].iloc[0]).sum())
-        last = min(own, len(x) - n + 1)
-        scores = np.zeros(max(last, 0))
-        for a in range(0, max(last, 0), 8192):
-            w = np.lib.stride_tricks.sliding_window_view(x[a : min(a + 8192, last) + n - 1], n)
-            scores[a : a + len(w)] = ((w - w.mean(1, keepdims=True)) / (w.std(1, keepdims=True) + 1e-12)) @ t / n
-        hit = np.flatnonzero(scores > threshold)
-        return pdf.iloc[hit][[*names, "_pos", "start"]].assign(score=scores[hit])
-
-    kinds = ", ".join(f"{k} {env.schema[k].dataType.simpleString()}" for k in names)
-    hits = dealt.groupBy(*names, "_block").applyInPandas(correlate, f"{kinds}, _pos long, start long, score double")
-
-    def skip(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pos", kind="stable")
-        kept, free = [], -1
-        for i, p in enumerate(pdf["_pos"].tolist()):
-            if p >= free:
+    def correlate(begins: np.ndarray, at: np.ndarray, of: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows, found = [np.zeros(0, int)], [np.zeros(0)]
+        for first, z in zip(begins.tolist(), [*begins[1:].tolist(), len(at)], strict=True):
+            x = values[first:z]
+            own = int((at[first:z] // block == of[first]).sum())
+            last = max(min(own, len(x) - n + 1), 0)
+            for a in range(0, last, 8192):
+                w = np.lib.stride_tricks.sliding_window_view(x[a : min(a + 8192, last) + n - 1], n)
+                scores = ((w - w.mean(1, keepdims=True)) / (w.std(1, keepdims=True) + 1e-12)) @ t / n
+                hit = np.flatnonzero(scores > threshold)
+                rows.append(first + a + hit)
+                found.append(scores[hit])
+        return np.concatenate(rows), np.concatenate(found)
+
+    hits = picked(dealt, [*names, "_block"], ["_pos"], ["_pos", "_block", "_x"], correlate, [*names, "_pos", "start"], T.StructField("score", T.DoubleType()))
+
+    def skip(begins: np.ndarray, at: np.ndarray) -> list[int]:
+        first, kept, free = set(begins.tolist()), [], -1
+        for i, p in enumerate(at.tolist()):
+            if i in first or p >= free:
                 kept.append(i)
                 free = p + n
-        return pdf.iloc[kept][[*names, "start", "score"]]
+        return kept
 
-    return sessions(hits, names, "_pos", n).groupBy(*names, "_session").applyInPandas(skip, f"{kinds}, start long, score double")
+    return picked(sessions(hits, names, "_pos", n), [*names, "_session"], ["_pos"], ["_pos"], skip, [*names, "start", "score"])
 
 
 def dtw_mean(a: np.ndarray, b: np.ndarray, beyond: float = np.inf) -> float:
