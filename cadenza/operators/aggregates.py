@@ -150,8 +150,9 @@ def beat_statistics(beats: DataFrame, hits: DataFrame, key: str = "track_id") ->
 
 
 def average_predictions(scores: DataFrame, threshold: float = 0.6, top_k: int = 5, key: str = "track_id") -> DataFrame:
-    """Mean score per label over a track's batches, at least the threshold, the best ``top_k``."""
-    mean = scores.groupBy(key, "label").agg(F.avg("score").alias("score")).where(F.col("score") >= threshold)
+    """Mean score per label over a track's batches, at least the threshold, the best ``top_k``. Means count to nine decimals, so
+    that the order of summation decides nothing."""
+    mean = scores.groupBy(key, "label").agg(F.avg("score").alias("score")).where(F.round("score", 9) >= threshold)
     w = Window.partitionBy(key).orderBy(F.desc(F.round("score", 9)), "label")
     return mean.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
 
