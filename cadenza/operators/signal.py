@@ -274,11 +274,12 @@ def transition_candidates(novelty: DataFrame, distance: int, prominence: float,
 
 
 def classify_transition(bands: DataFrame, key: str = "transition_id") -> DataFrame:
-    """Rows (key, band, energy_change, flux, activity, prominence) to type, active bands and confidence."""
-    active = F.abs("energy_change") > 0.1
+    """Rows (key, band, energy_change, flux, activity, prominence) to type, active bands and confidence. Changes and fluxes meet
+    their limits to nine decimals, so that the order of summation decides nothing."""
+    active = F.round(F.abs("energy_change"), 9) > 0.1
     by = bands.groupBy(key).agg(
         F.sum(active.cast("int")).alias("n_active"), F.max((active & (F.col("band") == "bass")).cast("int")).alias("_bass"),
-        F.max((active & F.col("band").contains("high")).cast("int")).alias("_high"), F.max("flux").alias("_flux"),
+        F.max((active & F.col("band").contains("high")).cast("int")).alias("_high"), F.round(F.max("flux"), 9).alias("_flux"),
         F.array_sort(F.collect_set(F.when(active, F.col("band")))).alias("components"),
         F.avg(F.abs("energy_change")).alias("_stab"), F.stddev_pop("activity").alias("_act"), F.max("prominence").alias("_prom"),
     )

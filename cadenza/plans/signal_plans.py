@@ -164,8 +164,8 @@ _BN = "CASE l_linenumber % 4 WHEN 0 THEN 'bass' WHEN 1 THEN 'mid' WHEN 2 THEN 'h
 
 
 @add("f19_classify_transition", f"""WITH b AS (SELECT l_suppkey AS transition_id, {_BN} AS band, avg(l_discount)*2.2 AS energy_change, avg(l_tax)*4 AS flux, avg(l_quantity)/100 AS activity, max(l_discount)*4 AS prominence FROM lineitem GROUP BY 1, 2),
-g AS (SELECT transition_id, sum(CASE WHEN abs(energy_change)>0.1 THEN 1 ELSE 0 END) AS n, max(CASE WHEN abs(energy_change)>0.1 AND band='bass' THEN 1 ELSE 0 END) AS bs, max(CASE WHEN abs(energy_change)>0.1 AND band LIKE '%high%' THEN 1 ELSE 0 END) AS hg, max(flux) AS fx,
-  string_agg(CASE WHEN abs(energy_change)>0.1 THEN band END, ',' ORDER BY band) AS comp, avg(abs(energy_change)) AS st, stddev_pop(activity) AS ac, max(prominence) AS pr FROM b GROUP BY 1)
+g AS (SELECT transition_id, sum(CASE WHEN round(abs(energy_change),9)>0.1 THEN 1 ELSE 0 END) AS n, max(CASE WHEN round(abs(energy_change),9)>0.1 AND band='bass' THEN 1 ELSE 0 END) AS bs, max(CASE WHEN round(abs(energy_change),9)>0.1 AND band LIKE '%high%' THEN 1 ELSE 0 END) AS hg, round(max(flux),9) AS fx,
+  string_agg(CASE WHEN round(abs(energy_change),9)>0.1 THEN band END, ',' ORDER BY band) AS comp, avg(abs(energy_change)) AS st, stddev_pop(activity) AS ac, max(prominence) AS pr FROM b GROUP BY 1)
 SELECT transition_id, CASE WHEN n<=2 AND bs=1 THEN 'swap' WHEN fx<0.05 THEN 'fade' WHEN fx>0.2 THEN 'cut' WHEN hg=1 THEN 'filter' ELSE 'blend' END AS type, CAST(n AS BIGINT) AS n_active, coalesce(comp,'') AS components, round(least(1,2*pr)*(1-least(1,st))*(1-least(1,2*ac)),6) AS confidence FROM g""")
 def f19b(spark, d):
     b = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("transition_id"), F.expr(_BN).alias("band")).agg((F.avg("l_discount") * 2.2).alias("energy_change"), (F.avg("l_tax") * 4).alias("flux"), (F.avg("l_quantity") / 100).alias("activity"), (F.max("l_discount") * 4).alias("prominence"))
