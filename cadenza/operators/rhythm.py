@@ -153,16 +153,17 @@ def weighted_syncopation(cells: DataFrame, weights: dict[str, float], key: str =
 
 
 def ghost_cells(cells: DataFrame, keys: list[str], ratio: float = 0.5) -> DataFrame:
-    """Cells above zero and below ``ratio`` of their grid's mean."""
+    """Cells above zero and below ``ratio`` of their grid's mean, to nine decimals, so that the order of summation decides nothing."""
     m = F.avg("velocity").over(Window.partitionBy(*keys))
-    return cells.withColumn("_m", m).where((F.col("velocity") > 0) & (F.col("velocity") < ratio * F.col("_m"))).drop("_m")
+    return cells.withColumn("_m", m).where((F.col("velocity") > 0) & (F.round(ratio * F.col("_m") - F.col("velocity"), 9) > 0)).drop("_m")
 
 
 def groove_density(frames: DataFrame, keys: list[str], order: list[str], parts: int, value: str = "velocity") -> DataFrame:
-    """Share of rows above the mean of their part, averaged over ``parts`` equal parts."""
+    """Share of rows above the mean of their part, averaged over ``parts`` equal parts. A row is above the mean to nine
+    decimals, so that the order of summation decides nothing."""
     x = frames.withColumn("_part", F.ntile(parts).over(Window.partitionBy(*keys).orderBy(*order)))
     x = x.withColumn("_m", F.avg(value).over(Window.partitionBy(*keys, "_part")))
-    by = x.groupBy(*keys, "_part").agg(F.avg((F.col(value) > F.col("_m")).cast("double")).alias("_s"))
+    by = x.groupBy(*keys, "_part").agg(F.avg((F.round(F.col(value) - F.col("_m"), 9) > 0).cast("double")).alias("_s"))
     return by.groupBy(*keys).agg(F.avg("_s").alias("density"))
 
 

@@ -141,12 +141,16 @@ def r12b(spark, d):
     return rounded(op.weighted_syncopation(g, {"purchase": 1.0, "click": 0.8, "view": 0.5}).join(ok, "track_id", "left_semi"), 5)
 
 
-@add("r13_ghost_cells", hits(f", {GRID}, m AS (SELECT *, avg(velocity) OVER (PARTITION BY track_id, type) AS m FROM gr) SELECT track_id, type, cell, velocity FROM m WHERE velocity>0 AND velocity<0.5*m"))
+# of hits of a cell at one time the last event, as the operator's grid has it
+_LAST_GRID = GRID.replace("arg_max(velocity, us)", "arg_max(velocity, struct_pack(u := us, e := event_id))")
+
+
+@add("r13_ghost_cells", hits(f", {_LAST_GRID}, m AS (SELECT *, avg(velocity) OVER (PARTITION BY track_id, type) AS m FROM gr) SELECT track_id, type, cell, velocity FROM m WHERE velocity>0 AND round(0.5*m-velocity,9)>0"))
 def r13(spark, d):
     return op.ghost_cells(grid(spark, d), ["track_id", "type"])
 
 
-@add("r14_groove_density", hits(""", p AS (SELECT *, ntile(4) OVER (PARTITION BY track_id ORDER BY us, event_id) AS part FROM h), m AS (SELECT *, avg(velocity) OVER (PARTITION BY track_id, part) AS m FROM p), s AS (SELECT track_id, part, avg(CASE WHEN velocity>m THEN 1.0 ELSE 0.0 END) AS s FROM m GROUP BY 1, 2)
+@add("r14_groove_density", hits(""", p AS (SELECT *, ntile(4) OVER (PARTITION BY track_id ORDER BY us, event_id) AS part FROM h), m AS (SELECT *, avg(velocity) OVER (PARTITION BY track_id, part) AS m FROM p), s AS (SELECT track_id, part, avg(CASE WHEN round(velocity-m,9)>0 THEN 1.0 ELSE 0.0 END) AS s FROM m GROUP BY 1, 2)
 SELECT track_id, round(avg(s),6) AS density FROM s GROUP BY 1"""))
 def r14(spark, d):
     return rounded(op.groove_density(hits_df(spark, d), TR, ORD, 4))
