@@ -89,3 +89,21 @@ def test_limits_met_exactly_whatever_the_order_of_summation(spark):
     cols = "transition_id long, band string, energy_change double, flux double, activity double, prominence double"
     out = signal.classify_transition(spark.createDataFrame([tuple(float(x) if isinstance(x, np.floating) else x for x in r) for r in bands], cols)).collect()
     assert {(r.type, r.n_active, r.components) for r in out} == {("blend", 0, "")}
+
+
+def test_harmonic_pairs_equal_all_pairs(spark):
+    """Pruned multiples and quiet modes lose no pair, at wide and narrow tolerances."""
+    rng = np.random.default_rng(9)
+    rows = [(t, m, float(f), float(a)) for t in range(4) for m, (f, a) in enumerate(zip(rng.integers(-2, 60, 25) * 2.5, rng.integers(0, 40, 25) / 2, strict=True))]
+    modes = spark.createDataFrame(rows, "track_id long, mode long, frequency double, amplitude double")
+    for tol, least, most in ((0.02, 0.1, 16), (0.3, 0.5, 4), (0.005, 0.3, 16)):
+        want = {}
+        for t, i, f, a in rows:
+            loudest = max(r[3] for r in rows if r[0] == t)
+            for u, j, g, b in rows:
+                if t == u and i != j and f > 0 and g > 0 and (f, i) < (g, j) and a * b >= 0 and np.sqrt(a * b) / loudest >= least:
+                    k = [k for k in range(1, most + 1) if abs(g / f - k) / k < tol]
+                    if k:
+                        want[t, i, j] = k[0]
+        got = {(r.track_id, r.i, r.j): r.k for r in joins.harmonic_pairs(modes, tol, least, most).collect()}
+        assert got == want
