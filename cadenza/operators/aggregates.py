@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from .selection import quantiles, same
 
 
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson correlation over the rows where both are known; null where one of them doesn't vary. ``corr`` divides by zero there,
+    which is an error in ANSI mode."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    both = a.isNotNull() & b.isNotNull()
+    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def hit_stats_by_type(hits: DataFrame) -> DataFrame:
     """Per type: hits, share in percent, mean confidence and velocity. One shuffle; the share is over the few aggregated rows."""
     by = hits.groupBy("type").agg(F.count(F.lit(1)).alias("hits"), F.avg("confidence").alias("avg_confidence"), F.avg("velocity").alias("avg_velocity"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .aggregates import correlation
 from .joins import dot
 from .windows import peak_positions
 
@@ -203,7 +204,7 @@ def stereo(samples: DataFrame, key: str = "track_id") -> DataFrame:
     side, mid = (F.col("left") - F.col("right")) / 2, (F.col("left") + F.col("right")) / 2
     root = lambda c: F.sqrt(F.avg(c * c))
     el, er = F.sum(F.col("left") * F.col("left")), F.sum(F.col("right") * F.col("right"))
-    return samples.groupBy(key).agg((root(side) / (root(mid) + EPS)).alias("width"), ((er - el) / (er + el + EPS)).alias("pan"), F.corr("left", "right").alias("correlation"))
+    return samples.groupBy(key).agg((root(side) / (root(mid) + EPS)).alias("width"), ((er - el) / (er + el + EPS)).alias("pan"), correlation("left", "right").alias("correlation"))
 
 
 def band_energy(bins: DataFrame, bands: list[tuple[str, float, float]], key: str = "track_id") -> DataFrame:
@@ -315,7 +316,7 @@ def fidelity(pairs: DataFrame, keys: list[str], a: str = "value_a", b: str = "va
     err = F.col(a) - F.col(b)
     power, noise = F.avg(F.col(a) * F.col(a)), F.avg(err * err)
     return pairs.groupBy(*keys).agg(
-        F.when(noise > 0, 10 * F.log10(power / noise)).otherwise(float("inf")).alias("snr_db"), F.abs(F.corr(a, b)).alias("correlation"),
+        F.when(noise > 0, 10 * F.log10(power / noise)).otherwise(float("inf")).alias("snr_db"), F.abs(correlation(a, b)).alias("correlation"),
         noise.alias("mse"), F.max(F.abs(err)).alias("max_error"), F.sqrt(noise / F.nullif(power, F.lit(0.0))).alias("nrmse"),
     )
 
@@ -360,7 +361,7 @@ def component_relations(components: DataFrame, key: str = "track_id", idx: str =
     b = components.select(key, F.col("component").alias("b"), idx, F.col(value).alias("vb"))
     j = a.join(b, [key, idx]).where("a < b")
     ab, aa, bb = F.sum(F.col("va") * F.col("vb")), F.sum(F.col("va") * F.col("va")), F.sum(F.col("vb") * F.col("vb"))
-    out = j.groupBy(key, "a", "b").agg(F.corr("va", "vb").alias("correlation"), (ab / F.nullif(F.sqrt(aa * bb), F.lit(0.0))).alias("overlap"), (aa / F.nullif(bb, F.lit(0.0))).alias("energy_ratio"))
+    out = j.groupBy(key, "a", "b").agg(correlation("va", "vb").alias("correlation"), (ab / F.nullif(F.sqrt(aa * bb), F.lit(0.0))).alias("overlap"), (aa / F.nullif(bb, F.lit(0.0))).alias("energy_ratio"))
     return out.where((F.col("correlation") > least) | (F.col("overlap") > least))
 
 

@@ -107,3 +107,16 @@ def test_harmonic_pairs_equal_all_pairs(spark):
                         want[t, i, j] = k[0]
         got = {(r.track_id, r.i, r.j): r.k for r in joins.harmonic_pairs(modes, tol, least, most).collect()}
         assert got == want
+
+
+def test_constant_components_have_no_correlation(spark):
+    """Values that don't vary: ``corr`` divided by zero, an error in ANSI mode, once a track's component was alike on two days."""
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    values = {"x": [2.0, 2.0, 2.0], "y": [1.0, 3.0, None], "z": [2.0, 6.0, 1.0], "o": [7.0], "n": [0.0, 0.0]}
+    c = spark.createDataFrame([(1, k, i, v) for k, vs in values.items() for i, v in enumerate(vs)], "track_id long, component string, idx long, value double")
+    got = {(r.a, r.b): (r.correlation, r.overlap) for r in signal.component_relations(c).collect()}
+    assert got["x", "z"][0] is None and abs(got["x", "z"][1] - 18 / np.sqrt(12 * 41)) < 1e-12
+    assert abs(got["y", "z"][0] - 1) < 1e-12 and got["o", "x"] == (None, 1.0) and ("n", "x") not in got
+    pairs = spark.createDataFrame([(1, 2.0, 2.0), (1, 2.0, 3.0)], "k int, value_a double, value_b double")
+    assert signal.fidelity(pairs, ["k"]).first().correlation is None
+    assert similarity.correlation_matrix(pairs, ["value_a", "value_b"]).first().r is None
