@@ -120,3 +120,45 @@ def test_constant_components_have_no_correlation(spark):
     pairs = spark.createDataFrame([(1, 2.0, 2.0), (1, 2.0, 3.0)], "k int, value_a double, value_b double")
     assert signal.fidelity(pairs, ["k"]).first().correlation is None
     assert similarity.correlation_matrix(pairs, ["value_a", "value_b"]).first().r is None
+
+
+def test_query_sets_meet_rows_in_blocks(spark, monkeypatch):
+    """Pairs are not rows of a join: a block of rows is shuffled once for a block of queries. Copies tie, null and empty vectors
+    have cosine 0, envelopes have several lengths, classes may lack a phase; few pairs at a time, in one set of texts or several."""
+    monkeypatch.setattr(joins, "ROWS", 40)
+    monkeypatch.setattr(joins, "QUERIES", 7)
+    rng = np.random.default_rng(8)
+    v = [rng.normal(size=3).tolist() for _ in range(60)]
+    v[3], v[4], v[5], v[6] = v[7], v[7], [0.0] * 3, None
+    frame = spark.createDataFrame(list(enumerate(v)), "i long, v array<float>")
+    texts, audio = frame.where("i % 3 = 0").toDF("text_id", "text"), frame.toDF("audio_id", "audio")
+    w = audio.crossJoin(texts).select("audio_id", "text_id", joins.cosine("audio", "text").alias("s")).collect()
+    for ranked in (65_536, 5):
+        monkeypatch.setattr(joins, "RANKED", ranked)
+        out = joins.rank_queries(audio, texts)
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {(r.audio_id, r.text_id): (r.similarity, r.rank) for r in out.collect()}
+        assert len(got) == len(w)
+        for a in range(60):
+            order = sorted((-r.s, r.text_id) for r in w if r.audio_id == a)
+            assert [got[a, t] for _, t in order] == [(-s, k) for k, (s, _) in enumerate(order, 1)]
+    envs = {i: rng.normal(size=n).tolist() for i, n in enumerate([5, 9, 9, 1, 0, 5, 30, 9])} | {8: [0.0] * 5, 9: [-1.0]}
+    for lags in (1 << 20, 60):
+        monkeypatch.setattr(similarity, "LAGS", lags)
+        out = similarity.onset_correlation(spark.createDataFrame(list(envs.items()), "track_id long, env array<double>"), "track_id % 2 = 0")
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {(r.a, r.b): r.similarity for r in out.collect()}
+        assert set(got) == {(a, b) for a in envs for b in envs if a % 2 == 0 and a != b}
+        for (a, b), s in got.items():
+            x, y = np.array(envs[a]), np.array(envs[b])
+            top = np.abs(x).max(initial=0) * np.abs(y).max(initial=0)
+            assert abs(s - (np.correlate(x, y, "full").max() / top if top else 0)) < 1e-12
+    p = {1: {0: 0.3, 1: 200.0}, 2: {1: 5.0, 2: 1.0}, 3: {0: None, 1: 2.0}, 4: {2: 0.0}, 5: {0: None}, 6: {}}
+    rows = [(t, m, x) for t, c in p.items() for m, x in c.items()]
+    out = similarity.interference_visibility(spark.createDataFrame(rows, "track_id long, mode_index long, phase double"), "track_id < 4")
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.a, r.b): r.visibility for r in out.collect()}
+    assert set(got) == {(a, b) for a in (1, 2, 3) for b in p if a != b and set(p[a]) & set(p[b])}
+    for (a, b), s in got.items():
+        d = [p[a][m] - p[b][m] for m in set(p[a]) & set(p[b]) if None not in (p[a][m], p[b][m])]
+        assert s is None if not d else abs(s - abs(np.exp(1j * np.array(d)).mean())) < 1e-9
