@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import written
-from .metric_cells import matrix, pivots, unit
+from .metric_cells import STRIP, matrix, pivots, spread, unit
 
 #: Rounding that bounds allow for.
 SLACK = 1e-6
@@ -26,8 +26,9 @@ def _assigned(units: DataFrame, centres: np.ndarray) -> DataFrame:
     """(cell, id, v, near) of (id, v): the nearest of the centres and the distance to it."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
+        for batch in batches:
+            for i in range(0, len(batch), STRIP):
+                pdf = batch.iloc[i : i + STRIP]
                 d = _chords(matrix(pdf["v"]), centres)
                 cell = d.argmin(1)
                 yield pdf.assign(cell=cell.astype(np.int32), near=d[np.arange(len(d)), cell])[["cell", "id", "v", "near"]]
@@ -89,27 +90,28 @@ def _plan(queries: DataFrame, centres: np.ndarray, reach: np.ndarray, sizes: np.
     ``first`` rows together (and only these), or else all whose best possible cosine is ``least`` or more."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            q = matrix(pdf["q"])
-            far = np.maximum(_chords(q, centres) - reach[None, :] - SLACK, 0)
-            best = np.where(sizes[None, :] > 0, 1 - far**2 / 2, -np.inf)
-            floor = np.full(len(pdf), least) if least is not None else pdf["least"].to_numpy() if first is None else np.full(len(pdf), -2.0)
-            if first is None:
-                at, cell = np.nonzero(best >= floor[:, None] - SLACK)
-            else:
-                order = np.argsort(-best, axis=1, kind="stable")
-                before = np.cumsum(sizes[order], axis=1) - sizes[order]
-                at, place = np.nonzero((before < first) & (sizes[order] > 0))
-                cell = order[at, place]
-            yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy()[at], "q": pdf["q"].to_numpy()[at], "cell": cell.astype(np.int32), "least": floor[at]})
-
+        for batch in batches:
+            for i in range(0, len(batch), STRIP):
+                pdf = batch.iloc[i : i + STRIP]
+                far = np.maximum(_chords(matrix(pdf["q"]), centres) - reach[None, :] - SLACK, 0)
+                best = np.where(sizes[None, :] > 0, 1 - far**2 / 2, -np.inf)
+                floor = np.full(len(pdf), least) if least is not None else pdf["least"].to_numpy() if first is None else np.full(len(pdf), -2.0)
+                if first is None:
+                    met = [np.flatnonzero(b >= f - SLACK) for b, f in zip(best, floor, strict=True)]
+                else:
+                    order = np.argsort(-best, axis=1, kind="stable")
+                    before = np.cumsum(sizes[order], axis=1) - sizes[order]
+                    met = [o[(n < first) & (sizes[o] > 0)] for o, n in zip(order, before, strict=True)]
+                cells = pd.Series([m.astype(np.int32) for m in met], index=pdf.index, dtype=object)
+                yield pd.DataFrame({"query_id": pdf["query_id"], "q": pdf["q"], "cells": cells, "least": floor})
+
+    # a query once, with its cells' numbers: it is copied where Spark unpacks them, not in Python
     kind = queries.schema["query_id"].dataType.simpleString()
-    return queries.mapInPandas(rows, f"query_id {kind}, q array<double>, cell int, least double")
+    found = queries.mapInPandas(rows, f"query_id {kind}, q array<double>, cells array<int>, least double")
+    return found.select("query_id", "q", F.explode("cells").alias("cell"), "least")
 
 
-def _scored(index: VectorIndex, planned: DataFrame, sizes: DataFrame, k: int | None, block: int = 2048) -> DataFrame:
+def _scored(index: VectorIndex, planned: DataFrame, sizes: DataFrame, k: int | None, block: int = 1024) -> DataFrame:
     """(query_id, id, score, n) of planned queries against their cells, at ``least`` or more; with ``k`` the best k (and ties by id) of
     each block. A block of a cell and a block of its queries are one product in one task; ``n`` on a block's first row of a
     query says how many rows it was scored against."""
@@ -134,7 +136,8 @@ def _scored(index: VectorIndex, planned: DataFrame, sizes: DataFrame, k: int | N
         return pd.DataFrame({"query_id": x["query_id"].to_numpy()[at], "id": y["id"].to_numpy()[col], "score": found[at, col], "n": n})
 
     kinds = [df.schema[c].dataType.simpleString() for df, c in ((planned, "query_id"), (index.rows, "id"))]
-    return left.groupBy("cell", "b", "c").cogroup(right.groupBy("cell", "b", "c")).applyInPandas(product, f"query_id {kinds[0]}, id {kinds[1]}, score double, n long")
+    key = ["cell", "b", "c"]
+    return spread(left, *key).groupBy(*key).cogroup(spread(right, *key).groupBy(*key)).applyInPandas(product, f"query_id {kinds[0]}, id {kinds[1]}, score double, n long")
 
 
 def _bounds(index: VectorIndex, centres: np.ndarray) -> tuple[DataFrame, np.ndarray, np.ndarray]:

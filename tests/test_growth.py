@@ -143,16 +143,18 @@ def test_query_sets_meet_rows_in_blocks(spark, monkeypatch):
             order = sorted((-r.s, r.text_id) for r in w if r.audio_id == a)
             assert [got[a, t] for _, t in order] == [(-s, k) for k, (s, _) in enumerate(order, 1)]
     envs = {i: rng.normal(size=n).tolist() for i, n in enumerate([5, 9, 9, 1, 0, 5, 30, 9])} | {8: [0.0] * 5, 9: [-1.0]}
-    for lags in (1 << 20, 60):
-        monkeypatch.setattr(similarity, "LAGS", lags)
-        out = similarity.onset_correlation(spark.createDataFrame(list(envs.items()), "track_id long, env array<double>"), "track_id % 2 = 0")
-        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
-        got = {(r.a, r.b): r.similarity for r in out.collect()}
-        assert set(got) == {(a, b) for a in envs for b in envs if a % 2 == 0 and a != b}
-        for (a, b), s in got.items():
-            x, y = np.array(envs[a]), np.array(envs[b])
-            top = np.abs(x).max(initial=0) * np.abs(y).max(initial=0)
-            assert abs(s - (np.correlate(x, y, "full").max() / top if top else 0)) < 1e-12
+    out = similarity.onset_correlation(spark.createDataFrame(list(envs.items()), "track_id long, env array<double>"), "track_id % 2 = 0")
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.a, r.b): r.similarity for r in out.collect()}
+    assert set(got) == {(a, b) for a in envs for b in envs if a % 2 == 0 and a != b}
+    arrays = [np.array(envs[i]) for i in range(len(envs))]
+    monkeypatch.setattr(similarity, "LAGS", 60)  # long envelopes one by one
+    single = similarity._greatest_correlations(arrays, arrays)
+    for (a, b), s in got.items():
+        x, y = arrays[a], arrays[b]
+        top = np.abs(x).max(initial=0) * np.abs(y).max(initial=0)
+        want = np.correlate(x, y, "full").max() / top if top else 0
+        assert abs(s - want) < 1e-12 and abs(single[a, b] - want) < 1e-12
     p = {1: {0: 0.3, 1: 200.0}, 2: {1: 5.0, 2: 1.0}, 3: {0: None, 1: 2.0}, 4: {2: 0.0}, 5: {0: None}, 6: {}}
     rows = [(t, m, x) for t, c in p.items() for m, x in c.items()]
     out = similarity.interference_visibility(spark.createDataFrame(rows, "track_id long, mode_index long, phase double"), "track_id < 4")
@@ -162,3 +164,39 @@ def test_query_sets_meet_rows_in_blocks(spark, monkeypatch):
     for (a, b), s in got.items():
         d = [p[a][m] - p[b][m] for m in set(p[a]) & set(p[b]) if None not in (p[a][m], p[b][m])]
         assert s is None if not d else abs(s - abs(np.exp(1j * np.array(d)).mean())) < 1e-9
+
+
+def test_vectors_that_nothing_separates_are_shuffled_seldom(spark, monkeypatch):
+    """Random vectors, no pair of which a threshold rules out by cells: each was shuffled about n / 256 times, and its copies were
+    made in Python. Pairs come a few at a time."""
+    rng = np.random.default_rng(9)
+    n, sent, real = 2500, [], joins.meeting
+    v = rng.normal(size=(n, 8))
+    df = spark.createDataFrame([(i, 0, x.tolist()) for i, x in enumerate(v)], "id long, g int, embedding array<double>")
+    monkeypatch.setattr(joins, "meeting", lambda cells, block: sent.append(real(cells, block)) or sent[-1])
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    assert joins.similar_pairs(df, "g", threshold=0.5).count() == (np.triu(unit @ unit.T, 1) >= 0.5).sum() and sent[0].count() <= 2 * n
+    monkeypatch.setattr(joins, "PAIRS", 1000)
+    assert joins.similar_pairs(df, "g", threshold=0.5, block=600).count() == (np.triu(unit @ unit.T, 1) >= 0.5).sum()
+    far = np.sqrt(np.maximum(((v[:, None, :2] - v[None, :, :2]) ** 2).sum(-1), 0))
+    flat = df.selectExpr("id", "g", "slice(embedding, 1, 2) AS embedding")
+    assert joins.similar_pairs(flat, "g", threshold=0.3, block=600, euclid=True).count() == (np.triu(far <= 0.3, 1) & np.triu(np.ones((n, n), bool), 1)).sum()
+
+
+def test_ward_skips_groups_that_are_gone():
+    """Far from the origin, with copies and ties, as by all distances; 4,000 rows took several times as long by differences."""
+    rng = np.random.default_rng(10)
+    far = np.concatenate([rng.normal(size=(40, 3)) + 1e7, np.repeat(rng.normal(size=(5, 3)), 4, 0), np.round(rng.normal(size=(30, 3)))])
+    got, centres, sizes = np.arange(len(far)), far.copy(), np.ones(len(far))
+    left = list(range(len(far)))
+    while len(left) > 6:
+        added = {(i, j): sizes[i] * sizes[j] / (sizes[i] + sizes[j]) * ((centres[i] - centres[j]) ** 2).sum() for i in left for j in left if i < j}
+        i, j = min(added, key=lambda k: (added[k], k))
+        centres[i] = (sizes[i] * centres[i] + sizes[j] * centres[j]) / (sizes[i] + sizes[j])
+        sizes[i] += sizes[j]
+        left.remove(j)
+        got[got == j] = i
+    assert similarity.ward(far, 6).tolist() == got.tolist()
+    began = time.time()
+    similarity.ward(rng.normal(size=(4000, 64)), 1333)
+    assert time.time() - began < 5  # 2 s; by differences 7
