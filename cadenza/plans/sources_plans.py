@@ -116,8 +116,7 @@ def _folder(spark, name):
 @add("s3_read_results", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def s3(spark, d):
     path, s = _folder(spark, "results"), table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
-    s.write.option("maxRecordsPerFile", 1).json(path)
-    return op.read_results(spark, [path], s.schema).drop("file")
+    return op.read_results(spark, op.write_documents(s, path), s.schema).drop("file")
 
 
 @add("s4_discover_files", "SELECT DISTINCT o_orderstatus AS folder FROM orders")

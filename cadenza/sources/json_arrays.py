@@ -29,15 +29,18 @@ _STEP[[ord("{"), ord("[")]] = 1
 _STEP[[ord("}"), ord("]")]] = -1
 
 
-def read_range(path: str, offset: int, length: int) -> bytes:
-    """Bytes of a file below any file system that pyarrow knows."""
+def located(path: str) -> tuple:
+    """(file system, name there) of a path below any file system that pyarrow knows."""
     from pyarrow import fs
 
     scheme, _, rest = path.partition(":")
     if scheme in ("file", "") or not rest:
-        where, name = fs.LocalFileSystem(), "/" + (rest or path).lstrip("/")
-    else:
-        where, name = fs.FileSystem.from_uri(path.replace("s3a:", "s3:", 1))
+        return fs.LocalFileSystem(), "/" + (rest or path).lstrip("/")
+    return fs.FileSystem.from_uri(path.replace("s3a:", "s3:", 1))
+
+
+def read_range(path: str, offset: int, length: int) -> bytes:
+    where, name = located(path)
     with where.open_input_file(name) as f:
         return f.read_at(length, offset)
 

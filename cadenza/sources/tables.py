@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +13,7 @@ from pyspark.sql import types as T
 from . import json_arrays
 
 AUDIO = ("wav", "mp3", "flac", "ogg", "m4a", "aac")
+DOCUMENTS = 5000  # files that a task writes into its folder
 
 
 def read_hits_json(spark: SparkSession, path: str, schema: T.StructType, array: bool = False) -> DataFrame:
@@ -26,12 +31,48 @@ def flatten_events(docs: DataFrame, holders: tuple[str, ...], keep: tuple[str, .
 
 def read_results(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
     """Result documents with ``file`` (the stem of the file's name); unreadable files go."""
+    if not paths:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("file", T.StringType())]))
     bad = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     rows = spark.read.schema(bad).option("columnNameOfCorruptRecord", "_corrupt").json(paths, multiLine=True, pathGlobFilter="*.json")
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
     return rows.withColumn("file", name).where("_corrupt IS NULL").drop("_corrupt")
 
 
+def _documents(root: str):
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n = uuid.uuid4().hex, 0
+        where, name = json_arrays.located(f"{root}/{own}")
+        where.create_dir(name)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                with where.open_output_stream(f"{name}/{own}-{n}.json") as f:
+                    f.write(text.encode())
+                n += 1
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([f"{root}/{own}"])], names=["folder"])
+
+    return write
+
+
+def write_documents(df: DataFrame, path: str) -> list[str]:
+    """Every row as a JSON document in a file of its own, written by all tasks; returns the folders below ``path`` that hold them.
+    A task that is run again fills a new folder, and only the folders of tasks that were done are returned. Spark's writer takes
+    milliseconds a file, as it commits each; it is used in stores that Spark alone can open."""
+    spark = df.sparkSession
+    df.write.json(f"{path}/rows")
+    rows = spark.read.text(f"{path}/rows")
+    n = rows.count()
+    if n == 0:
+        return []
+    parts = max(min(n, spark.sparkContext.defaultParallelism), -(-n // DOCUMENTS))
+    root = spark.read.format("binaryFile").load(f"{path}/rows").select("path").first().path.rpartition("/rows/")[0]  # with its scheme
+    if root.partition(":")[0] not in json_arrays.SCHEMES:
+        spark.read.schema(df.schema).json(f"{path}/rows").repartition(parts).write.option("maxRecordsPerFile", 1).json(f"{path}/documents")
+        return [f"{path}/documents"]
+    return [r.folder for r in rows.repartition(parts).mapInArrow(_documents(root), "folder string").collect()]
+
+
 def discover_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = AUDIO) -> DataFrame:
     """path, length and modificationTime of files below ``path`` by extension in any case; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")

@@ -200,3 +200,30 @@ def test_ward_skips_groups_that_are_gone():
     began = time.time()
     similarity.ward(rng.normal(size=(4000, 64)), 1333)
     assert time.time() - began < 5  # 2 s; by differences 7
+
+
+def test_documents_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    """S3: a document a row, a file a document. One task wrote them through Spark's committer, 13 ms each; 3,000 took 40 s."""
+    from cadenza.plans import registry
+    from cadenza.sources import json_arrays, tables
+
+    spark.range(3000).selectExpr("id AS s_suppkey", "'Supplier#' || id AS s_name", "id / 7 AS s_acctbal").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    began = time.time()
+    got = registry.QUERIES["s3_read_results"](spark, str(tmp_path)).collect()
+    assert time.time() - began < 20
+    assert sorted(tuple(r) for r in got) == [(i, f"Supplier#{i}", i / 7) for i in range(3000)]
+    monkeypatch.setattr(tables, "DOCUMENTS", 7)
+    odd = [None, "", 'quote " \\', "two\nlines\r\n", "{[", "\u2028 é漢🙂", " x "]
+    rows = [(None if k % 5 == 0 else k % 9, odd[k % 7]) for k in range(50)]  # rows repeat, some are null throughout
+    df = spark.createDataFrame(rows, "id long, s string")
+    for k, (schemes, folders) in enumerate(((json_arrays.SCHEMES, 8), ((), 1))):
+        monkeypatch.setattr(json_arrays, "SCHEMES", schemes)
+        path = tmp_path / f"some space {k}"
+        found = tables.write_documents(df, str(path))
+        (path / "left").mkdir()
+        (path / "left" / "of a lost task.json").write_text('{"id": 77}')
+        back = tables.read_results(spark, found, df.schema).collect()
+        assert len(found) == folders and len({r.file for r in back}) == 50
+        assert sorted(((r.id, r.s) for r in back), key=repr) == sorted(rows, key=repr)
+    none = tables.write_documents(df.where("id = 77"), str(tmp_path / "none"))
+    assert none == [] and tables.read_results(spark, none, df.schema).columns == ["id", "s", "file"]
