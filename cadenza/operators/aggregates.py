@@ -9,12 +9,13 @@ from .selection import quantiles, same
 
 
 def correlation(a: Column | str, b: Column | str) -> Column:
-    """Pearson correlation over the rows where both are known; null where one of them doesn't vary. ``corr`` divides by zero there,
-    which is an error in ANSI mode."""
+    """Pearson correlation over the rows where both are known; null where one of them doesn't vary, by its extremes: parts of a
+    mean that merge may leave a spread of some rounding. ``corr`` divides by zero there, which is an error in ANSI mode."""
     a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
     both = a.isNotNull() & b.isNotNull()
-    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
-    return F.try_divide(F.covar_pop(a, b), spread)
+    x, y = F.when(both, a), F.when(both, b)
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(varies, F.try_divide(F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def hit_stats_by_type(hits: DataFrame) -> DataFrame:

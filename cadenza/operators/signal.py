@@ -356,13 +356,15 @@ def reconstruct(states: DataFrame, dt: float, key: str = "track_id", mode: str =
 
 
 def component_relations(components: DataFrame, key: str = "track_id", idx: str = "idx", value: str = "value", least: float = 0.3) -> DataFrame:
-    """(a, b, correlation, overlap, energy_ratio) of a track's components over their common index, where correlation or overlap exceeds ``least``."""
+    """(a, b, correlation, overlap, energy_ratio) of a track's components over their common index, where correlation or overlap
+    exceeds ``least``. Values, and what meets the limit, count to nine decimals, so that the order of summation decides nothing."""
+    components = components.withColumn(value, F.round(value, 9))
     a = components.select(key, F.col("component").alias("a"), idx, F.col(value).alias("va"))
     b = components.select(key, F.col("component").alias("b"), idx, F.col(value).alias("vb"))
     j = a.join(b, [key, idx]).where("a < b")
     ab, aa, bb = F.sum(F.col("va") * F.col("vb")), F.sum(F.col("va") * F.col("va")), F.sum(F.col("vb") * F.col("vb"))
     out = j.groupBy(key, "a", "b").agg(correlation("va", "vb").alias("correlation"), (ab / F.nullif(F.sqrt(aa * bb), F.lit(0.0))).alias("overlap"), (aa / F.nullif(bb, F.lit(0.0))).alias("energy_ratio"))
-    return out.where((F.col("correlation") > least) | (F.col("overlap") > least))
+    return out.where((F.round("correlation", 9) > least) | (F.round("overlap", 9) > least))
 
 
 def uncertainty_regions(pairs: DataFrame, target: float, size: int = 1024, hop: int = 512, key: str = "track_id", idx: str = "i") -> DataFrame:

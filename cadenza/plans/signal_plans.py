@@ -213,9 +213,9 @@ def f24(spark, d):
     return op.reconstruct(states_df(spark, d), 0.001).select("track_id", "time", F.round("x", 4).alias("x"))
 
 
-@add("f25_component_relations", hits(""", c AS (SELECT track_id, type AS component, CAST(floor(time/86400) AS BIGINT) AS idx, sum(velocity) AS value FROM h GROUP BY 1, 2, 3), j AS (SELECT x.track_id, x.component AS a, y.component AS b, corr(x.value,y.value) AS cr, sum(x.value*y.value)/sqrt(sum(x.value*x.value)*sum(y.value*y.value)) AS ov, sum(x.value*x.value)/nullif(sum(y.value*y.value),0) AS er
-FROM c x JOIN c y ON x.track_id=y.track_id AND x.idx=y.idx AND x.component<y.component GROUP BY 1, 2, 3)
-SELECT track_id, a, b, round(CASE WHEN isnan(cr) THEN NULL ELSE cr END,5) AS correlation, round(ov,5) AS overlap, round(er,5) AS energy_ratio FROM j WHERE cr>0.3 OR ov>0.3"""))
+@add("f25_component_relations", hits(""", c AS (SELECT track_id, type AS component, CAST(floor(time/86400) AS BIGINT) AS idx, round(sum(velocity),9) AS value FROM h GROUP BY 1, 2, 3), p AS (SELECT x.track_id, x.component AS a, y.component AS b, x.value AS va, y.value AS vb, CASE WHEN y.value IS NOT NULL THEN x.value END AS ka, CASE WHEN x.value IS NOT NULL THEN y.value END AS kb
+FROM c x JOIN c y ON x.track_id=y.track_id AND x.idx=y.idx AND x.component<y.component), j AS (SELECT track_id, a, b, CASE WHEN min(ka)<max(ka) AND min(kb)<max(kb) THEN corr(ka,kb) END AS cr, sum(va*vb)/nullif(sqrt(sum(va*va)*sum(vb*vb)),0) AS ov, sum(va*va)/nullif(sum(vb*vb),0) AS er FROM p GROUP BY 1, 2, 3)
+SELECT track_id, a, b, round(cr,5) AS correlation, round(ov,5) AS overlap, round(er,5) AS energy_ratio FROM j WHERE round(cr,9)>0.3 OR round(ov,9)>0.3"""))
 def f25(spark, d):
     c = hits_df(spark, d).groupBy("track_id", F.col("type").alias("component"), F.floor(F.col("time") / 86400).alias("idx")).agg(F.sum("velocity").alias("value"))
     return rounded(op.component_relations(c), 5)
