@@ -1,13 +1,16 @@
 """Operators whose memory, groups or jobs grew with the input."""
 
+import os
 import time
 import tracemalloc
 from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from cadenza.operators import aggregates, entropy, folds, joins, rhythm, signal, similarity, windows
+from cadenza.session import written
 
 
 def test_mean_pair_distance_by_tiles(spark):
@@ -136,6 +139,20 @@ def test_equal_sums_have_no_correlation_whatever_their_order(spark):
     assert signal.component_relations(edge, least=0.3).count() == 0
 
 
+def test_shuffles_of_a_written_table_are_dropped(spark):
+    """The files of a step's shuffles stayed until the driver happened to collect its garbage; the setting is as before then."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    top, before = spark.conf.get("spark.local.dir"), spark.conf.get(key, None)
+    files = lambda: {f for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+    held = files()
+    table = written(spark.range(10_000).repartition(7, "id").groupBy((F.col("id") % 100).alias("k")).count(), "dropped")
+    for _ in range(50):
+        if files() <= held:
+            break
+        time.sleep(0.1)
+    assert files() <= held and len(table.collect()) == 100 and spark.conf.get(key, None) == before
+
+
 def test_query_sets_meet_rows_in_blocks(spark, monkeypatch):
     """Pairs are not rows of a join: a block of rows is shuffled once for a block of queries. Copies tie, null and empty vectors
     have cosine 0, envelopes have several lengths, classes may lack a phase; few pairs at a time, in one set of texts or several."""
