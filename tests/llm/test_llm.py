@@ -1,8 +1,10 @@
 """The ten operators against plain versions, round trips and odd tables."""
 
 import hashlib
+import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -547,3 +549,17 @@ def test_pipeline_stages_keep_one_of_each_text_without_an_id(spark):
     assert got == sorted([(None, long[0]), (None, long[1]), (5, long[3]), (9, long[2]), (None, "")], key=repr)
     alone = materialise(docs.where("doc_id IS NULL"), "nameless-docs")
     assert cp.near_duplicates(spark, alone, "").count() == 4
+
+
+def test_shuffles_of_a_materialised_table_are_dropped(spark):
+    """The files of a step's shuffles stayed until the driver happened to collect its garbage; the setting is as before then."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    top, before = spark.conf.get("spark.local.dir"), spark.conf.get(key, None)
+    files = lambda: {f for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+    held = files()
+    table = materialise(spark.range(10_000).repartition(7, "id").groupBy((F.col("id") % 100).alias("k")).count(), "dropped")
+    for _ in range(50):
+        if files() <= held:
+            break
+        time.sleep(0.1)
+    assert files() <= held and len(table.collect()) == 100 and spark.conf.get(key, None) == before
