@@ -153,6 +153,43 @@ def test_shuffles_of_a_written_table_are_dropped(spark):
     assert files() <= held and len(table.collect()) == 100 and spark.conf.get(key, None) == before
 
 
+def test_groups_without_pairs_equal_pairs(spark, monkeypatch):
+    """C4, C7: neighbours are counted and core points joined in blocks; the pairs of neighbours were rows. Chains, copies, border points
+    near two groups, noise, groups of one and of none."""
+    written_rows = []
+
+    def counted(df, name):
+        table = written(df, name)
+        written_rows.append((name, table.count()))
+        return table
+
+    monkeypatch.setattr(similarity, "written", counted)
+    rng = np.random.default_rng(3)
+    crowd = np.concatenate([rng.normal(size=(300, 2)) * 0.02, rng.normal(size=(120, 2)) * 3, np.arange(40)[:, None] * np.array([[0.1, 0.0]]) + 9])
+    rows = [(i, g, x.tolist()) for g, part in enumerate((crowd, crowd[:90] * 7, crowd[:1])) for i, x in enumerate(part, 1000 * g)]
+    vectors = spark.createDataFrame(rows, "id long, g int, embedding array<double>")
+    for least, block in ((3, 4096), (3, 16), (6, 32)):
+        written_rows.clear()
+        got = {r.id: (r.cluster, r.core) for r in similarity.similar_groups(vectors, "g", "id", 0.11, least, euclid=True, block=block).collect()}
+        want = {}
+        for g in range(3):
+            ids, x = np.array([r[0] for r in rows if r[1] == g]), np.array([r[2] for r in rows if r[1] == g])
+            near = (np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 0.11) & ~np.eye(len(x), dtype=bool)
+            core = near.sum(1) + 1 >= least
+            label = np.where(core, ids, -1)
+            while True:
+                best = np.array([min([label[i], *label[near[i] & core]]) if core[i] else -1 for i in range(len(x))])
+                if (best == label).all():
+                    break
+                label = best
+            for i in range(len(x)):
+                reach = label[near[i] & core]
+                want[int(ids[i])] = (int(label[i] if core[i] else reach.min() if len(reach) else -1), bool(core[i]))
+        assert got == want
+        # 300 rows that are all near each other are 44,850 pairs
+        assert max(n for _, n in written_rows) < (1000 if block == 4096 else 20_000)
+
+
 def test_query_sets_meet_rows_in_blocks(spark, monkeypatch):
     """Pairs are not rows of a join: a block of rows is shuffled once for a block of queries. Copies tie, null and empty vectors
     have cosine 0, envelopes have several lengths, classes may lack a phase; few pairs at a time, in one set of texts or several."""
