@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from cadenza.operators import aggregates, entropy, folds, joins, rhythm, signal, similarity, windows
+from cadenza.operators import aggregates, entropy, folds, joins, metric_cells, rhythm, signal, similarity, windows
 from cadenza.session import written
 
 
@@ -190,6 +190,15 @@ def test_groups_without_pairs_equal_pairs(spark, monkeypatch):
         assert max(n for _, n in written_rows) < (1000 if block == 4096 else 20_000)
 
 
+def test_copies_grow_slower_than_a_group(spark):
+    """C9: where a threshold skips nothing, a vector was shuffled once for each block of its group; cells and blocks now grow with it."""
+    x = np.random.default_rng(8).normal(size=(640, 3))
+    vectors = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(x)], "g int, id long, embedding array<double>")
+    cells = joins.near_cells(vectors, "g", "id", "embedding", 100.0, 16, True)
+    assert metric_cells.meeting(cells, 16).count() < 20 * len(x)
+    assert joins.similar_pairs(vectors, "g", "id", threshold=100.0, block=16, euclid=True).count() == 640 * 639 // 2
+
+
 def test_query_sets_meet_rows_in_blocks(spark, monkeypatch):
     """Pairs are not rows of a join: a block of rows is shuffled once for a block of queries. Copies tie, null and empty vectors
     have cosine 0, envelopes have several lengths, classes may lack a phase; few pairs at a time, in one set of texts or several."""
